@@ -13,9 +13,39 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    from concord.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op5_mixing(spark, sf_dir):
+    from concord.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), block=20_000, slots=1000, alpha=0.7)
+
+
+def op7_exact_dedup(spark, sf_dir):
+    from concord.llm.exact import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"), keep="max")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_mixing": op5_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": """
+        WITH d AS (
+            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
+            FROM documents
+        ), g AS (SELECT h, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY h)
+        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256
+        FROM d JOIN g USING (h)
+    """,
+}
