@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concord.session import stored
+
 #: The letters that normalisation lower-cases.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,5 +55,5 @@ def exact_groups(docs: DataFrame, keep: str = "max", fan: int = 3) -> DataFrame:
     and empty texts are equal. Other columns are not read; an empty table gives no rows.
     """
     rows = digests(docs)
-    groups = merged_runs(rows, keep, fan)
+    groups = stored(merged_runs(rows, keep, fan), "groups")  # so that Spark can split a hot digest in the join
     return rows.join(groups, KEY).select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
