@@ -25,17 +25,31 @@ def op5_mixing(spark, sf_dir):
     return mixed(table(spark, sf_dir, "documents"), block=20_000, slots=1000, alpha=0.7)
 
 
+def op6_quality_classifier(spark, sf_dir):
+    from concord.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     from concord.llm.exact import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_nearest_neighbours(spark, sf_dir):
+    from concord.llm.neighbours import nearest_vectors
+
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mixing": op5_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
 #: DuckDB SQL for those that SQL can express.
