@@ -13,6 +13,12 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op2_order_minhash(spark, sf_dir):
+    from concord.llm.near import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     from concord.llm.packing import pack
 
@@ -45,6 +51,7 @@ def op9_nearest_neighbours(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_order_minhash": op2_order_minhash,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
