@@ -19,6 +19,12 @@ def op2_order_minhash(spark, sf_dir):
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    from concord.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     from concord.llm.packing import pack
 
@@ -52,6 +58,7 @@ def op9_nearest_neighbours(spark, sf_dir):
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_order_minhash": op2_order_minhash,
+    "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
