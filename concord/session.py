@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,3 +57,9 @@ def discard(df: DataFrame) -> None:
         if "/concord-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
