@@ -57,3 +57,21 @@ def exact_groups(docs: DataFrame, keep: str = "max", fan: int = 3) -> DataFrame:
     rows = digests(docs)
     groups = stored(merged_runs(rows, keep, fan), "groups")  # so that Spark can split a hot digest in the join
     return rows.join(groups, KEY).select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, keep: str = "max", fan: int = 3) -> DataFrame:
+    """One whole row of each group of equal texts, with all columns of ``docs``.
+
+    Repeated rows have the same id and text; the one with the largest hash of all columns stays. Nulls count as empty texts.
+    """
+    names = docs.columns
+    key = [F.unhex(F.sha2("__t", 256)).alias("__digest"), F.xxhash64("__t").alias("__check")]
+    own = docs.select(F.struct(*names).alias("__row"), normalised(F.col("text")).alias("__t"))
+    rows = own.select("__row", *key, F.xxhash64("__row").alias("__h"))
+    best = F.max if keep == "max" else F.min
+    groups = merged_runs(digests(docs), keep, fan).select(F.col("digest").alias("__digest"), F.col("check").alias("__check"), F.col("keep_id").alias("__keep"))
+    groups = stored(groups, "groups")
+    first = rows.join(groups, ["__digest", "__check"]).where(F.col("__row.doc_id").eqNullSafe(F.col("__keep")))
+    # what is left has one row for a group, or rows repeated with one id
+    one = first.groupBy("__digest", "__check").agg(F.max_by("__row", "__h").alias("__row"))
+    return one.select("__row.*")

@@ -35,6 +35,8 @@ from concord.operators.components import connected_components
 from concord.session import discard, stored
 
 WORD = re.compile(r"\w+")
+#: Stands for a null identifier in join keys.
+NO_ID = -(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Words a worker remembers before it starts afresh; bounds memory only.
@@ -130,11 +132,12 @@ def _words(text: str | None, known: Words) -> tuple[bytes, np.ndarray]:
 
 
 def _doc_column(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("check"))
 
 
 def sketched(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, node, n, sketch``: a node is a normalised text, ``n`` its number of k-mers."""
+    """``doc_id, check, node, n, sketch``: a node is a normalised text, ``n`` its number of k-mers, ``check`` a hash of the raw text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -146,9 +149,9 @@ def sketched(docs: DataFrame, s: Settings) -> DataFrame:
                 node.append(key)
                 size.append(len(h))
                 flat.append(sketches(h, s).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(flat, pa.list_(pa.int64()))], ["doc_id", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(flat, pa.list_(pa.int64()))], ["doc_id", "check", "node", "n", "sketch"])
 
-    return _doc_column(docs).mapInArrow(run, "doc_id long, node binary, n int, sketch array<long>")
+    return _doc_column(docs).mapInArrow(run, "doc_id long, check long, node binary, n int, sketch array<long>")
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["doc_id", "node", "words"])
 
     every = _doc_column(docs).mapInArrow(run, "doc_id long, node binary, words binary")
-    own = every.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(needed.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), ["node", "doc_id"])
+    own = every.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(needed.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), ["node", "doc_id"])
     return own.select("node", "words").dropDuplicates(["node"])
 
 
@@ -223,6 +226,11 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     text that only has copies). Texts equal after normalisation are one text; so are all texts without words, null
     and empty ones included. Repeated rows and ids keep their rows. An empty table gives no rows.
     """
+    return _classified(docs, s).select("doc_id", "class_id", "class_size", "links")
+
+
+def _classified(docs: DataFrame, s: Settings) -> DataFrame:
+    """``doc_id, check, component, class_id, class_size, links`` of every row."""
     rows = stored(sketched(docs, s), "sketch")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
@@ -259,5 +267,17 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     placed = nodes.select("node", "doc_id", "copies").join(components, "node", "left").join(degree, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     classes = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = stored(placed.join(classes, "component").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links")), "classes")
-    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "class_size", "links")
+    classes = stored(placed.join(classes, "component").select("node", "component", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    return rows.select("doc_id", "check", "node").join(classes, "node").select("doc_id", "check", "component", "class_id", "class_size", "links")
+
+
+def drop_near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One whole row of each class, with all columns of ``docs``: that with the smallest ``doc_id``.
+
+    Rows without ids come last; of rows repeated with one id and text, the one with the smallest hash of all columns stays.
+    """
+    lowest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("m")
+    keep = _classified(docs, s).groupBy("component").agg(lowest).select(F.coalesce("m.doc_id", F.lit(NO_ID)).alias("__id"), F.col("m.check").alias("__check"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__check"))
+    one = rows.join(keep, ["__id", "__check"]).groupBy("__id", "__check").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return one.select("__row.*")

@@ -55,6 +55,12 @@ def op9_nearest_neighbours(spark, sf_dir):
     return nearest_vectors(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op10_repeated_strings(spark, sf_dir):
+    from concord.llm.repeats import removed
+
+    return removed(table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_order_minhash": op2_order_minhash,
@@ -64,6 +70,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_repeated_strings": op10_repeated_strings,
 }
 
 #: DuckDB SQL for those that SQL can express.
