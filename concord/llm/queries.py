@@ -49,6 +49,12 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_language_model(spark, sf_dir):
+    from concord.llm.language_model import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark, sf_dir):
     from concord.llm.neighbours import nearest_vectors
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_model": op8_language_model,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_repeated_strings": op10_repeated_strings,
 }
