@@ -1,4 +1,429 @@
 """Registered reconciliation queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from concord.functions import ids, similarity as sim, text
+from concord.operators import matching, merging, metrics, stores, syncing
+from concord.plans import adapters as A, oracles as O
+from concord.session import table
+
+P = sim.Policy()
+RARE = sim.Policy(common_word=100)
+STRICT = sim.Policy(common_word=100, ambiguous=0.8)
+QUERIES, ORACLES = {}, {}
+
+
+def query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], ORACLES[name] = f, sql
+        return f
+
+    return add
+
+
+def _sides(spark, sf_dir, codes=False):
+    every = matching.keyed(A.parts(spark, sf_dir, codes))
+    return every.where(matching.on_service("a")), every.where(matching.on_service("b"))
+
+
+# ---- normalisation and identifiers
+
+
+@query("norm_title", f"SELECT doc_id, {O.title('text')} AS k FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.title_key(F.col("text")).alias("k"))
+
+
+@query("norm_artist", f"SELECT doc_id, {O.artist('text')} AS k FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.artist_key(F.col("text")).alias("k"))
+
+
+@query("norm_album", f"SELECT doc_id, {O.album('text')} AS k FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.album_key(F.col("text")).alias("k"))
+
+
+@query("canonical_track_id", """
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'isrc:' || upper('us' || p_partkey)
+        ELSE substr(sha256(lower(p_name) || '|' || lower(p_brand) || '|' || CASE WHEN p_size % 5 = 0 THEN '' ELSE lower(p_type) END || '|' || CASE WHEN p_size % 7 = 0 THEN 0 ELSE (p_size * 1000 + 1500) // 1000 END), 1, 32) END AS id
+    FROM part""")
+def _(spark, d):
+    size = F.col("p_size").cast("long")
+    seconds = F.when(size % 7 != 0, ids.whole_seconds(size * 1000 + 1000))
+    code = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" us"), F.col("p_partkey").cast("string"), F.lit("\t")))
+    album = F.when(size % 5 != 0, F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", ids.record_id(F.concat(F.lit(" "), "p_brand"), F.col("p_name"), album, seconds, code).alias("id"))
+
+
+@query("canonical_playlist_id", "SELECT DISTINCT conv_id, role, substr(sha256(lower(role) || '|' || 'conv ' || conv_id), 1, 32) AS id FROM conversations")
+def _(spark, d):
+    name = F.concat(F.lit("Conv "), F.col("conv_id").cast("string"))
+    return table(spark, d, "conversations").select("conv_id", "role").distinct().select("conv_id", "role", ids.list_id(F.col("role"), name).alias("id"))
+
+
+@query("members_digest", f"""
+    WITH l AS (SELECT conv_id, list(md5(coalesce(text, '')) ORDER BY turn, md5(coalesce(text, ''))) AS ids FROM conversations GROUP BY conv_id)
+    SELECT 'c' || conv_id AS id, {O.digest('ids')} AS digest FROM l""")
+def _(spark, d):
+    source, _ = A.conversation_lists(spark, d)
+    return source.select("id", ids.members_digest(F.col("track_ids")).alias("digest"))
+
+
+@query("op_keys", """
+    SELECT DISTINCT 'update_members:l:' || l_partkey || ':d' AS key, 'update_members' AS kind, 'l:' || l_partkey AS entity, 'd' AS digest FROM lineitem""")
+def _(spark, d):
+    key = ids.op_key(F.lit("update_members"), F.concat(F.lit("l:"), F.col("l_partkey").cast("string")), F.lit("d"))
+    return table(spark, d, "lineitem").select("l_partkey").distinct().select(key.alias("key"), ids.parse_op_key(key).alias("p")).select("key", "p.*")
+
+
+# ---- similarities and predicates
+
+
+@query("similarity_pairs", f"""
+    WITH n AS (SELECT DISTINCT p_brand, lower(p_name) AS n FROM part)
+    SELECT a.p_brand, a.n AS a, b.n AS b, {O.sim('a.n', 'b.n')} AS s FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.n < b.n""")
+def _(spark, d):
+    n = table(spark, d, "part").select("p_brand", F.lower("p_name").alias("n")).distinct()
+    pairs = n.withColumnRenamed("n", "a").join(n.withColumnRenamed("n", "b"), "p_brand").where("a < b")
+    return pairs.select("p_brand", "a", "b", sim.similarity(F.col("a"), F.col("b")).alias("s"))
+
+
+@query("multi_field_similarity", f"""
+    WITH n AS (SELECT DISTINCT p_brand, p_type, lower(p_name) AS n FROM part)
+    SELECT a.p_brand, a.p_type AS ta, b.p_type AS tb, a.n AS a, b.n AS b, {O.sim('a.n', 'b.n')} * {O.dbl('0.4')} + {O.sim('lower(a.p_type)', 'lower(b.p_type)')} * {O.dbl('0.35')} AS s
+    FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.n = b.n AND a.p_type < b.p_type""")
+def _(spark, d):
+    n = table(spark, d, "part").select("p_brand", "p_type", F.lower("p_name").alias("n")).distinct()
+    pairs = n.select("p_brand", F.col("p_type").alias("ta"), F.col("n").alias("a"), "n").join(n.select("p_brand", F.col("p_type").alias("tb"), F.col("n").alias("b"), "n"), ["p_brand", "n"]).where("ta < tb")
+    s = sim.multi_field_similarity([(F.col("a"), F.col("b"), 0.4), (F.col("ta"), F.col("tb"), 0.35)])
+    return pairs.select("p_brand", "ta", "tb", "a", "b", s.alias("s"))
+
+
+@query("duration_score", f"""
+    WITH n AS (SELECT DISTINCT p_brand, CAST(CASE WHEN p_size % 9 > 0 THEN p_size END AS BIGINT) AS n FROM part)
+    SELECT a.p_brand, coalesce(a.n, -1) AS a, coalesce(b.n, -1) AS b, {O.duration('a.n', 'b.n')} AS s, a.n IS NULL OR b.n IS NULL OR abs(a.n - b.n) <= 5 AS near, a.n IS NULL OR b.n IS NULL OR abs(a.n - b.n) <= 2 AS nearer, coalesce(abs(a.n - b.n), -1) AS diff
+    FROM n a JOIN n b ON a.p_brand = b.p_brand""")
+def _(spark, d):
+    n = table(spark, d, "part").select("p_brand", F.when(F.col("p_size") % 9 > 0, F.col("p_size").cast("long")).alias("n")).distinct()
+    a, b = F.col("a"), F.col("b")
+    pairs = n.withColumnRenamed("n", "a").join(n.withColumnRenamed("n", "b"), "p_brand")
+    or_none = lambda x: F.coalesce(x, F.lit(-1))
+    return pairs.select("p_brand", or_none(a).alias("a"), or_none(b).alias("b"), sim.duration_score(a, b).alias("s"), sim.within_tolerance(a, b).alias("near"), sim.within_tolerance(a, b, strict=True).alias("nearer"), or_none(F.abs(a - b)).alias("diff"))
+
+
+@query("code_predicates", """
+    WITH c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'US-ABC-' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 7, '0') WHEN 1 THEN 'usabc' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 7, '0') WHEN 2 THEN 'USABC' || p_partkey ELSE '' END AS code FROM part)
+    SELECT p_partkey, code, regexp_matches(replace(code, '-', ''), '^[A-Z0-9]{12}$') AS valid, code <> '' AS same FROM c""")
+def _(spark, d):
+    k, r = F.col("p_partkey"), F.col("p_partkey") % 4
+    n = F.lpad((k % 100000).cast("string"), 7, "0")
+    code = F.when(r == 0, F.concat(F.lit("US-ABC-"), n)).when(r == 1, F.concat(F.lit("usabc"), n)).when(r == 2, F.concat(F.lit("USABC"), k.cast("string"))).otherwise("")
+    return table(spark, d, "part").select("p_partkey", code.alias("code")).select("*", sim.valid_code(F.col("code")).alias("valid"), sim.same_code(F.col("code"), F.lower("code")).alias("same"))
+
+
+# ---- blocking, scoring, deciding
+
+
+@query("isrc_match", f"WITH {O.PARTS}, {O.CODE_PAIRS} SELECT s AS source, t AS target FROM hits")
+def _(spark, d):
+    source, target = _sides(spark, d, codes=True)
+    return matching.code_pairs(source, target).select(F.col("s_ord").alias("source"), F.col("t_ord").alias("target"))
+
+
+@query("token_postings", f"WITH {O.PARTS}, {O.pairs()} SELECT word, df FROM df")
+def _(spark, d):
+    return matching.postings(_sides(spark, d)[1])
+
+
+def _rare(common):
+    def run(spark, d):
+        source, target = _sides(spark, d)
+        return matching.rare_words(source, matching.postings(target), common).select("ord", "word", "df", F.col("rn").cast("long").alias("rn"))
+
+    return run
+
+
+for _n in (500, 50):
+    query(f"rare_words_{_n}", f"WITH {O.PARTS}, {O.pairs(_n)} SELECT ord, word, df, rn FROM rare")(_rare(_n))
+
+
+@query("candidates_top50", f"WITH {O.PARTS}, {O.pairs()} SELECT s, t, pre, pr FROM ranked")
+def _(spark, d):
+    source, target = _sides(spark, d)
+    return matching.word_pairs(source, target, P).select(F.col("s_ord").alias("s"), F.col("t_ord").alias("t"), "pre", F.col("pre_rank").cast("long").alias("pr"))
+
+
+@query("score_pairs", f"WITH {O.PARTS}, {O.pairs()} SELECT s, t, ts, ars, als, ds, score FROM fuzzy")
+def _(spark, d):
+    source, target = _sides(spark, d)
+    s = matching.scored(matching.word_pairs(source, target, P), P)
+    return s.select(F.col("s_ord").alias("s"), F.col("t_ord").alias("t"), F.col("title_score").alias("ts"), F.col("artist_score").alias("ars"), F.col("album_score").alias("als"), F.col("duration_score").alias("ds"), "score")
+
+
+def _decision_rows(found):
+    return found.select("ord", "source_id", "decision", "method", "candidate_id", "score", F.coalesce(F.when(F.size("candidates") >= 0, F.size("candidates")), F.lit(0)).cast("long").alias("n_candidates"))
+
+
+@query("match_decisions", f"WITH {O.PARTS}, {O.pairs()}, {O.decisions('fuzzy', 'src')} SELECT * FROM decided")
+def _(spark, d):
+    return _decision_rows(matching.matched(A.parts(spark, d), "a", "b", p=P))
+
+
+@query("match_decisions_rare", f"WITH {O.PARTS}, {O.pairs(100)}, {O.decisions('fuzzy', 'src')} SELECT * FROM decided")
+def _(spark, d):
+    return _decision_rows(matching.matched(A.parts(spark, d), "a", "b", p=RARE))
+
+
+_WITH_CODES = f"{O.PARTS}, {O.CODE_PAIRS}, {O.pairs(100, 'rest')}, both_ways AS (SELECT s, t, pr, score, method FROM hits UNION ALL SELECT s, t, pr, score, method FROM fuzzy), {O.decisions('both_ways', 'src')}"
+
+
+_STRICT = _WITH_CODES.replace(O.decisions("both_ways", "src"), O.decisions("both_ways", "src", "0.8"))
+
+
+@query("match_cascade", f"WITH {_WITH_CODES} SELECT * FROM decided")
+def _(spark, d):
+    return _decision_rows(matching.matched(A.parts(spark, d, codes=True), "a", "b", p=RARE))
+
+
+@query("match_stats", f"""WITH {_WITH_CODES}, n AS (SELECT CAST(count(*) AS BIGINT) AS total, {', '.join(f"CAST(count(*) FILTER (WHERE decision = '{x}') AS BIGINT) AS {x}" for x in ('auto', 'ambiguous', 'no_match', 'skipped'))} FROM decided)
+    SELECT *, CASE WHEN total > 0 THEN CAST(auto AS DOUBLE) / total ELSE 0 END AS auto_rate FROM n""")
+def _(spark, d):
+    return matching.statistics(matching.matched(A.parts(spark, d, codes=True), "a", "b", p=RARE))
+
+
+_OVERRIDDEN = f"""{O.PARTS}, manual AS (SELECT ord, id AS source_id, 'auto' AS decision, 'manual' AS method, 'p' || (ord + 1) AS candidate_id, CASE WHEN ord % 3 = 0 THEN CAST(0.99 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score, CAST(1 AS BIGINT) AS n_candidates FROM src WHERE ord % 7 = 0),
+    skipped AS (SELECT ord, id AS source_id, 'skipped' AS decision, CAST(NULL AS VARCHAR) AS method, CAST(NULL AS VARCHAR) AS candidate_id, CAST(NULL AS DOUBLE) AS score, CAST(0 AS BIGINT) AS n_candidates FROM src WHERE ord % 7 > 0 AND ord % 11 = 0),
+    open_ AS (SELECT * FROM src WHERE ord % 7 > 0 AND ord % 11 > 0),
+    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ord) AS n FROM tgt WHERE code IS NOT NULL) WHERE n = 1),
+    hits AS (SELECT o.ord AS s, f.ord AS t, 1 AS pr, CAST(0.95 AS DOUBLE) AS score, 'isrc' AS method FROM open_ o JOIN firsts f ON o.code = f.code),
+    rest AS (SELECT * FROM open_ WHERE ord NOT IN (SELECT s FROM hits)), {O.pairs(100, 'rest')},
+    kept AS (SELECT s, t, pr, score, method FROM hits UNION ALL SELECT s, t, pr, score, method FROM fuzzy),
+    left_over AS (SELECT * FROM kept WHERE NOT (s % 3 = 0 AND t = s - 1)), {O.decisions('left_over', 'open_')}"""
+
+
+@query("override_cascade", f"WITH {_OVERRIDDEN} SELECT * FROM decided UNION ALL SELECT * FROM manual UNION ALL SELECT * FROM skipped")
+def _(spark, d):
+    m, e = A.overrides(spark, d)
+    return _decision_rows(matching.matched(A.parts(spark, d, codes=True), "a", "b", m, e, RARE))
+
+
+@query("match_outcomes", f"""WITH {_OVERRIDDEN}, every AS (SELECT * FROM decided UNION ALL SELECT * FROM manual UNION ALL SELECT * FROM skipped)
+    SELECT 'run-1' AS run_id, source_id AS source_track_id, decision, method, score AS top_score, n_candidates AS candidate_count FROM every""")
+def _(spark, d):
+    m, e = A.overrides(spark, d)
+    return matching.outcomes(matching.matched(A.parts(spark, d, codes=True), "a", "b", m, e, RARE), "run-1", "a", "b").drop("recorded_at", "source_service", "target_service")
+
+
+@query("pending_resolutions", f"""WITH {O.PARTS}, {O.pairs(100)}, best AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, pr) AS rk FROM fuzzy),
+    amb AS (SELECT s FROM best WHERE rk = 1 AND score >= {O.dbl('0.65')} AND score < {O.dbl('0.85')}),
+    n AS (SELECT best.*, row_number() OVER (PARTITION BY best.s ORDER BY rk) AS k FROM best JOIN amb USING (s) WHERE score >= {O.dbl('0.65')})
+    SELECT 'p' || s AS source_id, k - 1 AS place, 'p' || t AS candidate_id, score, b.p_brand AS candidate_title, b.p_name AS candidate_artist, a.p_brand AS title, a.p_name AS artist, 'a>b' AS direction
+    FROM n JOIN parts a ON a.ord = s JOIN parts b ON b.ord = t WHERE k <= 5""")
+def _(spark, d):
+    found = matching.pending_resolutions(A.parts(spark, d), [("a", "b")], p=RARE)
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
+# ---- merging and stores
+
+
+@query("keyed_merge", """
+    WITH r AS (
+        SELECT c_custkey AS k, c_name AS n, c_acctbal AS bal, 0 AS kind FROM customer
+        UNION ALL SELECT s_suppkey, s_name, s_acctbal, 1 FROM supplier UNION ALL SELECT s_suppkey, s_name, s_acctbal, 2 FROM supplier
+    ), t AS (
+        SELECT *, k * 3 + kind AS ord, CASE WHEN k % 4 = 0 THEN NULL ELSE n END AS artist, CASE WHEN k % 5 > 1 THEN n END AS album, CASE WHEN k % 2 = 0 THEN 'C' || (k // 2) END AS code,
+               CASE WHEN k % 3 = 0 THEN CAST(floor(bal) AS BIGINT) END AS seconds, CASE WHEN kind < 2 THEN 's' || k END AS a_id, CASE WHEN kind > 0 THEN 't' || k END AS b_id, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS av
+        FROM r
+    )
+    SELECT min(ord) AS ord, arg_min('r' || ord, ord) AS id, arg_max(n, ord) AS title, arg_max(artist, ord) FILTER (WHERE artist IS NOT NULL) AS artist, arg_min(album, ord) FILTER (WHERE album IS NOT NULL) AS album, arg_min(code, ord) FILTER (WHERE code IS NOT NULL) AS code,
+           coalesce(arg_min(seconds, ord) FILTER (WHERE seconds IS NOT NULL), -1) AS seconds, arg_max(a_id, ord) FILTER (WHERE a_id IS NOT NULL) AS a_id, arg_max(b_id, ord) FILTER (WHERE b_id IS NOT NULL) AS b_id, CAST(bit_or(av) AS INTEGER) AS availability, CAST(count(*) AS BIGINT) AS merged
+    FROM t GROUP BY k""")
+def _(spark, d):
+    return merging.merged(A.accounts(spark, d)).drop("explicit").withColumn("seconds", F.coalesce("seconds", F.lit(-1)))
+
+
+@query("renamed_ids", """
+    WITH r AS (SELECT c_custkey AS k, 0 AS kind FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier UNION ALL SELECT s_suppkey, 2 FROM supplier)
+    SELECT 'r' || (k * 3 + kind) AS old_id, 'r' || min(k * 3 + kind) OVER (PARTITION BY k) AS id FROM r""")
+def _(spark, d):
+    return merging.renamed_ids(A.accounts(spark, d))
+
+
+@query("playlist_members", "SELECT 'c' || conv_id AS id, string_agg(md5(coalesce(text, '')), ',' ORDER BY turn, md5(coalesce(text, ''))) AS members, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    source, _ = A.conversation_lists(spark, d)
+    return source.select("id", F.concat_ws(",", "track_ids").alias("members"), F.size("track_ids").cast("long").alias("n"))
+
+
+@query("exclusion_state", """
+    SELECT 'p' || p_partkey AS track_id, 'b' AS target_service, p_partkey % 11 = 0 AS skipped, CASE WHEN p_partkey % 3 = 0 THEN 'p' || (p_partkey - 1) ELSE '' END AS rejected
+    FROM part WHERE p_partkey % 2 = 1 AND (p_partkey % 11 = 0 OR p_partkey % 3 = 0)""")
+def _(spark, d):
+    return stores.exclusion_state(A.overrides(spark, d)[1]).withColumn("rejected", F.concat_ws(",", "rejected"))
+
+
+@query("mapping_upsert", """
+    SELECT 'a' AS source_service, 'x' || p_partkey AS source_track_id, 'b' AS target_service, CASE WHEN p_partkey % 5 = 0 THEN 'new' ELSE 'p' || (p_partkey + 1) END AS target_track_id,
+           CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_size % 2 = 0 THEN greatest(p_size / CAST(50 AS DOUBLE), CAST(0.99 AS DOUBLE)) ELSE CAST(1 AS DOUBLE) END WHEN p_partkey % 3 = 0 THEN CAST(0.99 AS DOUBLE) END AS confidence
+    FROM part WHERE p_partkey % 2 = 1 AND (p_partkey % 7 = 0 OR p_partkey % 5 = 0)""")
+def _(spark, d):
+    m, e = A.overrides(spark, d)
+    k = F.col("p_partkey")
+    c = table(spark, d, "part").where((k % 2 == 1) & (k % 5 == 0)).select(F.lit("a").alias("source_service"), F.concat(F.lit("x"), k.cast("string")).alias("source_track_id"), F.lit("b").alias("target_service"), F.lit("new").alias("target_track_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_size") / F.lit(50.0)).alias("score"))
+    return stores.choose(m, e, c)[0]
+
+
+# ---- differences
+
+
+_LISTS = """l AS (SELECT conv_id, list(md5(coalesce(text, '')) ORDER BY turn, md5(coalesce(text, ''))) AS ids,
+    coalesce(list(md5(coalesce(text, '')) ORDER BY turn, md5(coalesce(text, ''))) FILTER (WHERE conv_id % 2 = 0 OR role <> 'assistant'), []) AS theirs FROM conversations GROUP BY conv_id)"""
+_LIST_OPS = f"""{_LISTS}, ops AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'create_list' ELSE 'update_members' END AS op, 'b' AS service, 'c' || conv_id AS entity_id, conv_id, ids, {O.digest('ids')} AS digest FROM l WHERE conv_id % 3 = 0 OR ids <> theirs)"""
+
+
+@query("playlist_diff", f"WITH {_LIST_OPS} SELECT op, service, entity_id, array_to_string(ids, ',') AS members, op || ':b-' || entity_id || CASE WHEN op = 'update_members' THEN ':' || digest ELSE '' END AS op_key FROM ops")
+def _(spark, d):
+    return syncing.list_ops(*A.conversation_lists(spark, d), "b").withColumn("members", F.concat_ws(",", "members"))
+
+
+@query("playlist_incremental", f"""WITH {_LIST_OPS}, s AS (SELECT *, conv_id % 5 < 3 AS known, conv_id % 5 = 0 AS same FROM ops)
+    SELECT CASE WHEN known THEN 'update_members' ELSE op END AS op, service, entity_id, array_to_string(ids, ',') AS members,
+           CASE WHEN known OR op = 'update_members' THEN 'update_members:b-' || entity_id || ':' || digest ELSE op || ':b-' || entity_id END AS op_key
+    FROM s WHERE NOT same""")
+def _(spark, d):
+    ops = syncing.list_ops(*A.conversation_lists(spark, d), "b")
+    k = F.expr("cast(substr(list_id, 2) as bigint)")
+    state = syncing.digest_state(ops).where(k % 5 < 3).withColumn("digest", F.when(k % 5 == 0, F.col("digest")).otherwise("old"))
+    return syncing.changed_only(ops, state).withColumn("members", F.concat_ws(",", "members"))
+
+
+@query("track_diff", f"WITH {_STRICT} SELECT 'add_track' AS op, 'b' AS service, source_id AS entity_id, 'add_track:b-' || source_id AS op_key FROM decided WHERE decision = 'no_match'")
+def _(spark, d):
+    return syncing.track_ops(matching.matched(A.parts(spark, d, codes=True), "a", "b", pending_only=True, p=STRICT), "b").drop("members")
+
+
+@query("diff_summary", f"""WITH {_STRICT}, {_LIST_OPS}, every AS (SELECT 'add_track' AS op, 'b' AS service FROM decided WHERE decision = 'no_match' UNION ALL SELECT op, service FROM ops)
+    SELECT op, service, CAST(count(*) AS BIGINT) AS n FROM every GROUP BY op, service""")
+def _(spark, d):
+    source, target = A.conversation_lists(spark, d)
+    return syncing.diff_summary(syncing.library_diff(A.parts(spark, d, codes=True), source, "a", "b", target, STRICT))
+
+
+# ---- checkpoints
+
+
+_LOG = """log AS (SELECT 'o' || (l_orderkey % 50) AS run_id, CASE WHEN max(l_linenumber) > 1 THEN 'update_members:l:' || l_partkey || ':d' ELSE 'add_track:' || l_partkey END AS op_key,
+    CASE WHEN max(l_returnflag) = 'R' THEN 'failed' ELSE 'done' END AS status, CASE WHEN max(l_linenumber) > 2 THEN 'm' || max(l_linenumber) || ',z' END AS previous, max(l_shipdate) AS t, l_orderkey * 100000 + l_partkey AS ord, l_partkey FROM lineitem GROUP BY l_orderkey, l_partkey)"""
+
+
+@query("resume_remaining", f"WITH {_LOG} SELECT DISTINCT op_key FROM log WHERE op_key NOT IN (SELECT op_key FROM log WHERE run_id = 'o7' AND status = 'done')")
+def _(spark, d):
+    log = A.line_log(spark, d)
+    return syncing.remaining(log.select("op_key").distinct(), log, "o7")
+
+
+@query("rollback_plan", f"WITH {_LOG} SELECT op_key, 'l:' || l_partkey AS entity_id, previous AS members, CAST(row_number() OVER (ORDER BY t DESC, ord DESC) AS BIGINT) AS step FROM log WHERE run_id = 'o7' AND status = 'done' AND previous IS NOT NULL")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    plan = syncing.rollback_plan(A.line_log(spark, d), "o7")
+    step = F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("ord"))).cast("long")
+    return plan.select("op_key", "entity_id", F.concat_ws(",", "members").alias("members"), step.alias("step"))
+
+
+@query("checkpoint_upsert", f"""WITH {_LOG}, old AS (SELECT run_id, op_key, max(status) AS status, max(previous) AS previous FROM log WHERE ord % 3 > 0 GROUP BY run_id, op_key), new AS (SELECT run_id, op_key, min(status) AS status, max(previous) AS previous FROM log WHERE ord % 3 = 0 GROUP BY run_id, op_key)
+    SELECT coalesce(n.run_id, o.run_id) AS run_id, coalesce(n.op_key, o.op_key) AS op_key, coalesce(n.status, o.status) AS status, coalesce(n.previous, o.previous) AS previous FROM old o FULL JOIN new n ON o.run_id = n.run_id AND o.op_key = n.op_key""")
+def _(spark, d):
+    log = A.line_log(spark, d)
+    previous = F.concat_ws(",", F.from_json("previous_track_ids", "array<string>"))
+    flat = log.withColumn("previous_track_ids", F.when(F.col("previous_track_ids").isNotNull(), previous))
+    agg = lambda df, status: df.groupBy("run_id", "op_key").agg(status("status").alias("status"), F.max("previous_track_ids").alias("previous_track_ids"), F.max("error").alias("error"), F.max("updated_at").alias("updated_at"))
+    out = stores.checkpoint_upsert(agg(flat.where("ord % 3 > 0"), F.max), agg(flat.where("ord % 3 = 0"), F.min))
+    return out.select("run_id", "op_key", "status", F.col("previous_track_ids").alias("previous"))
+
+
+@query("run_totals", f"""WITH {_LOG}, n AS (SELECT run_id, CAST(count(*) FILTER (WHERE status = 'done') AS BIGINT) AS succeeded, CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed, CAST(count(*) AS BIGINT) AS operations FROM log GROUP BY run_id)
+    SELECT *, CAST(succeeded AS DOUBLE) / operations AS success_rate FROM n""")
+def _(spark, d):
+    return syncing.run_totals(A.line_log(spark, d))
+
+
+# ---- metrics
+
+
+_OUTCOMES = """o AS (SELECT CASE WHEN user_id % 7 > 0 THEN 'u' || user_id ELSE '(none)' END AS run_id, ts, CASE event_type WHEN 'click' THEN 'auto' WHEN 'view' THEN 'ambiguous' WHEN 'purchase' THEN 'no_match' ELSE 'skipped' END AS decision,
+    CASE WHEN event_type <> 'error' THEN value / CAST(500 AS DOUBLE) END AS score FROM events),
+    r AS (SELECT 'u' || user_id AS run_id, min(ts) AS started, CASE WHEN user_id % 4 = 0 THEN 'completed' ELSE 'failed' END AS status FROM events WHERE user_id % 2 = 0 GROUP BY user_id)"""
+
+
+@query("run_metrics", f"""WITH {_OUTCOMES}, g AS (SELECT run_id, CAST(count(*) AS BIGINT) AS matches, {', '.join(f"CAST(count(*) FILTER (WHERE decision = '{x}') AS BIGINT) AS {x}" for x in ('auto', 'ambiguous', 'no_match'))}, avg(score) AS mean_score, min(ts) AS first FROM o GROUP BY run_id)
+    SELECT coalesce(g.run_id, r.run_id) AS run_id, coalesce(r.status, CASE WHEN g.run_id = '(none)' THEN 'unassigned' ELSE 'dry_run' END) AS status, coalesce(started, first) AS start, coalesce(matches, 0) AS matches, coalesce(auto, 0) AS auto, coalesce(ambiguous, 0) AS ambiguous, coalesce(no_match, 0) AS no_match, round(mean_score, 6) AS mean_score, CAST(auto AS DOUBLE) / matches AS auto_rate
+    FROM g FULL JOIN r ON g.run_id = r.run_id""")
+def _(spark, d):
+    return metrics.run_metrics(*A.event_outcomes(spark, d)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("confidence_histogram", f"""WITH {_OUTCOMES}, k AS (SELECT DISTINCT run_id, decision FROM o WHERE score IS NOT NULL), b AS (SELECT run_id, decision, least(greatest(CAST(trunc(score * 10) AS BIGINT), 0), 9) AS bucket, count(*) AS n FROM o WHERE score IS NOT NULL GROUP BY ALL)
+    SELECT k.run_id, k.decision, CAST(i AS BIGINT) AS bucket, CAST(coalesce(n, 0) AS BIGINT) AS n FROM k CROSS JOIN range(10) x(i) LEFT JOIN b ON b.run_id = k.run_id AND b.decision = k.decision AND b.bucket = i""")
+def _(spark, d):
+    return metrics.confidence_histogram(A.event_outcomes(spark, d)[0])
+
+
+@query("timer_stats", """WITH g AS (SELECT event_type AS name, list_sort(list(value)) AS v, round(avg(value), 6) AS mean FROM events GROUP BY event_type)
+    SELECT name, CAST(len(v) AS BIGINT) AS count, mean, v[1] AS min, v[len(v)] AS max, v[len(v) // 2 + 1] AS p50, v[CAST(floor(len(v) * CAST(0.95 AS DOUBLE)) AS BIGINT) + 1] AS p95, v[CAST(floor(len(v) * CAST(0.99 AS DOUBLE)) AS BIGINT) + 1] AS p99 FROM g""")
+def _(spark, d):
+    return metrics.timer_statistics(table(spark, d, "events").withColumnRenamed("event_type", "name")).withColumn("mean", F.round("mean", 6))
+
+
+@query("error_top5", "SELECT props AS kind, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'error' GROUP BY props ORDER BY n DESC, kind LIMIT 5")
+def _(spark, d):
+    return metrics.error_top(table(spark, d, "events").where("event_type = 'error'").withColumnRenamed("props", "kind"), 5)
+
+
+@query("recent_errors", "SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def _(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'").withColumn("ord", F.col("event_id"))
+    return metrics.recent_errors(e).select("event_id", "ts")
+
+
+@query("metric_totals", "SELECT 'counter' AS kind, event_type AS name, round(sum(value), 4) AS value FROM events GROUP BY event_type UNION ALL SELECT 'gauge', event_type, arg_max(value, ts) FROM events GROUP BY event_type")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.explode(F.array(F.lit("counter"), F.lit("gauge"))).alias("kind"), F.col("event_type").alias("name"), "value", "ts")
+    return metrics.collected(e).withColumn("value", F.round("value", 4))
+
+
+@query("library_summary", "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE c_custkey % 3 <> 1) AS BIGINT) AS on_a, CAST(count(*) FILTER (WHERE c_custkey % 3 <> 0) AS BIGINT) AS on_b, CAST(count(*) FILTER (WHERE c_custkey % 3 = 2) AS BIGINT) AS on_both FROM customer")
+def _(spark, d):
+    return metrics.library_summary(table(spark, d, "customer").select((F.col("c_custkey") % 3 + 1).cast("int").alias("availability")))
+
+
+@query("library_search", "SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red')")
+def _(spark, d):
+    q = F.lower(F.lit("RED"))
+    return table(spark, d, "part").where(F.lower("p_name").contains(q) | F.lower("p_brand").contains(q)).select("p_partkey", "p_name", "p_brand")
+
+
+@query("direction_filter", "SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey % 2 = 1")
+def _(spark, d):
+    return syncing.pending_sources(A.parts(spark, d), "a", "b").select("id")
+
+
+@query("search_text", """SELECT DISTINCT p_brand || ' (Live) [2017 Remaster]' AS title, trim(concat_ws(' ', trim(regexp_replace(p_brand || ' (Live) [2017 Remaster]', '\\s*(\\([^)]*\\)|\\[[^\\]]*\\])', '', 'g')), p_name)) AS q FROM part""")
+def _(spark, d):
+    title = F.concat("p_brand", F.lit(" (Live) [2017 Remaster]"))
+    return table(spark, d, "part").select(title.alias("title"), text.search_text(title, F.col("p_name")).alias("q")).distinct()
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint").k.alias("k"))
+
+
+@query("eval_quality", """WITH c AS (SELECT CAST(count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS BIGINT) AS fn FROM labels)
+    SELECT *, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / (tp + fn) AS recall, CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) AS f1 FROM c""")
+def _(spark, d):
+    return metrics.evaluation(table(spark, d, "labels"), "quality", "toxic")
