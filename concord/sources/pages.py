@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from concord import schema as S
 from concord.functions.ids import list_id, record_id, whole_seconds
 
 
-def read_pages(spark: SparkSession, path: str, page: StructType) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, page: str) -> DataFrame:
     """Pages saved as JSON files, one page in each file or line."""
     return spark.read.schema(page).option("multiLine", True).json(path)
 
 
-def parsed(pages: DataFrame, page: StructType, column: str = "value") -> DataFrame:
+def parsed(pages: DataFrame, page: str, column: str = "value") -> DataFrame:
     """Pages held as text; what does not parse becomes nulls."""
     return pages.select(F.from_json(column, page).alias("p")).select("p.*")
 

@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 # HTTP answers after which a request is tried again.
 RETRIED = frozenset({408, 429, 500, 502, 503, 504})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def six_digits(values: pd.Series) -> pd.Series:
     """Numbers as C's ``%.6g`` writes them."""
     return values.map(lambda v: None if pd.isna(v) else "%.6g" % v)
