@@ -180,7 +180,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_counts(training: DataFrame, s: Settings) -> DataFrame:
-    """``word, unit, c``: training counts by word hash, with the unit that a word shares; of short words the text too."""
+    """``word, unit, c``: training counts by word hash, with the unit that a word shares."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -11,11 +11,11 @@ chain ``m`` of texts with ``a`` and ``b`` k-mers gives ``m / (a + b - m)``.
 
 Candidates are never paired with each other directly. A bucket's leader is the text whose sketches occur most often
 (in a group of variants, the original), and every text is aligned with the leaders of its buckets: one pair for
-each text and leader. What that leaves open is decided by differences. Let ``D(x)`` be the k-mers in which ``x``
-and the leader differ. For a link between ``u``, which the leader did not get, and ``w``, ``D(u)`` and ``D(w)`` must share
-so many k-mers that they meet in a prefix of ``D(w)`` of about half its length; k-mers that the leader lacks
-come first there, and few texts share those. So no link between candidates is lost, and a large group of variants costs a
-few pairs for each text. Identical texts are one node throughout.
+each text and leader. Texts of one leader that this has not connected are decided by their differences ``D(x)`` from what most
+of the group have. For a link between ``u`` and ``w``, ``D(u)`` and ``D(w)`` must share so many k-mers that they meet in a prefix of
+``D(w)`` of about half its length; rare k-mers come first there, and few texts share those. So no
+link between candidates that matters for the classes is lost, and a large group of variants costs a few pairs for each
+text. Identical texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from concord.operators.components import connected_components
 from concord.session import discard, stored
@@ -187,35 +187,73 @@ def _aligned(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary, na int, nb int, d int, linked boolean")
 
 
-def _differences(open_groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """``leader, node, n, d, open, place, element, probe``: ordered differences from the leader.
+def _differences(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """``leader, node, ca, open, n, d, place, element`` of every row ``a, b, ca, open, usual``: the k-mers in which the text differs from its group.
 
-    Open nodes give all of them; every node gives a prefix (``probe``) that must hold one of those it shares with
-    an open node it is linked to. ``slack`` is the least ``d - n * f`` of the group's open nodes, with ``f`` the share of the
-    k-mers of two linked texts in which they may differ.
+    The group's text has the leader's k-mers but for the ``usual`` differences. A row with place -1 comes before them.
     """
-    f = (1 - s.similarity) / (1 + s.similarity)
     left = texts.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     right = texts.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    rows = open_groups.join(left, "a").join(right, "b").select("a", "b", "linked", "slack", "wa", "wb")
 
     def run(batches):
         for t in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for i, (ok, slack, x, y) in enumerate(zip(*(t.column(c).to_pylist() for c in (2, 3, 4, 5)))):
+            out: list[list] = [[] for _ in range(5)]
+            for i, (x, y, usual) in enumerate(zip(*(t.column(c).to_pylist() for c in (2, 3, 4)))):
                 x, y = (kmers(np.frombuffer(z, np.uint32), s.k) for z in (x, y))
+                if usual:
+                    y = np.setxor1d(y, np.array(usual, np.int64).view(np.uint64), assume_unique=True)
                 diff = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
                 new = len(x) - (len(x) + len(y) - len(diff)) // 2
                 diff = np.concatenate([np.sort(diff[:new]), np.sort(diff[new:])])
-                shared = math.ceil((slack + len(diff) - len(x) * f) / 2 - 1e-9)
-                prefix = len(diff) if shared <= 0 else max(0, len(diff) - shared + 1)
-                n = prefix if ok else len(diff)
-                for c, v in zip(out, ([i] * n, [len(x)] * n, [len(diff)] * n, [not ok] * n, range(n), diff[:n].view(np.int64).tolist(), [p < prefix for p in range(n)])):
+                n = len(diff)
+                for c, v in zip(out, ([i] * (n + 1), [len(x)] * (n + 1), [n] * (n + 1), range(-1, n), [0, *diff.view(np.int64).tolist()])):
                     c.extend(v)
             at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([t.column(1).take(at), t.column(0).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.bool_())], ["leader", "node", "n", "d", "open", "place", "element", "probe"])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).take(at) for c in (1, 0, 5, 6)), *(pa.array(c, pa.int32()) for c in out[1:4]), pa.array(out[4], pa.int64())], ["leader", "node", "ca", "open", "n", "d", "place", "element"])
+
+    rows = groups.join(left, "a").join(right, "b").select("a", "b", "wa", "wb", "usual", "ca", "open")
+    return rows.mapInArrow(run, "leader binary, node binary, ca binary, open boolean, n int, d int, place int, element long")
+
 
-    return rows.mapInArrow(run, "leader binary, node binary, n int, d int, open boolean, place int, element long, probe boolean")
+def _undecided(first: DataFrame, texts: DataFrame, components: DataFrame, s: Settings) -> DataFrame:
+    """``a, b``: the pairs within leaders' groups that may be linked and are not connected yet.
+
+    For a link between ``u`` and ``w``, which differ from their group's text in ``D(u)`` and ``D(w)``, at most a share ``f`` of
+    their k-mers may differ, so ``D(u)`` and ``D(w)`` must share ``(|D(u)| + |D(w)| - f * (n(u) + n(w))) / 2``. ``slack`` is the least ``|D(u)| - f * n(u)`` of the
+    texts that are not connected to the leader: ``w`` shares one of its first ``|D(w)|`` + 1 - that many with each.
+    Where that number is 0 or less, both are also that close to the text that is closest to the group's.
+    """
+    f = (1 - s.similarity) / (1 + s.similarity)
+    part = lambda name, out: components.select(F.col("node").alias(name), F.col("component").alias(out))
+    rows = first.select("a", "b").join(part("a", "ca"), "a", "left").join(part("b", "cb"), "b", "left")
+    rows = rows.select("a", "b", F.coalesce("ca", "a").alias("ca"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("open"))
+    sizes = stored(rows.groupBy("b").agg(F.count("*").alias("members"), F.count_if("open").alias("opened")).where("members > 1 AND opened > 0"), "sizes")
+    rows = stored(rows.join(sizes, "b"), "groups")
+    plain = _differences(rows.withColumn("usual", F.lit(None).cast("array<long>")), texts, s)
+    usual = plain.where("place >= 0").groupBy("leader", "element").agg(F.count("*").alias("times")).join(sizes.select(F.col("b").alias("leader"), "members"), "leader")
+    usual = usual.where("times > members / 2").groupBy("leader").agg(F.collect_list("element").alias("usual"))
+    usual = stored(usual.withColumnRenamed("leader", "b"), "usual")
+    diffs = stored(_differences(rows.join(usual, "b", "left"), texts, s), "differences")
+    own = diffs.where("place < 0").select("leader", "node", "ca", "open", "n", "d", (F.col("d") - F.col("n") * f).alias("q"))
+    # texts so close to the group's that they need not share a difference: all are compared with the closest
+    best = stored(own.groupBy("leader").agg(F.min(F.struct("q", "node", "ca")).alias("m")), "closest")
+    close = own.join(best, "leader").where((F.col("q") + F.col("m.q") <= 1e-9) & (F.col("ca") != F.col("m.ca"))).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
+    slack = stored(own.where("open").groupBy("leader").agg(F.min("q").alias("slack")), "slack")
+    # rare differences first; one that a single text has cannot be shared
+    each = diffs.where("place >= 0").drop("place")
+    often = each.groupBy("leader", "element").agg(F.count("*").alias("times"))
+    place = F.row_number().over(W.partitionBy("leader", "node").orderBy("times", "element")) - 1
+    each = each.join(often, ["leader", "element"]).withColumn("place", place).where("times > 1")
+    known = stored(each.join(own.join(slack, "leader").select("leader", "node", "slack"), ["leader", "node"]), "known")
+    u = known.where("open").select("leader", "element", F.col("node").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("place").alias("pa"), "ca")
+    shared = F.ceil((F.col("slack") + F.col("d") - F.col("n") * f) / 2 - 1e-9)
+    w = known.where((shared <= 0) | (F.col("place") <= F.col("d") - shared)).select("leader", "element", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("place").alias("pb"), F.col("ca").alias("cb"))
+    must = (F.col("da") + F.col("db") - (F.col("na") + F.col("nb")) * f) / 2 - 1e-9
+    meet = (u["leader"] == w["leader"]) & (u["element"] == w["element"]) & (F.col("ca") != F.col("cb"))
+    meet &= F.least("na", "nb") >= F.greatest("na", "nb") * s.similarity - 1e-9
+    meet &= F.least(F.col("da") - F.col("pa"), F.col("db") - F.col("pb")) >= must  # for the first that they share
+    pairs = u.join(w, meet).select("a", "b").unionByName(close)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -223,7 +261,7 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     ``class_id`` is the smallest ``doc_id`` of the documents connected by links (null only if none of them has an id),
     ``class_size`` their number, ``links`` the number of other texts that were found linked to the document's text (0 for a
-    text that only has copies). Texts equal after normalisation are one text; so are all texts without words, null
+    text that only has copies; texts that are connected already are not compared further). Texts equal after normalisation are one text; so are all texts without words, null
     and empty ones included. Repeated rows and ids keep their rows. An empty table gives no rows.
     """
     return _classified(docs, s).select("doc_id", "class_id", "class_size", "links")
@@ -235,32 +273,21 @@ def _classified(docs: DataFrame, s: Settings) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
     buckets = nodes.select("node", "n", F.posexplode("sketch").alias("table", "value")).select("node", "n", F.xxhash64("table", "value").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     shared = stored(buckets.join(sizes, "bucket"), "buckets")
-    fame = shared.groupBy("node").agg(F.sum("size").alias("fame"))
-    leaders = shared.join(fame, "node").groupBy("bucket").agg(F.max(F.struct("fame", "node"))["node"].alias("b"), F.min("n").alias("low"))
-    pairs = shared.join(leaders, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = stored(pairs, "pairs")
+    fame = stored(shared.groupBy("node").agg(F.sum("size").alias("fame")), "fame")
+    leaders = stored(shared.join(fame, "node").groupBy("bucket").agg(F.max(F.struct("fame", "node"))["node"].alias("b")), "leaders")
+    pairs = stored(shared.join(leaders, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = stored(_texts(docs, needed), "words")
     first = stored(_aligned(pairs, texts, s), "first")
 
-    f = (1 - s.similarity) / (1 + s.similarity)
-    slack = first.where("not linked").groupBy("b").agg(F.min(F.col("d") - F.col("na") * f).alias("slack"), F.count("*").alias("open"))
-    members = first.groupBy("b").agg(F.count("*").alias("members"))
-    undecided = first.join(slack.join(members, "b").where("members > 1").select("b", "slack"), "b")
-    diffs = stored(_differences(undecided.select("a", "b", "linked", "slack"), texts, s), "differences")
-    u = diffs.where("open").select("leader", "element", F.col("node").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("place").alias("pa"))
-    w = diffs.where("probe").select("leader", "element", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("place").alias("pb"))
-    must = (F.col("da") + F.col("db") - (F.col("na") + F.col("nb")) * f) / 2 - 1e-9  # differences that two linked texts share
-    meet = (u["leader"] == w["leader"]) & (u["element"] == w["element"]) & (F.col("a") != F.col("b"))
-    meet &= F.least("na", "nb") >= F.greatest("na", "nb") * s.similarity - 1e-9
-    meet &= F.least(F.col("da") - F.col("pa"), F.col("db") - F.col("pb")) >= must  # for the first that they share
-    more = u.join(w, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    early = first.where("linked").select("a", "b")
+    more = _undecided(first, texts, connected_components(early, "a", "b"), s)
     second = stored(_aligned(more, texts, s), "second")
-
-    edges = stored(first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    for t in (shared, diffs, first, second, texts, pairs):
+    edges = early.unionByName(second.where("linked").select("a", "b"))
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    for t in (sizes, shared, fame, leaders, pairs, first, second, texts):
         discard(t)
     components = connected_components(edges, "a", "b")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
