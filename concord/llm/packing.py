@@ -14,13 +14,17 @@ length. Ranks are dealt over salted groups: a length that a third of all pieces
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain, islice
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from concord.session import stored
@@ -29,10 +33,50 @@ from concord.session import stored
 CACHE = 600_000
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class _Lists:
+    """Lists of ids one after another, found by their numbers."""
+
+    def __init__(self) -> None:
+        self.flat, self.at, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0, 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def extend(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(ends) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[self.n + 1 : self.n + 1 + len(ends)] = self.used + ends
+        self.used += len(ids)
+        self.n += len(ends)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists with these numbers in a row, and the lists' lengths."""
+        start = self.at[numbers]
+        size = self.at[numbers + 1] - start
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
+def _latest(numbers: _Numbers, seen: int) -> list[str]:
+    return list(islice(reversed(numbers), len(numbers) - seen))[::-1]
+
+
 class WordEncoder:
     """Token ids of whole texts by a ``tokenizers`` file whose pieces never cross white space.
 
-    The library encodes each distinct lower-case word once; a text's ids are its words' ids in a row. Texts
+    The library encodes each distinct piece once (runs of letters, of signs, single digits: the file's own
+    pattern, after lower-casing and NFC); a text's ids are its words' ids in a row, a word's those of its pieces. Texts
     with a special string, or with characters on which Python and the library differ, go to it whole.
     """
 
@@ -41,43 +85,54 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.mark, self.mark_id = next((t.content, i) for i, t in added.items() if t.special)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            self.pattern = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.whole = re.compile("|".join(["[\x1c-\x1f\u03a3]", *(re.escape(t.content) for t in added.values())]))
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self._forget()
-        for i in range(0, len(words), 512):
-            part = words[i : i + 512]  # encoded in one go, with a special token between the words
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.int64)
-            marks = np.flatnonzero(ids == self.mark_id)
-            n, ids = len(self.known), np.delete(ids, marks)
-            m = len(ids)
-            while self.used + m > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) + 1 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.flat[self.used : self.used + m] = ids
-            self.at[n + 1 : n + 1 + len(part)] = self.used + np.append(marks - np.arange(len(marks)), m)
-            self.known.update(zip(part, range(n, n + len(part))))
-            self.used += m
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.whole.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.lower().split()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            self._learn(new if len(self.known) + len(new) <= CACHE else list(dict.fromkeys(words)))
-        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        start, size = self.at[k], self.at[k + 1] - self.at[k]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.known, self.parts = _Numbers(), _Numbers()  # words, and the pieces they consist of
+        self.words, self.pieces = _Lists(), _Lists()  # ids of each
+
+    def _learn(self) -> None:
+        """Encode the words that got a number since the last call: their new pieces go to the library."""
+        new = _latest(self.known, len(self.words))
+        own = [self.pattern.findall(w if w.isascii() else normalize("NFC", w)) for w in new]
+        consists = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(own)), np.int64)
+        fresh = _latest(self.parts, len(self.pieces))
+        for i in range(0, len(fresh), 2048):
+            some = fresh[i : i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):  # the library cuts one of them otherwise
+                each = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in some]
+                ids, ends = np.array(list(chain.from_iterable(each)), np.int64), np.cumsum([len(x) for x in each])
+            self.pieces.extend(ids, ends)
+        ids, sizes = self.pieces.gather(consists)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(x) for x in own], dtype=np.int64)]
+        self.words.extend(ids, ends)
+
+    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        waiting: list[np.ndarray | None] = []
+        first = size = 0
+        for i, text in enumerate(texts):
+            if self.whole.search(text):
+                waiting.append(None)
+            else:
+                words = text.lower().split()
+                waiting.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
+                size += len(words)
+            if size > 500_000 or i == len(texts) - 1:
+                self._learn()
+                for k, own in enumerate(waiting):
+                    yield self.words.gather(own)[0] if own is not None else np.array(self.tokenizer.encode(texts[first + k], add_special_tokens=False).ids, np.uint32)
+                waiting, first, size = [], i + 1, 0
+                if len(self.known) > CACHE:
+                    self._forget()
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -87,8 +142,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
         encoder = WordEncoder(vocabulary)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4")
+            for i, ids in enumerate(encoder.batch([t or "" for t in b.column(1).to_pylist()])):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k in range(0, len(ids), capacity):
                     part = ids[k : k + capacity]
                     row.append(i)
