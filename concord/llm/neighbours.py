@@ -29,7 +29,7 @@ class Settings:
     part: int = 4  # components of a vector that one code byte covers
     rerank: int = 50
     block: int = 20_000  # vectors of a list in one task
-    queries: int = 500  # queries of a list in one task
+    queries: int = 10_000  # queries of a list in one task; each further share of them reads the list again
     seed: int = 5
 
 
