@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template svg math iframe noembed noframes xmp object canvas audio video".split())
-NEVER = RAW | frozenset("head title noscript select option optgroup datalist textarea button".split())
+NEVER = RAW | frozenset("head title noscript select option optgroup datalist textarea button dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label output".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -223,7 +223,7 @@ def marginals(nodes: list[Node], score: list[float], pair: list) -> tuple[list[f
     return content, joint
 
 
-def train(pages: list[tuple[list[Node], list[int]]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> Model:
+def train(pages: list[tuple[list[Node], list[int]]], rounds: int = 14, rate: float = 1.0, decay: float = 3e-4) -> Model:
     """Gradient ascent (one step for each page) on the likelihood of the labels of all nodes."""
     weights: dict[str, float] = {}
     pair = np.zeros((OTHER + 1, OTHER + 1, 4))

@@ -90,7 +90,7 @@ class Maker:
             inner = r.choice([para(2, 20), self.el("label", self.words(1, 3), 0), self.words(2, 15)]) + "<input type=text><button>" + self.words(1, 2) + "</button>"
             form = self.el(self.named("form", names, 0.5), inner, 0)
             return self.el(self.named("div", names, 1), r.choice(["", para(3, 20)]) + form, 0) if r.random() < 0.4 else form
-        tag = r.choice(["div", "div", "section", "aside", "p", "ul" if kind == "share" else "div"])
+        tag = r.choice(["div", "div", "section", "aside", "p", "p", "ul" if kind == "share" else "div"])
         inner = links(2, 5) if tag == "ul" else self.words(1, 40) if tag == "p" else r.choice([self.words(1, 40), para(2, 40), para(3, 30) + para(2, 20), f"<a href='/go'>{self.words(2, 12)}</a>"])
         opening = self.named(tag, names, 1)
         if kind == "notice" and r.random() < 0.2:
@@ -155,7 +155,7 @@ def labels(nodes: list[Node]) -> list[int]:
     return out
 
 
-def labelled_pages(n: int = 500, seed: int = 3) -> list[tuple[list[Node], list[int]]]:
+def labelled_pages(n: int = 900, seed: int = 3) -> list[tuple[list[Node], list[int]]]:
     found = []
     for i in range(n):
         nodes, _ = parse(Maker(seed * 1_000_003 + i).page())
