@@ -67,6 +67,7 @@ def canonical(tracks: DataFrame, service: str) -> DataFrame:
 
 
 def canonical_lists(lists: DataFrame, service: str) -> DataFrame:
+    """Canonical headers; ids of lists of service b are theirs with a fixed prefix."""
     none = F.lit(None).cast("string")
     own = list_id(F.col("owner"), F.col("name")) if service == "a" else F.concat(F.lit("apple:"), "id")
     return lists.select(own.alias("id"), "name", "owner", "description", (F.col("id") if service == "a" else none).alias("a_id"), (F.col("id") if service == "b" else none).alias("b_id"))
