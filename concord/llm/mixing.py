@@ -72,8 +72,8 @@ def schedule(shares: DataFrame) -> DataFrame:
     return by_slot.withColumn("turn", F.row_number().over(W.partitionBy("skey").orderBy("slot")) - 1)
 
 
-def mixed(docs: DataFrame, block: int = 20_000, slots: int = 1000, weights: dict[str, float] | None = None, alpha: float = 0.7, keep: list[str] | None = None) -> DataFrame:
-    """Every document with its place in the mixture: ``doc_id, source, block, slot, in_mix`` and ``keep`` columns.
+def mixed(docs: DataFrame, block: int = 20_000, slots: int = 1000, weights: dict[str, float] | None = None, alpha: float = 0.7) -> DataFrame:
+    """Every document with its place in the mixture: ``doc_id, source, block, slot, in_mix``.
 
     ``block`` is a block's volume in characters. A document belongs to the block in which it starts within its
     source (order: a hash of ``doc_id``, then ``doc_id`` and text). ``slot`` orders the mixture; a source that has run out is passed over.
@@ -82,8 +82,17 @@ def mixed(docs: DataFrame, block: int = 20_000, slots: int = 1000, weights: dict
     are not in the mixture. Nothing is dropped here: all other rows stay with ``in_mix`` false. Null texts have no volume, a null source is one source, null and repeated ``doc_id`` and repeated
     rows all get a place; an empty table gives no rows.
     """
+    return _placed(docs, ["doc_id", "source"], block, slots, weights, alpha).select("row.*", "block", "slot", "in_mix")
+
+
+def mixture(docs: DataFrame, block: int = 20_000, slots: int = 1000, weights: dict[str, float] | None = None, alpha: float = 0.7) -> DataFrame:
+    """The documents that are in the mixture, with all columns of ``docs``."""
+    return _placed(docs, docs.columns, block, slots, weights, alpha).where("in_mix").select("row.*")
+
+
+def _placed(docs: DataFrame, names: list[str], block: int, slots: int, weights: dict[str, float] | None, alpha: float) -> DataFrame:
+    """``row`` (a struct of the named columns), ``block, slot, in_mix``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    names = list(dict.fromkeys(["doc_id", "source", *(keep or [])]))
     own = docs.select(F.struct(*names).alias("row"), _key(F.col("source")).alias("skey"), F.char_length(text).cast("long").alias("volume"), F.xxhash64("doc_id").alias("h"), F.xxhash64(text).alias("th"))
     keyed = own.withColumn("salt", F.pmod(F.shiftrightunsigned("h", 8), F.lit(256)))
     sums = stored(keyed.groupBy("skey", "salt").agg(F.sum("volume").alias("v"), F.count("*").alias("n")), "mix")
@@ -98,4 +107,4 @@ def mixed(docs: DataFrame, block: int = 20_000, slots: int = 1000, weights: dict
     placed = placed.join(before, ["skey", "salt"]).withColumn("block", F.expr(f"(start + base) div {block}"))
     placed = placed.join(F.broadcast(tables), "skey", "left")
     place = F.expr("(block div share) * total + element_at(at, cast(block % share AS int) + 1)")
-    return placed.select("row.*", "block", place.alias("slot"), F.coalesce(place < F.col("end"), F.lit(False)).alias("in_mix"))
+    return placed.select("row", "block", place.alias("slot"), F.coalesce(place < F.col("end"), F.lit(False)).alias("in_mix"))

@@ -195,7 +195,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
             size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def prefix_tables(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -211,4 +211,4 @@ def prefix_tables(docs: DataFrame, vocabulary: str) -> DataFrame:
             tables = [counter.table(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[0] for t in tables], pa.list_(pa.int64())), pa.array([t[1] for t in tables], pa.list_(pa.int64()))], ["doc_id", "ends", "counts"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ends array<long>, counts array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ends array<long>, counts array<long>")

@@ -162,7 +162,7 @@ def test_schedule(spark):
 def test_mixing(spark):
     rows = [(i, "x" * 10, "clash", "hot" if i % 3 else "b") for i in range(900)] + [(None, None, None, None)] * 3
     d = spark.createDataFrame(rows, DOCS).repartition(4)
-    got = mixing.mixed(d, block=20, slots=100, weights={"hot": 0.5, "b": 0.5}, keep=["node"]).collect()
+    got = mixing.mixed(d, block=20, slots=100, weights={"hot": 0.5, "b": 0.5}).collect()
     assert len(got) == len(rows) and all(r.slot is None and not r.in_mix for r in got if r.source is None)
     first = sorted({(r.slot, r.source) for r in got if r.source})
     assert len({s for s, _ in first}) == len(first)  # a block for a slot
@@ -173,6 +173,9 @@ def test_mixing(spark):
     natural = mixing.mixed(d, block=20, slots=50, alpha=1.0)
     assert natural.count() == len(rows) and natural.where("in_mix").count() > 0.9 * len(rows)
     assert mixing.mixed(d.limit(0)).count() == 0
+    clash = d.selectExpr("*", "1 AS slot", "2 AS in_mix", "3 AS row")
+    part = mixing.mixture(clash, block=20, slots=50, alpha=1.0)
+    assert part.columns == clash.columns and part.count() == natural.where("in_mix").count()
 
 
 def test_neighbours(spark):
@@ -205,7 +208,7 @@ def test_neighbours(spark):
 
 
 def test_pipeline(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'x' AS score", "1 AS slot", "2 AS component")  # names that operators use
     kept = [d]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept.append(corpus_pipeline.stored(stage(spark, kept[-1], sf), name))
@@ -218,5 +221,6 @@ def test_pipeline(spark, sf):
     assert len(by[2]) == len({fold(t) for _, t in by[1]})
     assert sorted(i for i, _ in by[3]) == sorted(v[0] for v in brute_classes(by[2]))
     assert set(by[4]) <= set(by[3]) and len(by[4]) > 0.8 * len(by[3])
-    rows = corpus_pipeline.run(spark, sf).collect()
+    rows = corpus_pipeline.STAGES[-1][1](spark, kept[-1], sf).collect()
     assert {r.doc_id for r in rows} == {i for i, _ in by[4]}
+    assert {tuple(r) for r in corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").collect()} == {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows}
