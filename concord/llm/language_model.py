@@ -9,7 +9,7 @@ Weights start from the units' counts and are learned by distributed gradient upd
 the training documents in mini-batches from the common weights, and the trainers' weights are averaged by
 volume. Rounds use different documents; all rounds together use every training document once.
 
-Word counts are one aggregate over all training documents. The ``frequent`` most frequent words' counts go to
+Word counts are one aggregate over all training documents. The counts of the most frequent words, ``frequent`` at most, go to
 the scoring tasks (a bounded table); counts of all other words are joined by word. Words meet by a 64-bit hash.
 """
 
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -197,6 +198,22 @@ def word_counts(training: DataFrame, s: Settings) -> DataFrame:
     return training.mapInArrow(job, "word long, unit int, c long").groupBy("word").agg(F.max("unit").alias("unit"), F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The rows of ``counts`` from the least count on that at most ``most`` words reach, most frequent first.
+
+    A histogram of counts by magnitude finds that count, so tasks send these rows and no others to the driver.
+    """
+    level = F.floor(F.log2("c") * 16)
+    words, lowest = 0, None
+    for x in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 16 * 63 rows
+        words += x["count"]
+        if words > most:
+            break
+        lowest = x["level"]
+    found = counts.where(level >= lowest if lowest is not None else F.lit(False))
+    return found.toArrow().to_pandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+
+
 def _trained(training: DataFrame, words: dict[int, int], start: np.ndarray, n_tokens: int, s: Settings) -> np.ndarray:
     """Rounds of local passes and averages. The weights are of a fixed size, and so is what the driver gets."""
     w, blocks = start, 64
@@ -260,7 +277,7 @@ def language_scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     training = own.where("NOT held_out").select("text", "h")
     counts = stored(word_counts(training.select("text"), s), "counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(s.frequent).toPandas()  # a bounded table
+    top = most_frequent(counts, s.frequent)
     end = np.uint64(word_hash(END)).astype(np.int64)
     ranked = top[top.word != end].head(s.own)
     units = {int(w) & (2**64 - 1): i for i, w in enumerate(ranked.word)} | {word_hash(END): s.own}
