@@ -90,8 +90,18 @@ def mixture(docs: DataFrame, block: int = 20_000, slots: int = 1000, weights: di
     return _placed(docs, docs.columns, block, slots, weights, alpha).where("in_mix").select("row.*")
 
 
+def interleaved(docs: DataFrame, block: int = 20_000, slots: int = 1000, weights: dict[str, float] | None = None, alpha: float = 0.7) -> DataFrame:
+    """Every document in the order of the schedule, with all columns of ``docs``: partitions are ranges of slots, rows are sorted inside.
+
+    Written, the files by name have that order. No row is dropped: what a source has beyond the mixture comes in its
+    later slots, and sources without weight come last.
+    """
+    at = [F.asc_nulls_last("slot"), F.asc("h"), F.asc("row.doc_id"), F.asc("th")]
+    return _placed(docs, docs.columns, block, slots, weights, alpha).repartitionByRange(*at).sortWithinPartitions(*at).select("row.*")
+
+
 def _placed(docs: DataFrame, names: list[str], block: int, slots: int, weights: dict[str, float] | None, alpha: float) -> DataFrame:
-    """``row`` (a struct of the named columns), ``block, slot, in_mix``."""
+    """``row`` (a struct of the named columns), hashes ``h, th`` of id and text, ``block, slot, in_mix``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.struct(*names).alias("row"), _key(F.col("source")).alias("skey"), F.char_length(text).cast("long").alias("volume"), F.xxhash64("doc_id").alias("h"), F.xxhash64(text).alias("th"))
     keyed = own.withColumn("salt", F.pmod(F.shiftrightunsigned("h", 8), F.lit(256)))
@@ -107,4 +117,4 @@ def _placed(docs: DataFrame, names: list[str], block: int, slots: int, weights:
     placed = placed.join(before, ["skey", "salt"]).withColumn("block", F.expr(f"(start + base) div {block}"))
     placed = placed.join(F.broadcast(tables), "skey", "left")
     place = F.expr("(block div share) * total + element_at(at, cast(block % share AS int) + 1)")
-    return placed.select("row", "block", place.alias("slot"), F.coalesce(place < F.col("end"), F.lit(False)).alias("in_mix"))
+    return placed.select("row", "h", "th", "block", place.alias("slot"), F.coalesce(place < F.col("end"), F.lit(False)).alias("in_mix"))

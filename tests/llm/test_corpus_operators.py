@@ -178,6 +178,22 @@ def test_mixing(spark):
     assert part.columns == clash.columns and part.count() == natural.where("in_mix").count()
 
 
+def test_mixing_stage_keeps_all_in_order(spark, tmp_path):
+    rows = [(i, f"{i:05d} " * 500, "clash", "hot" if i < 400 else f"s{i % 19}") for i in range(1200)] + [(None, None, None, None)] * 3
+    d = spark.createDataFrame(rows, DOCS).repartition(4)
+    place = {r.doc_id: r.slot for r in mixing.mixed(d, alpha=0.7).collect()}
+    assert mixing.mixed(d, alpha=0.7).where("NOT in_mix").count() > 100  # the stage used to drop these
+    out = corpus_pipeline.mix_sources(spark, d, "")
+    assert out.columns == d.columns
+    out.write.parquet(f"{tmp_path}/mix")
+    found = [r for f in sorted(tmp_path.glob("mix/part-*")) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    assert collections.Counter(map(tuple, found)) == collections.Counter(rows)
+    slots = [place[r.doc_id] for r in found]
+    assert slots == sorted(slots) and len(set(slots)) > 100
+    some = mixing.interleaved(d, weights={"hot": 1.0}).collect()  # the others have no slot
+    assert len(some) == len(rows) and [r.source == "hot" for r in some] == [True] * 400 + [False] * 803
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
