@@ -313,6 +313,54 @@ def _(spark, d):
     return syncing.diff_summary(syncing.library_diff(A.parts(spark, d, codes=True), source, "a", "b", target, STRICT))
 
 
+# ---- the matching queries above with the reference's limits (500 and 0.65)
+
+
+def _full(name: str, low: str = "0.65"):
+    """Registers ``name`` with "_full": its SQL with the limits of the default policy."""
+    sql = ORACLES[name].replace(O.pairs(100, "rest"), O.pairs(500, "rest")).replace(O.pairs(100), O.pairs())
+    return query(f"{name}_full", sql.replace(O.decisions("both_ways", "src", low), O.decisions("both_ways", "src")))
+
+
+@_full("match_cascade")
+def _(spark, d):
+    return _decision_rows(matching.matched(A.parts(spark, d, codes=True), "a", "b", p=P))
+
+
+@_full("match_stats")
+def _(spark, d):
+    return matching.statistics(matching.matched(A.parts(spark, d, codes=True), "a", "b", p=P))
+
+
+@_full("override_cascade")
+def _(spark, d):
+    m, e = A.overrides(spark, d)
+    return _decision_rows(matching.matched(A.parts(spark, d, codes=True), "a", "b", m, e, P))
+
+
+@_full("match_outcomes")
+def _(spark, d):
+    m, e = A.overrides(spark, d)
+    return matching.outcomes(matching.matched(A.parts(spark, d, codes=True), "a", "b", m, e, P), "run-1", "a", "b").drop("recorded_at", "source_service", "target_service")
+
+
+@_full("pending_resolutions")
+def _(spark, d):
+    found = matching.pending_resolutions(A.parts(spark, d), [("a", "b")], p=P)
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
+@_full("track_diff", "0.8")
+def _(spark, d):
+    return syncing.track_ops(matching.matched(A.parts(spark, d, codes=True), "a", "b", pending_only=True, p=P), "b").drop("members")
+
+
+@_full("diff_summary", "0.8")
+def _(spark, d):
+    source, target = A.conversation_lists(spark, d)
+    return syncing.diff_summary(syncing.library_diff(A.parts(spark, d, codes=True), source, "a", "b", target, P))
+
+
 # ---- checkpoints
 
 
