@@ -13,6 +13,7 @@ its pieces' tables; pieces repeat, so every worker keeps tables of pieces it has
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Chunks and token pairs a worker remembers before it starts afresh; bounds memory only.
 CACHE = 800_000
 
+#: Longer pieces (bytes) have a table of their own, which is dropped after the piece.
+LONG = 200
+
 
 def _byte_letters() -> dict[str, int]:
     """The printable letter that byte-level vocabularies write for each byte."""
@@ -94,6 +98,8 @@ class PrefixCounter:
 
     def piece(self, data: bytes) -> list[int]:
         """Token count of every prefix of one piece: entry ``i`` is that of ``data[:i + 1]``."""
+        if len(data) > LONG:
+            return self._long(data)[1:].tolist()
         self._extend(data)
         return [self.states[data[:i]][1] for i in range(1, len(data) + 1)]
 
@@ -102,6 +108,8 @@ class PrefixCounter:
 
         Pieces share prefixes, so the pass starts after the longest prefix in the table.
         """
+        if len(data) > LONG:
+            return self._long(data)[-1]
         states, vocab, apart, sizes, few = self.states, self.vocab, self.apart, self.sizes, (2, 1)
         if len(states) > CACHE:
             states.clear()
@@ -123,6 +131,26 @@ class PrefixCounter:
                         break
         return states[data][1]
 
+    def _long(self, data: bytes) -> array:
+        """Token counts of all prefixes of a long piece, the empty one first: the same pass over arrays by position."""
+        vocab, apart, sizes, few = self.vocab, self.apart, self.sizes, (2, 1)
+        last, count = array("i", [0]), array("q", [0])  # length of the last token, tokens
+        for end in range(1, len(data) + 1):
+            for size in sizes.get(data[max(0, end - 3) : end], few):  # longest token first
+                token, at = data[max(0, end - size) : end], end - size
+                if at >= 0 and token in vocab:
+                    before = data[at - last[at] : at]
+                    fits = at == 0 or apart.get((before, token))
+                    if fits is None:
+                        fits = self._kept_apart(before, token)
+                    if fits:
+                        last.append(size)
+                        count.append(count[at] + 1)
+                        break
+            else:
+                raise KeyError(data[max(0, end - 3) : end])
+        return count
+
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
         for m in self.cut.finditer(text) if self.cut else ():

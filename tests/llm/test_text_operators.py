@@ -49,6 +49,15 @@ def test_prefixes_of_a_piece():
         assert c.piece(word.encode()) == [len(t.encode(word[: i + 1], add_special_tokens=False).ids) for i in range(len(word))]
 
 
+def test_long_pieces_keep_nothing():
+    t, c, rng = Tokenizer.from_file(BYTES), tokens.PrefixCounter(BYTES), random.Random(3)
+    mixed = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé語") for _ in range(4000))
+    for word in ("a" * 4000, "-" * 4000, mixed):
+        assert c.count(word) == len(t.encode(word, add_special_tokens=False).ids)
+    assert sum(map(len, c.states)) < 100_000  # was about half the square of each length
+    assert c.piece(mixed[:300].encode())[-1] == len(t.encode(mixed[:300], add_special_tokens=False).ids)
+
+
 def test_token_counts_of_nothing(spark):
     d = spark.createDataFrame([(None, None), (1, "a"), (1, "a")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_tokens) for r in tokens.token_counts(d, BYTES).collect()) == [(0, 0), (1, 1), (1, 1)]
