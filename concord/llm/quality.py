@@ -11,9 +11,11 @@ are for whole texts: every word of every document is read.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -23,6 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 #: Words a worker remembers before it starts afresh; bounds memory only.
 CACHE = 300_000
 
+#: Longer words (characters) are read in whole, but not remembered.
+LONG = 48
+
 #: So many further words without a say are averaged in, so that very short texts lean to the prior.
 EVEN = 2
 
@@ -32,7 +37,6 @@ class Settings:
     buckets: int = 1 << 16
     dim: int = 16
     ngram: int = 3
-    longest: int = 24  # characters of a word from which n-grams are taken, at its start and end
     sample: int = 4000
     epochs: int = 12
     steps: int = 15_000  # at least so many steps in all, so small samples are passed over more often
@@ -41,13 +45,12 @@ class Settings:
     seed: int = 7
 
 
-def word_buckets(word: str, s: Settings) -> list[int]:
+def word_buckets(word: str, s: Settings) -> array:
     """Hashed features of a word: itself, the n-grams of ``<word>``, and its letter case and last sign."""
-    text = f"<{word if len(word) <= 2 * s.longest else word[: s.longest] + word[-s.longest :]}>"
-    n = s.ngram
-    names = [text[i : i + n] for i in range(len(text) - n + 1)]
-    names += (f"w {word}", f"s {word.isupper()} {word.isalpha()} {'a' if word[-1].isalnum() else word[-1]}")
-    return [crc32(x.encode()) % s.buckets for x in names]
+    text, n = f"<{word}>", s.ngram
+    grams = (text[i : i + n] for i in range(len(text) - n + 1))
+    more = (f"w {word}", f"s {word.isupper()} {word.isalpha()} {'a' if word[-1].isalnum() else word[-1]}")
+    return array("i", (crc32(x.encode()) % s.buckets for x in chain(grams, more)))
 
 
 def pair_bucket(kind: str, s: Settings) -> int:
@@ -60,7 +63,7 @@ def document_words(text: str) -> tuple[list[str], int]:
     return words, sum(map(str.__eq__, words, words[1:]))
 
 
-def document_features(text: str, s: Settings, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: str, s: Settings, known: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of a document; a text without words has none."""
     words, same = document_words(text)
     if not words:
@@ -69,9 +72,11 @@ def document_features(text: str, s: Settings, known: dict[str, list[int]]) -> tu
     for word, n in Counter(words).items():
         b = known.get(word)
         if b is None:
-            if len(known) >= CACHE:
-                known.clear()
-            b = known[word] = word_buckets(word, s)
+            b = word_buckets(word, s)
+            if len(word) <= LONG:
+                if len(known) >= CACHE:
+                    known.clear()
+                known[word] = b
         ids.append(b)
         weights.append(np.full(len(b), n / len(b) / (len(words) + EVEN)))
     ids.append(np.array([pair_bucket("same", s), pair_bucket("other", s)]))
@@ -118,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict[st
     chosen = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[int]] = {}
+        cache: dict[str, array] = {}
         for b in batches:
             found = [document_features(t or "", s, cache) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["doc_id", "quality", "b", "w"])
@@ -144,10 +149,12 @@ class Scorer:
         self.same, self.other = (self.values[pair_bucket(k, s)] for k in ("same", "other"))
 
     def word(self, word: str) -> float:
-        if len(self.known) >= CACHE:
-            self.known.clear()
         b = word_buckets(word, self.settings)
-        value = self.known[word] = sum(map(self.values.__getitem__, b)) / len(b)
+        value = sum(map(self.values.__getitem__, b)) / len(b)
+        if len(word) <= LONG:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[word] = value
         return value
 
     def score(self, text: str) -> float:

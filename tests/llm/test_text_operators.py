@@ -58,6 +58,17 @@ def test_long_pieces_keep_nothing():
     assert c.piece(mixed[:300].encode())[-1] == len(t.encode(mixed[:300], add_special_tokens=False).ids)
 
 
+def test_long_words_are_read_in_whole():
+    s, known = quality.Settings(), {}
+    middle = "a" * 30 + "".join(map(chr, range(0x4E00, 0x4E00 + 200))) + "b" * 30
+    assert len(quality.word_buckets(middle, s)) == len(middle) + 2  # n-grams of <word>, and two more
+    scorer = quality.Scorer({"score": np.arange(s.buckets, dtype=np.float32), "bias": np.zeros(1)}, s)
+    b = quality.word_buckets(middle, s)
+    assert scorer.word(middle) == pytest.approx(sum(b) / len(b)) and middle not in scorer.known
+    buckets, weights = quality.document_features(middle, s, known)
+    assert not known and set(b) <= set(buckets.tolist()) and weights.sum() == pytest.approx(1 / 3)
+
+
 def test_token_counts_of_nothing(spark):
     d = spark.createDataFrame([(None, None), (1, "a"), (1, "a")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_tokens) for r in tokens.token_counts(d, BYTES).collect()) == [(0, 0), (1, 1), (1, 1)]
