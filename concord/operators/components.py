@@ -54,16 +54,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
         return near.withColumnRenamed("low", "component")
     star = near.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     both = stored(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    before = labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    discard(near)
     for _ in range(limit):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        seen = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
+        close = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
+        seen = labels.join(close, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
         moved = seen.join(jump, F.col("low") == F.col("via"), "left").select("node", "component", F.least("low", F.coalesce("far", "low")).alias("next"))
         after = stored(moved, "labels")
         changed = after.where("next != component").limit(1).count()
-        discard(labels)
-        labels = after.select("node", F.col("next").alias("component"))
+        discard(before)
+        before, labels = after, after.select("node", F.col("next").alias("component"))
         if not changed:
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {limit} rounds")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
 
@@ -27,19 +27,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders made where no shared one is named, by application.
-_own: dict[str, str] = {}
+#: Settings for work on long texts, where the session has none of its own: Arrow batches bounded by bytes (a batch of
+#: long rows is otherwise as large as its rows), and shuffle files that go when their query ends.
+LONG_TEXTS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def for_long_texts(spark: SparkSession) -> SparkSession:
+    for key, value in LONG_TEXTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
+#: The folder of each application's tables.
+_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
+    """The folder of this application's tables, inside the one that all executors share.
+
+    That is ``spark.checkpoint.dir``; a local session may leave it unset and gets a temporary folder. The folder is
+    deleted when the driver ends, or by ``clear``.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="concord-")
-    return _own[app]
+    if app not in _folders:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="concord-")
+        _folders[app] = f"{folder.rstrip('/')}/concord-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(clear, spark)
+    return _folders[app]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored."""
+    try:
+        folder = _folders.pop(spark.sparkContext.applicationId, None)
+        if folder:
+            _delete(spark, folder)
+    except Exception:  # noqa: BLE001  at the driver's end the session may be gone already
+        return
 
 
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
@@ -48,24 +82,14 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     The files survive lost executors, and later plans see true row counts.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/concord-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a ``stored`` frame that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark).rstrip("/")
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/concord-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps, which it does once their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind ``stored`` frames that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._stored_at)
