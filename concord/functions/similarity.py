@@ -37,6 +37,36 @@ def similarity(a: Column, b: Column) -> Column:
     )
 
 
+def similarity_sql(a: str, b: str) -> str:
+    """``similarity`` of two names in SQL text, for use inside larger expressions; the names are of lower-case keys."""
+    inside = f"contains({a}, {b}) OR contains({b}, {a})"
+    longer = f"greatest(length({a}), length({b}))"
+    return (
+        f"CASE WHEN {a} = {b} THEN 1D WHEN length({a}) = 0 OR length({b}) = 0 THEN 0D "
+        f"WHEN {inside} THEN CAST(least(length({a}), length({b})) AS DOUBLE) / {longer} "
+        f"ELSE 1D - CAST(levenshtein({a}, {b}) AS DOUBLE) / {longer} END"
+    )
+
+
+def parts_sql(title: str, artist: str, s: str, t: str, p: Policy) -> dict[str, str]:
+    """SQL of a pair's component scores, from its similarities and the prefixes of both sides' columns; all but the last are 1 for equal codes."""
+    code = f"coalesce({s}code_key = {t}code_key, false)"
+    album = f"CASE WHEN {s}album_key IS NULL OR {t}album_key IS NULL THEN 0.5D ELSE {similarity_sql(f'{s}album_key', f'{t}album_key')} END"
+    apart = f"abs({s}seconds - {t}seconds)"
+    near = f"1D - CAST({apart} AS DOUBLE) / {float(p.tolerance or 1)}D"
+    return {
+        "by_code": code,
+        **{f"{name}_score": f"if({code}, 1D, {x})" for name, x in (("title", title), ("artist", artist), ("album", album))},
+        "duration_score": f"CASE WHEN {apart} IS NULL THEN 0.5D WHEN {apart} = 0 THEN 1D WHEN {apart} <= {p.tolerance} THEN {near} ELSE 0D END",
+    }
+
+
+def score_sql(x: str, p: Policy) -> str:
+    """SQL of a pair's score from its component scores; the order of the additions is fixed."""
+    parts = " + ".join(f"{x}{name}_score * {getattr(p, name)}D" for name in ("title", "artist", "album", "duration"))
+    return f"if({x}by_code, {p.code_score}D, {parts})"
+
+
 def duration_score(a: Column, b: Column, tolerance: int = 5) -> Column:
     d = F.abs(a - b)
     near = F.lit(1.0) - d.cast("double") / F.lit(float(tolerance or 1))
@@ -56,8 +86,9 @@ def valid_code(c: Column) -> Column:
     return F.coalesce(F.replace(c, F.lit("-"), F.lit("")).rlike(r"^[\p{Lu}\p{N}]{12}$"), F.lit(False))
 
 
-def pre_score(title_a: Column, title_b: Column, artist_a: Column, artist_b: Column) -> Column:
-    return similarity(title_a, title_b) * 0.6 + similarity(artist_a, artist_b) * 0.4
+def pre_score(title: Column, artist: Column) -> Column:
+    """The score that ranks candidates, from the similarities of titles and of artists."""
+    return title * 0.6 + artist * 0.4
 
 
 def album_score(a: Column, b: Column) -> Column:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from concord.functions.similarity import Policy, album_score, duration_score, fuzzy_score, pre_score, similarity
+from concord.functions.similarity import Policy, parts_sql, score_sql, similarity_sql
 from concord.functions.text import album_key, artist_key, title_key
+from concord.session import stored
 
 FLAGS = {"a": 1, "b": 2}
 
@@ -51,61 +52,80 @@ def code_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     return _side(source, "s").join(best, F.col("s_code_key") == F.col("t_code_key"))
 
 
+def key_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> DataFrame:
+    """``s_title_key, s_artist_key, t_title_key, t_artist_key, title_sim, artist_sim, pre``: names that share a rare word.
+
+    A name (title and artist key) is compared once, however many records have it. Of each source name's ranked target names only
+    those are kept that its best ``candidates`` target records can come from.
+    """
+    keys = ["s_title_key", "s_artist_key"]
+    names = target.groupBy(F.col("title_key").alias("t_title_key"), F.col("artist_key").alias("t_artist_key")).agg(F.count("*").alias("n"))
+    found = names.select("*", F.explode(F.array_distinct(F.split("t_artist_key", " "))).alias("word")).where("word <> ''")
+    df = found.groupBy("word").agg(F.sum("n").alias("df"))
+    asked = source.select(F.col("title_key").alias("s_title_key"), F.col("artist_key").alias("s_artist_key")).distinct()
+    asked = asked.select("*", F.explode(F.array_distinct(F.split("s_artist_key", " "))).alias("word")).where("word <> ''")
+    rarest = F.row_number().over(W.partitionBy(*keys).orderBy("df", "word"))
+    chosen = asked.join(df, "word").withColumn("rn", rarest).where((F.col("rn") == 1) | (F.col("df") <= p.common_word)).drop("rn", "df")
+    both = chosen.join(found, "word").groupBy(*keys, "t_title_key", "t_artist_key").agg(F.first("n").alias("n"))
+    both = both.selectExpr("*", f"{similarity_sql('s_title_key', 't_title_key')} AS title_sim", f"{similarity_sql('s_artist_key', 't_artist_key')} AS artist_sim")
+    both = both.selectExpr("*", "title_sim * 0.6D + artist_sim * 0.4D AS pre")
+    upto = F.sum("n").over(W.partitionBy(*keys).orderBy(F.desc("pre")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    equal = F.sum("n").over(W.partitionBy(*keys, "pre"))
+    return both.withColumn("better", upto - equal).where(F.col("better") < p.candidates).drop("better", "n")
+
+
+def _ranked(source: DataFrame, target: DataFrame, p: Policy) -> DataFrame:
+    """``s_title_key, s_artist_key, best``: each source name's ranked candidates, at most ``candidates``."""
+    t = _side(target, "t")
+    first = F.row_number().over(W.partitionBy("t_title_key", "t_artist_key").orderBy("t_ord"))
+    t = t.withColumn("n", first).where(F.col("n") <= p.candidates).drop("n")  # no source takes more of one name
+    rank = F.row_number().over(W.partitionBy("s_title_key", "s_artist_key").orderBy(F.desc("pre"), "t_ord"))
+    best = key_pairs(source, target, p).join(t, ["t_title_key", "t_artist_key"]).withColumn("pre_rank", rank).where(F.col("pre_rank") <= p.candidates)
+    return best.groupBy("s_title_key", "s_artist_key").agg(F.collect_list(F.struct("pre_rank", "pre", "title_sim", "artist_sim", *t.columns)).alias("best"))
+
+
 def word_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> DataFrame:
     """Ranked candidate pairs: those that share a rare word, the best ``candidates`` by pre-score, then order."""
-    chosen = rare_words(source, postings(target), p.common_word).select(F.col("ord").alias("s_ord"), "word")
-    pairs = chosen.join(words(target).withColumnRenamed("ord", "t_ord"), "word").select("s_ord", "t_ord").distinct()
-    pairs = pairs.join(_side(source, "s"), "s_ord").join(_side(target, "t"), "t_ord")
-    pre = pre_score(F.col("s_title_key"), F.col("t_title_key"), F.col("s_artist_key"), F.col("t_artist_key"))
-    rank = F.row_number().over(W.partitionBy("s_ord").orderBy(F.desc("pre"), "t_ord"))
-    return pairs.withColumn("pre", pre).withColumn("pre_rank", rank).where(F.col("pre_rank") <= p.candidates)
+    return _side(source, "s").join(_ranked(source, target, p), ["s_title_key", "s_artist_key"]).select("*", F.inline("best")).drop("best")
 
 
-def candidates(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> DataFrame:
-    """A code hit alone where there is one, else word pairs."""
-    hits = code_pairs(source, target).withColumns({"pre": F.lit(None).cast("double"), "pre_rank": F.lit(1), "method": F.lit("isrc")})
-    rest = source.join(hits.select(F.col("s_ord").alias("ord")), "ord", "left_anti")
-    return hits.unionByName(word_pairs(rest, target, p).withColumn("method", F.lit("fuzzy")))
+def with_candidates(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> DataFrame:
+    """Source sides with ``best``, the array of their candidates: a code hit alone where there is one, else ranked by words.
+
+    A source is one row throughout, and a name of very many sources is joined by many tasks.
+    """
+    side = F.struct(*_side(target, "t").columns)
+    first = _side(target, "t").where("t_code_key IS NOT NULL").groupBy(F.col("t_code_key").alias("code")).agg(F.min_by(side, "t_ord").alias("hit"))
+    own = _side(source, "s").join(first, F.col("s_code_key") == F.col("code"), "left").drop("code")
+    open_ = own.where("hit IS NULL").select(F.col("s_title_key").alias("title_key"), F.col("s_artist_key").alias("artist_key"))
+    hit = ", ".join(f"'{c}', hit.{c}" for c in _side(target, "t").columns)
+    alone = f"array(named_struct('pre_rank', 1, 'pre', CAST(NULL AS DOUBLE), 'title_sim', 1D, 'artist_sim', 1D, {hit}))"
+    both = own.join(_ranked(open_, target, p), ["s_title_key", "s_artist_key"], "left")
+    return both.withColumn("best", F.expr(f"if(hit IS NOT NULL, {alone}, best)")).drop("hit")
 
 
 def scored(pairs: DataFrame, p: Policy = Policy()) -> DataFrame:
     """Component scores and the score of every candidate pair."""
-    by_code = (F.col("s_code_key") == F.col("t_code_key")) & F.col("s_code_key").isNotNull()
-    by_code = F.coalesce(by_code, F.lit(False))
-    part = lambda name, x: F.when(by_code, F.lit(1.0)).otherwise(x).alias(name)
-    parts = pairs.select(
-        "*",
-        part("title_score", similarity(F.col("s_title_key"), F.col("t_title_key"))),
-        part("artist_score", similarity(F.col("s_artist_key"), F.col("t_artist_key"))),
-        part("album_score", album_score(F.col("s_album_key"), F.col("t_album_key"))),
-        duration_score(F.col("s_seconds"), F.col("t_seconds"), p.tolerance).alias("duration_score"),
-    )
-    total = fuzzy_score(F.col("title_score"), F.col("artist_score"), F.col("album_score"), F.col("duration_score"), p)
-    return parts.withColumn("score", F.when(by_code, F.lit(p.code_score)).otherwise(total)).withColumn("method", F.when(by_code, "isrc").otherwise("fuzzy"))
-
-
-def decided(source: DataFrame, scores: DataFrame, p: Policy = Policy()) -> DataFrame:
-    """``source_id, decision, method, candidate_id, score, candidates`` for every source.
+    parts = parts_sql("title_sim", "artist_sim", "s_", "t_", p)
+    rows = pairs.selectExpr("*", *(f"{x} AS {name}" for name, x in parts.items()))
+    return rows.selectExpr("*", f"{score_sql('', p)} AS score", "if(by_code, 'isrc', 'fuzzy') AS method").drop("by_code")
+
+
+def decided(sources: DataFrame, p: Policy = Policy()) -> DataFrame:
+    """``ord, source_id, decision, method, candidate_id, score, candidates`` of every source side with its candidates ``best``.
 
     The best of equal scores is the one with the better pre-rank. Ambiguous sources keep up to ``shown`` candidates of the band.
     """
-    at = W.partitionBy("s_ord").orderBy(F.desc("score"), "pre_rank")
-    ranked = scores.withColumn("rank", F.row_number().over(at))
-    one = F.struct("rank", F.col("t_id").alias("candidate_id"), "score", "method")
-    best = ranked.groupBy(F.col("s_ord").alias("ord")).agg(
-        F.min_by(one, "rank").alias("best"),
-        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"),
-        F.sort_array(F.collect_list(F.when((F.col("score") >= p.ambiguous) & (F.col("score") < p.auto), one))).alias("close"),
-    )
-    clear = F.lit(True) if p.margin <= 0 else F.coalesce(F.col("best.score") - F.col("second") >= p.margin, F.lit(True))
-    decision = F.when((F.col("best.score") >= p.auto) & clear, "auto").when(F.size("close") > 0, "ambiguous").otherwise("no_match")
-    decision = F.when(F.col("best").isNull(), "no_match").otherwise(decision)
-    shown = F.transform(F.slice("close", 1, p.shown), lambda x: F.struct(x.candidate_id.alias("candidate_id"), x.score.alias("score")))
-    kept = F.when(F.col("decision") == "auto", F.array(F.struct(F.col("best.candidate_id").alias("candidate_id"), F.col("best.score").alias("score")))).when(F.col("decision") == "ambiguous", shown)
-    out = source.select("ord", F.col("id").alias("source_id")).join(best, "ord", "left").withColumn("decision", decision).withColumn("candidates", kept)
-    first = F.col("candidates")[0]
-    scored_ = F.col("decision").isin("auto", "ambiguous")
-    return out.select("ord", "source_id", "decision", F.when(scored_, F.col("best.method")).alias("method"), F.when(scored_, first.candidate_id).alias("candidate_id"), F.when(scored_, first.score).alias("score"), "candidates")
+    parts = ", ".join(f"'{name}', {x}" for name, x in parts_sql("x.title_sim", "x.artist_sim", "s_", "x.t_", p).items())
+    rows = sources.selectExpr("s_ord AS ord", "s_id AS source_id", f"transform(best, x -> named_struct('rank', x.pre_rank, 'id', x.t_id, {parts})) AS c")
+    scores = f"transform(c, x -> named_struct('less', -({score_sql('x.', p)}), 'rank', x.rank, 'id', x.id, 'method', if(x.by_code, 'isrc', 'fuzzy')))"
+    rows = rows.selectExpr("ord", "source_id", f"sort_array(filter({scores}, x -> x.less IS NOT NULL)) AS c")
+    rows = rows.selectExpr("ord", "source_id", "get(c, 0) AS top", "get(c, 1).less - get(c, 0).less AS lead", f"slice(filter(c, x -> -x.less >= {p.ambiguous}D AND -x.less < {p.auto}D), 1, {p.shown}) AS close")
+    clear = f"coalesce(lead >= {p.margin}D, true)" if p.margin > 0 else "true"
+    rows = rows.selectExpr("*", f"CASE WHEN -top.less >= {p.auto}D AND {clear} THEN 'auto' WHEN size(close) > 0 THEN 'ambiguous' ELSE 'no_match' END AS decision")
+    kept = "CASE decision WHEN 'auto' THEN array(top) WHEN 'ambiguous' THEN close END"
+    rows = rows.selectExpr("*", f"transform({kept}, x -> named_struct('candidate_id', x.id, 'score', -x.less)) AS candidates")
+    return rows.selectExpr("ord", "source_id", "decision", "if(decision = 'no_match', NULL, top.method) AS method", "get(candidates, 0).candidate_id AS candidate_id", "get(candidates, 0).score AS score", "candidates")
 
 
 def matched(records: DataFrame, source: str, target: str, mappings: DataFrame | None = None, exclusions: DataFrame | None = None, p: Policy = Policy(), pending_only: bool = False) -> DataFrame:
@@ -115,10 +135,10 @@ def matched(records: DataFrame, source: str, target: str, mappings: DataFrame |
     (``track_id, target_service, kind, candidate_id``), then candidates without those of ``reject`` exclusions: a rejected code hit
     leaves no match. Repeated source ids are decided once.
     """
-    every = keyed(records)
-    own = every.where(on_service(source) & ~on_service(target)) if pending_only else every.where(on_service(source))
-    own = own.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("ord"))).where("n = 1").drop("n")
-    goal = every.where(on_service(target))
+    asks = on_service(source) & ~on_service(target) if pending_only else on_service(source)
+    first = asks & (F.row_number().over(W.partitionBy("id", asks).orderBy("ord")) == 1)
+    every = stored(keyed(records).withColumn("asks", first), "keyed")  # keys are computed once and read several times
+    own, goal = every.where("asks").drop("asks"), every.where(on_service(target)).drop("asks")
     blank = "cast(null as array<struct<candidate_id:string,score:double>>)"
     done = []
     if mappings is not None:
@@ -128,15 +148,17 @@ def matched(records: DataFrame, source: str, target: str, mappings: DataFrame |
         score = F.coalesce("confidence", F.lit(1.0))
         done.append(hit.select("ord", F.col("id").alias("source_id"), F.lit("auto").alias("decision"), F.lit("manual").alias("method"), F.col("target_track_id").alias("candidate_id"), score.alias("score"), F.array(F.struct(F.col("target_track_id").alias("candidate_id"), score.alias("score"))).alias("candidates")))
         own = own.join(hit.select("ord"), "ord", "left_anti")
-    pairs = None
+    rejects = None
     if exclusions is not None:
         e = exclusions.where(F.col("target_service") == target)
         skips = e.where("kind = 'skip'").select(F.col("track_id").alias("id")).distinct()
         done.append(own.join(skips, "id", "left_semi").select("ord", F.col("id").alias("source_id"), F.lit("skipped").alias("decision"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("candidate_id"), F.lit(None).cast("double").alias("score"), F.expr(blank).alias("candidates")))
         own = own.join(skips, "id", "left_anti")
-        rejects = e.where("kind = 'reject'").select(F.col("track_id").alias("s_id"), F.col("candidate_id").alias("t_id")).distinct()
-        pairs = candidates(own, goal, p).join(rejects, ["s_id", "t_id"], "left_anti")
-    out = decided(own, scored(candidates(own, goal, p) if pairs is None else pairs, p), p)
+        rejects = e.where("kind = 'reject'").groupBy(F.col("track_id").alias("s_id")).agg(F.collect_set("candidate_id").alias("rejected"))
+    rows = with_candidates(own, goal, p)
+    if rejects is not None:
+        rows = rows.join(rejects, "s_id", "left").withColumn("best", F.expr("if(rejected IS NULL, best, filter(best, x -> NOT array_contains(rejected, x.t_id)))"))
+    out = decided(rows, p)
     for d in done:
         out = out.unionByName(d)
     return out
