@@ -1,12 +1,14 @@
 """Quality classifier with supervised subword embeddings (operator 6).
 
-A word is the average of hashed vectors: its own and those of its character n-grams. A document is the average
-over its words and over its word pairs, and a softmax over two classes reads that average. All vectors are learned by stochastic
+A word is the average of hashed vectors: its own and those of its character n-grams. A pair of neighbouring words is the
+average of two: a hashed vector of the pair, and one that says whether both are the same word. A document is the average
+of its words and of its pairs, and a softmax over two classes reads that average. All vectors are learned by stochastic
 gradient descent in numpy, from a bounded sample of labelled rows.
 
-The sample is the ``sample`` labelled training rows with the smallest hash of ``doc_id``; a document's features
-are hashed counts, so what the driver gets is bounded too (``sample`` rows of at most ``features`` kept counts each). Scores
-are for whole texts: every word of every document is read.
+The sample is the ``sample`` labelled training rows with the smallest hash of ``doc_id``; ids with contradictory labels are
+not in it, and of texts with the same id the one with the smallest hash is. A document's features are hashed counts, so what
+the driver gets is bounded too (``sample`` rows of at most ``buckets`` counts each). Scores are for whole texts: every word of every
+document is read, however long.
 """
 
 from __future__ import annotations
@@ -15,18 +17,20 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: Words a worker remembers before it starts afresh; bounds memory only.
-CACHE = 300_000
+from concord.session import for_long_texts
 
-#: Longer words (characters) are read in whole, but not remembered.
-LONG = 48
+#: Words a worker remembers before it starts afresh, and their characters; bounds memory only.
+CACHE, CHARS = 100_000, 4_000_000
+
+#: Texts read at a time.
+TEXTS = 256
 
 #: So many further words without a say are averaged in, so that very short texts lean to the prior.
 EVEN = 2
@@ -46,43 +50,37 @@ class Settings:
 
 
 def word_buckets(word: str, s: Settings) -> array:
-    """Hashed features of a word: itself, the n-grams of ``<word>``, and its letter case and last sign."""
+    """Hashed features of a word: itself, all n-grams of ``<word>``, and its letter case and last sign."""
     text, n = f"<{word}>", s.ngram
     grams = (text[i : i + n] for i in range(len(text) - n + 1))
     more = (f"w {word}", f"s {word.isupper()} {word.isalpha()} {'a' if word[-1].isalnum() else word[-1]}")
     return array("i", (crc32(x.encode()) % s.buckets for x in chain(grams, more)))
 
 
-def pair_bucket(kind: str, s: Settings) -> int:
-    return crc32(f"p {kind}".encode()) % s.buckets
+def kind_bucket(same: bool, s: Settings) -> int:
+    return crc32(b"p same" if same else b"p other") % s.buckets
 
 
-def document_words(text: str) -> tuple[list[str], int]:
-    """The words, and how many are equal to the word before them."""
-    words = text.split()
-    return words, sum(map(str.__eq__, words, words[1:]))
+def pair_buckets(first, second, s: Settings):
+    """Hashed features of pairs of words, from the words' checksums; numbers or arrays of them."""
+    return (first * 40503 + second) % s.buckets
 
 
-def document_features(text: str, s: Settings, known: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
+def document_features(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of a document; a text without words has none."""
-    words, same = document_words(text)
+    words = text.split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     ids, weights = [], []
     for word, n in Counter(words).items():
-        b = known.get(word)
-        if b is None:
-            b = word_buckets(word, s)
-            if len(word) <= LONG:
-                if len(known) >= CACHE:
-                    known.clear()
-                known[word] = b
+        b = word_buckets(word, s)
         ids.append(b)
-        weights.append(np.full(len(b), n / len(b) / (len(words) + EVEN)))
-    ids.append(np.array([pair_bucket("same", s), pair_bucket("other", s)]))
-    weights.append(np.array([same, len(words) - same]) / (len(words) + EVEN))
+        weights.append(np.full(len(b), n / len(b)))
+    for (x, y), n in Counter(zip(words, words[1:])).items():
+        ids.append([pair_buckets(crc32(x.encode()), crc32(y.encode()), s), kind_bucket(x == y, s)])
+        weights.append(np.full(2, n / 2))
     b, back = np.unique(np.concatenate(ids), return_inverse=True)
-    return b, np.bincount(back, np.concatenate(weights)) / 2
+    return b.astype(np.int32), (np.bincount(back, np.concatenate(weights)) / (len(words) + EVEN) / 2).astype(np.float32)
 
 
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
@@ -117,75 +115,91 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict[str, np.ndarray]:
     """Train on labelled rows that are not held out. Without rows of both classes every score is 0.5."""
+    for_long_texts(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("low"))
     known = known.where("quality = low").select("doc_id", "quality")
     # choose by id alone, before any text moves
     chosen = known.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, array] = {}
         for b in batches:
-            found = [document_features(t or "", s, cache) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["doc_id", "quality", "b", "w"])
-
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("quality", T.LongType()), T.StructField("b", T.ArrayType(T.IntegerType())), T.StructField("w", T.ArrayType(T.FloatType()))])
-    rows = texts.select("doc_id", F.col("quality").cast("long"), "text").mapInArrow(hashed, schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+            found = [document_features(t or "", s) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["doc_id", "quality", "h", "b", "w"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` short rows
+    texts = texts.select("doc_id", F.col("quality").cast("long"), F.xxhash64("text").alias("h"), "text")
+    schema = T.StructType([*texts.schema.fields[:3], T.StructField("b", T.ArrayType(T.IntegerType())), T.StructField("w", T.ArrayType(T.FloatType()))])
+    one = texts.mapInArrow(hashed, schema).groupBy("doc_id").agg(F.min(F.struct("h", "quality", "b", "w")).alias("x"))
+    rows = one.select("doc_id", "x.quality", "x.b", "x.w").toArrow().sort_by("doc_id")
     y = rows["quality"].to_numpy()
     if len(set(y)) < 2:
         return {"score": np.zeros(s.buckets), "bias": np.zeros(1)}
     b, w = (rows[c].combine_chunks() for c in ("b", "w"))
-    at = b.offsets.to_numpy()
-    flat_b, flat_w = b.values.to_numpy().astype(np.int64), w.values.to_numpy().astype(np.float64)
+    at, flat_b, flat_w = b.offsets.to_numpy(), b.values.to_numpy(), w.values.to_numpy()
     return train([(flat_b[i:j], flat_w[i:j]) for i, j in zip(at, at[1:])], y, s)
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Scorer:
     """Scores whole texts; a word's share of the score is computed once."""
 
     def __init__(self, model: dict[str, np.ndarray], s: Settings):
-        self.model, self.settings, self.known = model, s, {}
-        self.values = model["score"].tolist()
-        self.same, self.other = (self.values[pair_bucket(k, s)] for k in ("same", "other"))
-
-    def word(self, word: str) -> float:
-        b = word_buckets(word, self.settings)
-        value = sum(map(self.values.__getitem__, b)) / len(b)
-        if len(word) <= LONG:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = value
-        return value
-
-    def score(self, text: str) -> float:
-        words, same = document_words(text)
-        z = float(self.model["bias"][0])
-        if words:
-            known, total = self.known, 0.0
-            for w in words:
-                x = known.get(w)
-                total += self.word(w) if x is None else x
-            z += (total + same * self.same + (len(words) - same) * self.other) / (len(words) + EVEN) / 2
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        self.settings, self.bias, self.scores = s, float(model["bias"][0]), np.asarray(model["score"], np.float64)
+        self.same, self.other = (self.scores[kind_bucket(k, s)] for k in (True, False))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.chars, self.value, self.crc = _Numbers(), 0, np.zeros(0), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Shares and checksums of the words that got a number since the last call."""
+        new = list(islice(reversed(self.known), len(self.known) - len(self.value)))[::-1]
+        self.chars += sum(map(len, new))
+        value = np.fromiter((self.scores[word_buckets(w, self.settings)].mean() for w in new), np.float64, len(new))
+        self.value = np.concatenate([self.value, value])
+        self.crc = np.concatenate([self.crc, np.fromiter((crc32(w.encode()) for w in new), np.int64, len(new))])
+
+    def batch(self, texts: list[str]) -> np.ndarray:
+        """The score of each text."""
+        if len(self.known) > CACHE or self.chars > CHARS:
+            self._forget()
+        rows = [np.fromiter(map(self.known.__getitem__, w), np.int32, len(w)) for w in map(str.split, texts)]
+        self._learn()
+        n = np.array([len(r) for r in rows])
+        word, doc = np.concatenate([np.zeros(0, np.int32), *rows]), np.repeat(np.arange(len(rows)), n)
+        z = np.bincount(doc, self.value[word], len(rows))
+        inside = doc[1:] == doc[:-1]
+        x, y = word[:-1][inside], word[1:][inside]
+        pairs = self.scores[pair_buckets(self.crc[x], self.crc[y], self.settings)] + np.where(x == y, self.same, self.other)
+        z += np.bincount(doc[1:][inside], pairs, len(rows)) / 2
+        return 1 / (1 + np.exp(-np.clip(self.bias + z / (n + EVEN) / 2, -40, 40)))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], s: Settings = Settings(), columns: list[str] | None = None, name: str = "score") -> DataFrame:
     """``columns`` (``doc_id``) of every document and its score, as ``name``, from the text alone.
 
-    Null and empty texts get the score of the learned bias. Nulls and repeated rows pass through; one pass, no shuffle.
+    Null and empty texts get the score of the learned bias. Nulls and repeated rows pass through, an empty table gives no rows,
+    and other columns may have any name. One pass, no shuffle; only the texts go to Python.
     """
-    names = columns or ["doc_id"]
+    for_long_texts(docs.sparkSession)
     small = {k: v.astype(np.float32) for k, v in model.items()}  # at most ``buckets`` numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(small, s)
-        for b in batches:
-            found = [scorer.score(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64())], [*b.schema.names[:-1], name])
+        for texts in batches:
+            parts = [scorer.batch(texts.slice(i, TEXTS).to_pylist()) for i in range(0, len(texts), TEXTS)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    own = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(name, T.DoubleType())])
-    return own.mapInArrow(run, schema)
+    return docs.select(*(columns or ["doc_id"]), scores(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(name))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
