@@ -20,17 +20,20 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import chain, islice
-from unicodedata import normalize
+from unicodedata import category, is_normalized, normalize, ucd_3_2_0
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from concord.session import stored
+from concord.session import discard, for_long_texts, stored
 
-#: Words a worker remembers before it starts afresh; bounds memory only.
-CACHE = 600_000
+#: Words a worker remembers before it starts afresh, and their ids; bounds memory only.
+CACHE, IDS = 150_000, 2_000_000
+
+#: Words after which waiting texts are encoded.
+WORDS = 100_000
 
 
 class _Numbers(dict):
@@ -75,9 +78,10 @@ def _latest(numbers: _Numbers, seen: int) -> list[str]:
 class WordEncoder:
     """Token ids of whole texts by a ``tokenizers`` file whose pieces never cross white space.
 
-    The library encodes each distinct piece once (runs of letters, of signs, single digits: the file's own
-    pattern, after lower-casing and NFC); a text's ids are its words' ids in a row, a word's those of its pieces. Texts
-    with a special string, or with characters on which Python and the library differ, go to it whole.
+    A text is normalised as the library does it: NFC, then lower case. The library encodes each distinct piece once (runs of
+    letters, of signs, single digits: the file's own pattern); a text's ids are its words' ids in a row, a word's those of
+    its pieces. Texts go to the library whole if they have a special string or characters on which Python and the library
+    differ, or if lower-casing undoes the NFC, which the library would then do to the pieces.
     """
 
     def __init__(self, path: str):
@@ -90,7 +94,9 @@ class WordEncoder:
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         with open(path, encoding="utf-8") as f:
             self.pattern = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.whole = re.compile("|".join(["[\x1c-\x1f\u03a3]", *(re.escape(t.content) for t in added.values())]))
+        # the library's NFC may not know marks that are younger than its tables
+        young = (c for c in map(chr, range(0x300, 0x20000)) if category(c)[0] == "M" and ucd_3_2_0.category(c) == "Cn")
+        self.whole = re.compile("|".join([f"[\x1c-\x1f\u03a3{''.join(young)}]", *(re.escape(t.content) for t in added.values())]))
         self._forget()
 
     def _forget(self) -> None:
@@ -100,7 +106,7 @@ class WordEncoder:
     def _learn(self) -> None:
         """Encode the words that got a number since the last call: their new pieces go to the library."""
         new = _latest(self.known, len(self.words))
-        own = [self.pattern.findall(w if w.isascii() else normalize("NFC", w)) for w in new]
+        own = [self.pattern.findall(w) for w in new]
         consists = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(own)), np.int64)
         fresh = _latest(self.parts, len(self.pieces))
         for i in range(0, len(fresh), 2048):
@@ -120,18 +126,19 @@ class WordEncoder:
         waiting: list[np.ndarray | None] = []
         first = size = 0
         for i, text in enumerate(texts):
-            if self.whole.search(text):
+            lower = (text if text.isascii() else normalize("NFC", text)).lower()
+            if self.whole.search(text) or not is_normalized("NFC", lower):
                 waiting.append(None)
             else:
-                words = text.lower().split()
+                words = lower.split()
                 waiting.append(np.fromiter(map(self.known.__getitem__, words), np.int32, len(words)))
                 size += len(words)
-            if size > 500_000 or i == len(texts) - 1:
+            if size > WORDS or i == len(texts) - 1:
                 self._learn()
                 for k, own in enumerate(waiting):
                     yield self.words.gather(own)[0] if own is not None else np.array(self.tokenizer.encode(texts[first + k], add_special_tokens=False).ids, np.uint32)
                 waiting, first, size = [], i + 1, 0
-                if len(self.known) > CACHE:
+                if len(self.known) > CACHE or self.words.used + self.pieces.used > IDS:
                     self._forget()
 
 
@@ -142,7 +149,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
         encoder = WordEncoder(vocabulary)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.batch([t or "" for t in b.column(1).to_pylist()])):
+            for i, ids in enumerate(encoder.batch(b.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k in range(0, len(ids), capacity):
                     part = ids[k : k + capacity]
@@ -153,7 +160,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
                     crc.append(zlib.crc32(part.tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    for_long_texts(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
