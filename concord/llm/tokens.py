@@ -21,11 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from concord.session import for_long_texts
+
 #: Fixed value: the splitting pattern of the public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Chunks and token pairs a worker remembers before it starts afresh; bounds memory only.
-CACHE = 800_000
+#: Entries of each of a worker's three tables (chunks, prefixes, token pairs) before it starts afresh; bounds memory only.
+CACHE = 250_000
 
 #: Longer pieces (bytes) have a table of their own, which is dropped after the piece.
 LONG = 200
@@ -185,53 +187,83 @@ class PrefixCounter:
         tail = self._segments(data[head:cut].decode())
         return seen + sum(1 if s else sum(self._extend(p.encode()) for p in self.pattern.findall(t)) for t, s in tail)
 
+    def _chunks(self, text: str) -> tuple[list[str], list[int]] | None:
+        """The text cut before blanks, and the token count of each chunk; None where a blank may not open a piece."""
+        if self.cut is not None and self.cut.search(text):
+            return None
+        parts, known = text.split(" "), self.chunks
+        parts[1:] = [" " + p for p in parts[1:]]
+        new = [p for p in parts if p not in known]
+        if any(p == " " or p[:1] == " " and p[1:2].isspace() for p in new):
+            return None
+        for p in new:
+            known[p] = sum(self._extend(x.encode()) for x in self.pattern.findall(p))
+        counts = list(map(known.__getitem__, parts))
+        for p in new:
+            if len(p) > 100:
+                known.pop(p, None)
+        if len(known) > CACHE:
+            known.clear()
+        return parts, counts
+
     def count(self, text: str) -> int:
         """Token count of the whole text: the last entry of its prefix table.
 
         Texts whose blanks are single are cut at blanks, since a blank opens a piece of its own there.
         """
-        if self.cut is None or not self.cut.search(text):
-            parts, known = text.split(" "), self.chunks
-            parts[1:] = [" " + p for p in parts[1:]]
-            new = [p for p in parts if p not in known]
-            if not any(p == " " or p[:1] == " " and p[1:2].isspace() for p in new):
-                for p in new:
-                    known[p] = sum(self._extend(x.encode()) for x in self.pattern.findall(p))
-                total = sum(map(known.__getitem__, parts))
-                for p in new:
-                    if len(p) > 100:
-                        known.pop(p, None)
-                if len(known) > CACHE:
-                    known.clear()
-                return total
-        _, counts = self.table(text)
-        return int(counts[-1]) if len(counts) else 0
+        return self.fit(text, None)[0]
+
+    def fit(self, text: str, limit: int | None) -> tuple[int, int]:
+        """Token count of the whole text, and the bytes of its longest prefix of whole pieces that has at most ``limit`` tokens.
+
+        Both are read off the prefix counts: at the chunks' ends, or at the pieces' ends where the text isn't cut into chunks.
+        """
+        found = self._chunks(text)
+        if found is None:
+            ends, counts = self.table(text)
+            total = int(counts[-1]) if len(counts) else 0
+            if limit is None or total <= limit:
+                return total, int(ends[-1]) if len(ends) else 0
+            k = int(np.searchsorted(counts, limit, side="right"))
+            return total, int(ends[k - 1]) if k else 0
+        parts, counts = found
+        total = sum(counts)
+        if limit is None or total <= limit:
+            return total, -1
+        k = int(np.searchsorted(np.cumsum(counts), limit, side="right"))
+        return total, len("".join(parts[:k]).encode())
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``.
+    """One row per document: ``doc_id, n_bytes, n_tokens, over_limit, fit_bytes``.
 
-    Null texts count as empty (0 bytes, 0 tokens); null and repeated ``doc_id`` pass through; other
-    columns are not read. One pass over the scan, no shuffle; memory is one batch and the bounded caches.
+    ``fit_bytes`` is where a text may be cut to have at most ``limit`` tokens: after the last whole piece that fits (all bytes
+    for texts within the limit). Null texts count as empty (0 bytes, 0 tokens); null and repeated ``doc_id`` pass through; other
+    columns are not read; an empty table gives no rows. One pass over the scan, no shuffle; memory is one batch, the bounded
+    caches and, for a piece of very many bytes, 12 bytes for each of them.
     """
+    for_long_texts(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(vocabulary)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            n = np.fromiter(map(counter.count, texts), np.int64, len(texts))
-            size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            found = [counter.fit(t, limit) for t in b.column(1).to_pylist()]
+            n, size = np.array([f[0] for f in found], np.int64), b.column(2).to_numpy()
+            cut = np.where(n > limit, np.array([f[1] for f in found], np.int64), size)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(n > limit), pa.array(cut)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n"))
+    return own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long")
 
 
 def prefix_tables(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The stored prefix tables: ``doc_id, ends, counts`` (byte offset of each piece end, tokens up to there).
 
-    ``element_at`` on these arrays answers truncation and budget questions without encoding again.
-    Empty and null texts have empty arrays.
+    ``element_at`` on these arrays answers truncation and budget questions without encoding again; for a prefix that ends inside a
+    piece, ``PrefixCounter.prefix_count`` adds that piece's own table. Empty and null texts have empty arrays.
     """
+    for_long_texts(docs.sparkSession)
 
     def run(batches):
         counter = PrefixCounter(vocabulary)
