@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from concord.operators.components import connected_components
-from concord.session import discard, stored
+from concord.session import discard, for_long_texts, stored
 
 WORD = re.compile(r"\w+")
 #: Stands for a null identifier in join keys.
@@ -40,7 +40,7 @@ NO_ID = -(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Words a worker remembers before it starts afresh; bounds memory only.
-CACHE = 300_000
+CACHE = 100_000
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word)
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
@@ -128,7 +128,7 @@ def linked(a: np.ndarray, b: np.ndarray, s: Settings) -> bool:
 
 def _words(text: str | None, known: Words) -> tuple[bytes, np.ndarray]:
     words = WORD.findall((text or "").lower())
-    return xxhash.xxh3_128_digest(" ".join(words)), np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+    return xxhash.xxh3_128_digest(" ".join(words)), np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _doc_column(docs: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
         for t in batches:
             na, nb, d, ok = [], [], [], []
             for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
-                x, y = (kmers(np.frombuffer(z, np.uint32), s.k) for z in (x, y))
+                x, y = (kmers(np.frombuffer(z, np.uint64), s.k) for z in (x, y))
                 na.append(len(x))
                 nb.append(len(y))
                 d.append(len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)))
@@ -199,7 +199,7 @@ def _differences(groups: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
         for t in batches:
             out: list[list] = [[] for _ in range(5)]
             for i, (x, y, usual) in enumerate(zip(*(t.column(c).to_pylist() for c in (2, 3, 4)))):
-                x, y = (kmers(np.frombuffer(z, np.uint32), s.k) for z in (x, y))
+                x, y = (kmers(np.frombuffer(z, np.uint64), s.k) for z in (x, y))
                 if usual:
                     y = np.setxor1d(y, np.array(usual, np.int64).view(np.uint64), assume_unique=True)
                 diff = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
@@ -253,7 +253,9 @@ def _undecided(first: DataFrame, texts: DataFrame, components: DataFrame, s: Set
     meet &= F.least("na", "nb") >= F.greatest("na", "nb") * s.similarity - 1e-9
     meet &= F.least(F.col("da") - F.col("pa"), F.col("db") - F.col("pb")) >= must  # for the first that they share
     pairs = u.join(w, meet).select("a", "b").unionByName(close)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "undecided")
+    discard(sizes, rows, usual, diffs, best, slack, known)
+    return found
 
 
 def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -262,13 +264,16 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     ``class_id`` is the smallest ``doc_id`` of the documents connected by links (null only if none of them has an id),
     ``class_size`` their number, ``links`` the number of other texts that were found linked to the document's text (0 for a
     text that only has copies; texts that are connected already are not compared further). Texts equal after normalisation are one text; so are all texts without words, null
-    and empty ones included. Repeated rows and ids keep their rows. An empty table gives no rows.
+    and empty ones included. Repeated rows and ids keep their rows. Other columns are not read; an empty table gives no rows. A text
+    is read in whole, and its memory is some 200 bytes a word. Pairs within a leader's group are only made between texts that share a
+    rare difference and as many differences as a link needs; their number is bounded by the pairs of such near misses.
     """
     return _classified(docs, s).select("doc_id", "class_id", "class_size", "links")
 
 
 def _classified(docs: DataFrame, s: Settings) -> DataFrame:
     """``doc_id, check, component, class_id, class_size, links`` of every row."""
+    for_long_texts(docs.sparkSession)
     rows = stored(sketched(docs, s), "sketch")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
@@ -287,14 +292,14 @@ def _classified(docs: DataFrame, s: Settings) -> DataFrame:
     second = stored(_aligned(more, texts, s), "second")
     edges = early.unionByName(second.where("linked").select("a", "b"))
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    for t in (sizes, shared, fame, leaders, pairs, first, second, texts):
-        discard(t)
+    discard(sizes, shared, fame, leaders, pairs, first, more, second, texts)
     components = connected_components(edges, "a", "b")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     placed = nodes.select("node", "doc_id", "copies").join(components, "node", "left").join(degree, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     classes = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = stored(placed.join(classes, "component").select("node", "component", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    discard(nodes, edges)
     return rows.select("doc_id", "check", "node").join(classes, "node").select("doc_id", "check", "component", "class_id", "class_size", "links")
 
 
