@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -27,10 +27,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from concord.session import discard, release, stored
+from concord.session import discard, for_long_texts, stored
 
 #: Words a worker remembers before it starts afresh; bounds memory only.
-CACHE = 400_000
+CACHE = 150_000
 END = b""
 
 
@@ -39,7 +39,8 @@ class Settings:
     own: int = 511  # words with a unit of their own; the end of a text has one too
     shared: int = 512  # units of all other words
     inside: int = 32  # units of a class
-    pairs: int = 4096  # hashed features of two units
+    buckets: int = 4096  # of the hashed features of a word and of two words, for up to ``base`` training tokens
+    base: int = 10_000_000
     frequent: int = 1 << 19
     rounds: int = 3
     chunk: int = 8192  # tokens of a mini-batch
@@ -56,7 +57,12 @@ class Settings:
 
     @property
     def features(self) -> int:
-        return 1 + 2 * self.units + self.pairs
+        return 1 + self.units + 2 * self.buckets
+
+    def for_corpus(self, n_tokens: int) -> Settings:
+        """With so many more buckets as the cube root of the corpus' size asks for, a power of two."""
+        more = max(1.0, n_tokens / self.base) ** (1 / 3)
+        return replace(self, buckets=self.buckets << round(np.log2(more)))
 
 
 def tokens(text: str) -> list[bytes]:
@@ -87,16 +93,16 @@ def _views(w: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Reader:
-    """Turns texts into units, and remembers words."""
+    """Turns texts into words with units and hashes, and remembers words. ``units`` has the units of frequent words by hash."""
 
-    def __init__(self, words: dict[bytes, int], s: Settings):
-        self.words, self.s = words, s
+    def __init__(self, units: dict[int, int], s: Settings):
+        self.units, self.s = units, s
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.list: list[bytes] = []
-        self.unit = np.zeros(0, np.int32)
+        self.unit, self.hash = np.zeros(0, np.int32), np.zeros(0, np.uint64)
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and the number of tokens of each."""
@@ -112,20 +118,25 @@ class Reader:
             rows.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
             sizes[i] = len(own)
         fresh = new[len(self.unit) :]
-        self.unit = np.concatenate([self.unit, np.array([self.words.get(w, -1) if w in self.words else shared_unit(w, self.s) for w in fresh], np.int32)])
+        hashes = list(map(word_hash, fresh))
+        units = [self.units[h] if h in self.units else shared_unit(w, self.s) for w, h in zip(fresh, hashes)]
+        self.unit = np.concatenate([self.unit, np.array(units, np.int32)])
+        self.hash = np.concatenate([self.hash, np.array(hashes, np.uint64)])
         return np.concatenate(rows) if rows else np.zeros(0, np.int32), sizes
 
 
-def contexts(units: np.ndarray, sizes: np.ndarray, s: Settings) -> np.ndarray:
-    """Feature numbers (last, one before, both) of each token; a text starts after two ends."""
-    end = s.own
+def contexts(units: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, s: Settings) -> np.ndarray:
+    """Feature numbers (unit of the last word, the word before it, both words) of each token; a text starts after two ends."""
+    end = np.uint64(word_hash(END))
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    u1 = np.concatenate([[end], units[:-1]]).astype(np.int64)
-    u1[first] = end
-    u2 = np.concatenate([[end], u1[:-1]])
-    u2[first] = end
-    both = ((u2 * 40503 + u1 * 2654435761) >> 7) % s.pairs
-    return np.stack([1 + u1, 1 + s.units + u2, 1 + 2 * s.units + both])
+    unit, one = np.concatenate([[s.own], units[:-1]]).astype(np.int64), np.concatenate([[end], hashes[:-1]])
+    unit[first], one[first] = s.own, end
+    two = np.concatenate([[end], one[:-1]])
+    two[first] = end
+    both = two * np.uint64(0x9E3779B97F4A7C15) + one
+    low = np.uint64(s.buckets - 1)
+    skip, pair = ((x ^ (x >> np.uint64(29))) & low for x in (two, both))
+    return np.stack([1 + unit, 1 + s.units + skip.astype(np.int64), 1 + s.units + s.buckets + pair.astype(np.int64)])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -144,9 +155,9 @@ def predict(units: np.ndarray, f: np.ndarray, w: np.ndarray, s: Settings) -> tup
     return p, _softmax(inner[rows[0]] + inner[rows[1]]), rows
 
 
-def log_probability(units: np.ndarray, sizes: np.ndarray, w: np.ndarray, s: Settings) -> np.ndarray:
+def log_probability(units: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, w: np.ndarray, s: Settings) -> np.ndarray:
     """log10 of the probability of each token's unit."""
-    f, out = contexts(units, sizes, s), np.zeros(len(units))
+    f, out = contexts(units, hashes, sizes, s), np.zeros(len(units))
     for i in range(0, len(units), 65_536):
         u = units[i : i + 65_536]
         p, q, _ = predict(u, f[:, i : i + 65_536], w, s)
@@ -155,10 +166,10 @@ def log_probability(units: np.ndarray, sizes: np.ndarray, w: np.ndarray, s: Sett
     return out
 
 
-def learn(units: np.ndarray, sizes: np.ndarray, w: np.ndarray, seen: np.ndarray, s: Settings) -> None:
+def learn(units: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, w: np.ndarray, seen: np.ndarray, s: Settings) -> None:
     """Mini-batch gradient steps on ``w`` in place; ``seen`` holds the squared gradients of each row so far."""
     outer, inner = _views(w, s)
-    f = contexts(units, sizes, s)
+    f = contexts(units, hashes, sizes, s)
     for i in range(0, len(units), s.chunk):
         u, g = units[i : i + s.chunk], f[:, i : i + s.chunk]
         at = np.arange(len(u))
@@ -224,12 +235,12 @@ def _trained(training: DataFrame, words: dict[int, int], start: np.ndarray, n_to
 
         def job(batches, w=w):
             own, seen = w.copy(), np.zeros(s.features + (1 + s.units) * s.classes, np.float32)
-            reader, n = Reader(_Units(words), s), 0
+            reader, n = Reader(words, s), 0
             for b in batches:
                 texts = b.column(0).to_pylist()
                 for i in range(0, len(texts), 256):
                     k, sizes = reader.read(texts[i : i + 256])
-                    learn(reader.unit[k], sizes, own, seen, s)
+                    learn(reader.unit[k], reader.hash[k], sizes, own, seen, s)
                     n += len(k)
             if n:
                 shift = np.pad(own - w, (0, blocks * size - len(w))).astype(np.float16)
@@ -251,32 +262,20 @@ def _trained(training: DataFrame, words: dict[int, int], start: np.ndarray, n_to
     return w
 
 
-class _Units(dict):
-    """Units of frequent words by the word itself, from their hashes."""
-
-    def __init__(self, by_hash: dict[int, int]):
-        super().__init__()
-        self.by_hash = by_hash
-
-    def __contains__(self, word: bytes) -> bool:
-        return word_hash(word) in self.by_hash
-
-    def get(self, word: bytes, default: int = -1) -> int:
-        return self.by_hash.get(word_hash(word), default)
-
-
 def language_scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Null and empty texts consist of the end alone. Null ids, repeated ids and repeated rows keep their rows; other columns are not
-    read; an empty table gives no rows. If all documents are held out, every count is 0 and the model has
-    uniform weights.
+    read and may have any name; an empty table gives no rows. If all documents are held out, every count is 0 and the model has
+    uniform weights. Texts are read in whole, some hundred bytes of memory for each word.
     """
+    for_long_texts(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text.alias("text"), F.xxhash64("doc_id", text).alias("h"))
     training = own.where("NOT held_out").select("text", "h")
     counts = stored(word_counts(training.select("text"), s), "counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    s = s.for_corpus(n_all)
     top = most_frequent(counts, s.frequent)
     end = np.uint64(word_hash(END)).astype(np.int64)
     ranked = top[top.word != end].head(s.own)
@@ -302,23 +301,23 @@ def language_scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     words, log_c = top.word.to_numpy(np.int64)[order], np.log10(top.c.to_numpy(float)[order] + 0.5)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(_Units(units), s)
-        u, cs, hashes = TaskContext.get().partitionId() << 40, np.zeros(0), np.zeros(0, np.int64)
+        reader = Reader(units, s)
+        u, cs = TaskContext.get().partitionId() << 40, np.zeros(0)
         for b in batches:
             texts = b.column(2).to_pylist()
             for i in range(0, len(texts), 256):
                 k, sizes = reader.read(texts[i : i + 256])
                 if len(cs) > len(reader.list):
-                    cs, hashes = cs[:0], hashes[:0]
-                fresh = np.fromiter(map(word_hash, reader.list[len(cs) :]), np.uint64).view(np.int64)
+                    cs = cs[:0]
+                hashes = reader.hash.view(np.int64)
+                fresh = hashes[len(cs) :]
                 at = np.minimum(np.searchsorted(words, fresh), max(0, len(words) - 1))
                 hit = words[at] == fresh if len(words) else np.zeros(len(fresh), bool)
                 cs = np.concatenate([cs, np.where(hit, log_c[at] if len(words) else 0.0, np.nan)])
-                hashes = np.concatenate([hashes, fresh])
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 unit, c = reader.unit[k], cs[k]
                 n = len(sizes)
-                model = np.bincount(doc, log_probability(unit, sizes, weights, s) - lost[unit], n)
+                model = np.bincount(doc, log_probability(unit, reader.hash[k], sizes, weights, s) - lost[unit], n)
                 sure = ~np.isnan(c)
                 known = np.bincount(doc[sure], minlength=n)
                 sums = np.bincount(doc[sure], c[sure], n)
@@ -339,7 +338,7 @@ def language_scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     c = F.coalesce("c", F.lit(0))
     rare = asked.join(counts.select("word", "c"), "word", "left").groupBy("u").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("rest"))
     rare = stored(rare, "rare")
-    release(docs.sparkSession)
+    discard(counts)
     sums = F.col("sums") + F.coalesce("rest", F.lit(0.0))
     base = float(np.log10(n_all + 0.5 * (v_all + 1)))
     return rows.drop("words", "times").join(rare, "u", "left").select(
