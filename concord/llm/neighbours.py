@@ -1,37 +1,50 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals (operator 9).
 
-Coarse centroids and residual codebooks are fitted on a bounded sample (the ``sample`` vectors with the smallest
-hash of their id). Every vector is then indexed: nearest centroid, and one byte for each part of its
-residual. A query visits the lists of its nearest centroids; in a list, asymmetric distance tables rank all
-vectors by code, and the best ``rerank`` are measured exactly, in double precision on the original vectors.
+Coarse centroids and residual codebooks are fitted on a bounded sample. Every distinct vector is indexed in the lists of its two nearest
+centroids, with one byte for each part of its residual. There are about ``sqrt(n)`` lists, as many as the sample supports.
 
-Lists are cut into blocks of a bounded number of vectors and of queries, so a list that holds a third of
-all vectors (many copies of one) is spread over many tasks. Nothing but centroids and codebooks reaches the driver.
+A query visits the lists of its nearest centroids. How many is measured, not set: for ``probes`` queries the true neighbours are
+found among all vectors in one pass, and as many lists are visited as these need for a recall of ``recall``. In clustered data these are
+few; in data without clusters neighbours lie in many lists, and no index of this kind changes that.
 
-Nearest neighbours in data without clusters lie in many lists; ``visit`` is the share of lists a query visits.
+Lists are packed into blocks of bounded size, and the codes of a block meet the queries that visit it in one stream: codes first, then
+any number of queries, batch by batch. Asymmetric distance tables of a query (its products with all codewords) serve all lists. The best
+``rerank`` codes of a query over all its lists are measured exactly, in double precision on the original vectors.
+
+Copies of a vector are one entry with its smallest ids, so a vector that a third of all rows have is no hot list. Centroids, codebooks
+and list sizes reach the driver, and the probes with their neighbours; nothing else does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from concord.session import discard, for_long_texts, stored
 
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 20_000
-    lists: int = 1024  # at most; fewer for small tables
-    visit: float = 0.7
+    sample: int = 100_000  # vectors that centroids and codebooks are fitted on, at most
+    each: int = 8  # sampled vectors for each list, at least
+    assign: int = 2  # lists of a vector
     part: int = 4  # components of a vector that one code byte covers
-    rerank: int = 50
-    block: int = 20_000  # vectors of a list in one task
-    queries: int = 10_000  # queries of a list in one task; each further share of them reads the list again
+    rerank: int = 150
+    block: int = 16_384  # codes of a block
+    probes: int = 100
+    recall: float = 0.97
     seed: int = 5
 
+    def lists(self, n: int) -> int:
+        return max(1, min(round(n**0.5), self.sample // self.each, n // self.each))
+
+    def sampled(self, n: int) -> int:
+        return min(n, self.sample, max(20_000, 32 * self.lists(n)))
+
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
@@ -45,34 +58,58 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x), np.int64)
-    for i in range(0, len(x), 4096):
-        out[i : i + 4096] = ((c**2).sum(1) - 2 * x[i : i + 4096] @ c.T).argmin(1)
+    return nearest_few(x, c, 1)[:, 0]
+
+
+def nearest_few(x: np.ndarray, c: np.ndarray, few: int) -> np.ndarray:
+    """The ``few`` nearest rows of ``c`` for each row of ``x``, nearest first."""
+    few, square = min(few, len(c)), (c**2).sum(1)
+    out = np.empty((len(x), few), np.int64)
+    for i in range(0, len(x), 512):
+        d = square - 2 * x[i : i + 512] @ c.T
+        if few == 1:
+            out[i : i + 512, 0] = d.argmin(1)
+            continue
+        own = np.argpartition(d, few - 1, axis=1)[:, :few]
+        out[i : i + 512] = np.take_along_axis(own, np.take_along_axis(d, own, 1).argsort(1, kind="stable"), 1)
     return out
 
 
 @dataclass(frozen=True)
 class Index:
     centroids: np.ndarray  # lists x dimension
-    books: list[np.ndarray]  # for each part of a vector: codes x components
+    books: list[np.ndarray]  # for each part of a vector: codewords x components
     cuts: list[slice]
 
-    def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = x - self.centroids[lists]
-        return np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books)], 1).astype(np.uint8)
+    def codes(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of vectors in lists, and what their squared distance to a query has besides the query's own terms."""
+        c = self.centroids[lists]
+        code = np.stack([nearest((x - c)[:, p], b) for p, b in zip(self.cuts, self.books)], 1)
+        rest = np.concatenate([b[code[:, m]] for m, b in enumerate(self.books)], 1)
+        return code.astype(np.uint8), (rest**2).sum(1) + 2 * (c * rest).sum(1)
 
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """The asymmetric tables: for each part, minus twice the product of every query with every codeword."""
+        return [(-2 * q[:, p] @ b.T).astype(np.float32) for p, b in zip(self.cuts, self.books)]
 
-def fit(vectors: DataFrame, n: int, s: Settings) -> Index | None:
-    """Centroids and codebooks from the sample; None for a table without usable vectors."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.sample).select("v").toPandas()
-    if not len(rows):
-        return None
-    x = np.stack(rows.v).astype(np.float64)
-    k = int(max(1, min(s.lists, len(x), round(n**0.5 / 2))))
-    centroids = kmeans(x, k, s.seed)
+
+def _rows(column: pa.Array, d: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
+
+
+def fit(nodes: DataFrame, n: int, s: Settings) -> Index:
+    """Centroids and codebooks from about ``sampled`` vectors, those with the smallest hashes of their entry."""
+    most = s.sampled(n)
+    share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(np.ceil(min(1.0, 1.1 * most / n) * (1 << 20)))
+    x = np.stack(nodes.where(share).select("node", "v").toArrow().sort_by("node")["v"].to_numpy()).astype(np.float64)
+    x = x[np.random.default_rng(s.seed).permutation(len(x))[:most]]
+    centroids = kmeans(x, min(len(x), s.lists(n)), s.seed)
+    # lists next to each other in number are near each other, so that a query's lists are in few blocks
+    groups = nearest(centroids, kmeans(centroids, max(1, round(len(centroids) ** 0.5)), s.seed))
+    centroids = centroids[np.argsort(groups, kind="stable")]
     rest = x - centroids[nearest(x, centroids)]
     cuts = [slice(i, min(i + s.part, x.shape[1])) for i in range(0, x.shape[1], s.part)]
-    books = [kmeans(rest[:, c], min(256, len(x)), s.seed + 1 + i, 5) for i, c in enumerate(cuts)]
+    books = [kmeans(rest[:20_000, c], min(256, len(x), 20_000), s.seed + 1 + i, 5) for i, c in enumerate(cuts)]
     return Index(centroids, books, cuts)
 
 
@@ -80,85 +117,177 @@ def usable(table: DataFrame) -> DataFrame:
     """``vec_id, v``: rows with an id, and a vector that is not null or zero and has only finite components."""
     fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     fine &= F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    return table.select("vec_id", F.col("embedding").alias("v")).where(fine)
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(fine)
 
 
-def nearest_vectors(table: DataFrame, every: int = 100, k: int = 10, s: Settings = Settings()) -> DataFrame:
+def _distance(a: Column, b: Column) -> Column:
+    """Euclidean, in double precision."""
+    square = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.sqrt(F.aggregate(square, F.lit(0.0), lambda t, x: t + x))
+
+
+def nearest_vectors(table: DataFrame, every: int = 100, k: int = 10, s: Settings = Settings(), figures: dict | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: for rows whose ``vec_id`` is divisible by ``every``, the ``k`` nearest.
 
-    Ties go to the smaller ``vec_id``. A query takes no row with its own id; of repeated query rows one is used, and
-    repeated candidate rows each count. Vectors of another length than most are searched among themselves
-    only (their distance to others is undefined). Null, zero and non-finite vectors take no part. Enough
-    lists are visited to hold ``k`` candidates, or all of them.
+    Ties go to the smaller ``vec_id``. A query takes no row with its own id; of query rows with one id the smallest vector is used, and
+    repeated candidate rows each count. Vectors of another length than most are compared with those of their length, all of
+    them. Null, zero and non-finite vectors take no part; other columns are not read; an empty table gives no rows. Enough
+    lists are visited to hold ``k`` candidates, or all of them. ``figures`` gets the numbers of lists and of vectors visited.
     """
+    for_long_texts(table.sparkSession)
     whole = usable(table)
-    sizes = [r[0] for r in whole.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
-    found = [_search(whole.where(F.size("v") == d), every, k, s) for d in sizes]
-    if not found:
-        return whole.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    # copies of a vector: its smallest ids, how often each occurs
+    at = F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))
+    ids = whole.withColumn("at", at).where(F.col("at") <= k + 1).groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
+    nodes = ids.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "times"))).alias("ids"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), F.size("v").alias("d"), "v", "ids"), "vectors")
+    queries = whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = stored(queries.join(nodes.select("v", "node", "d"), "v").select(F.col("vec_id").alias("query_id"), "node", "d", "v"), "queries")
+    most = nodes.groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    d = most["d"] if most else 0
+    pairs = asked.where(F.col("d") != d).select(F.col("node").alias("q"), F.col("v").alias("w"), "d").distinct().join(nodes.where(F.col("d") != d), "d").select("q", "ids", _distance(F.col("w"), F.col("v")).alias("score"))
+    if most:
+        pairs = pairs.unionByName(_searched(nodes.where(F.col("d") == d), asked.where(F.col("d") == d), d, most["count"], k, s, figures))
+    near = pairs.select("q", F.inline("ids"), "score").select("q", "vec_id", "times", "score")
+    rank = F.row_number().over(W.partitionBy("q").orderBy("score", "vec_id"))
+    near = near.withColumn("n", rank).where(F.col("n") <= 2 * k + 2).groupBy(F.col("q").alias("node")).agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "times"))).alias("near"))
+    own = asked.select("query_id", "node").join(stored(near, "near"), "node")
+    others = own.select("query_id", F.explode(F.filter("near", lambda x: x.vec_id != F.col("query_id"))).alias("x")).select("query_id", "x.*")
+    # a row for each candidate row
+    rows = others.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id", "copy"))
+    return rows.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(vectors: DataFrame, every: int, k: int, s: Settings) -> DataFrame:
-    index = fit(vectors, vectors.count(), s)
+def _neighbours_of(nodes: DataFrame, probes: np.ndarray, own: np.ndarray, k: int) -> DataFrame:
+    """``probe, node``: the ``k`` entries nearest to each probe, by one pass over all vectors."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(probes), k), np.inf)
+        ids = np.zeros((len(probes), k), np.int64)
+        for b in batches:
+            x = _rows(b.column(1), probes.shape[1])
+            d = (x**2).sum(1) - 2 * probes @ x.T
+            node = b.column(0).to_numpy()
+            d[own[:, None] == node] = np.inf
+            d, node = np.concatenate([best, d], 1), np.concatenate([ids, np.broadcast_to(node, d.shape)], 1)
+            at = np.argpartition(d, k - 1, axis=1)[:, :k]
+            best, ids = np.take_along_axis(d, at, 1), np.take_along_axis(node, at, 1)
+        probe, at = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int64()), pa.array(ids[probe, at]), pa.array(best[probe, at])], ["probe", "node", "score"])
+
+    rank = F.row_number().over(W.partitionBy("probe").orderBy("score", "node"))
+    found = nodes.select("node", "v").mapInArrow(job, "probe long, node long, score double")
+    return found.withColumn("n", rank).where(F.col("n") <= k).select("probe", "node")
+
+
+def _searched(nodes: DataFrame, asked: DataFrame, d: int, n: int, k: int, s: Settings, figures: dict | None) -> DataFrame:
+    """``q, ids, score``: for each entry that is asked about, the ``rerank`` best entries by code with their true distance."""
+    spark, index = nodes.sparkSession, fit(nodes, n, s)
+    lists = len(index.centroids)
 
     def place(batches):
         for b in batches:
-            x = np.stack([np.asarray(v) for v in b.column(1).to_pylist()]).astype(np.float64) if b.num_rows else np.zeros((0, index.centroids.shape[1]))
-            near = nearest(x, index.centroids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int64()), pa.array([c.tobytes() for c in index.codes(x, near)], pa.binary())], ["vec_id", "v", "list", "code"])
+            x = _rows(b.column(1), d)
+            near = nearest_few(x, index.centroids, s.assign)
+            at, own = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+            code, bias = index.codes(x[at], own)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(bias, pa.float32())], ["node", "list", "code", "bias"])
+
+    codes = stored(nodes.select("node", "v").mapInArrow(place, "node long, list int, code binary, bias float"), "codes")
+    held = {r[0]: r[1] for r in codes.groupBy("list").count().collect()}  # a row for each list
+    sizes = np.array([held.get(i, 0) for i in range(lists)])
+    first, parts, block, room = np.zeros(lists, np.int64), np.maximum(1, -(-sizes // s.block)), 0, s.block
+    for i in range(lists):  # lists in a row share a block while they fit; a larger one has blocks of its own
+        if sizes[i] > room:
+            block, room = block + 1, s.block
+        first[i] = block
+        room -= sizes[i]
+        if parts[i] > 1:
+            block, room = block + int(parts[i]), s.block
 
-    kind = vectors.schema["v"].dataType.simpleString()
-    rows = vectors.mapInArrow(place, f"vec_id long, v {kind}, list long, code binary")
-    held = {r[0]: r[1] for r in rows.groupBy("list").count().collect()}  # at most ``lists`` rows
-    sizes = np.array([held.get(i, 0) for i in range(len(index.centroids))])
-    blocks = -(-sizes // s.block)
+    # the probes are few, and so are their neighbours and the lists of these
+    unique = asked.groupBy("node").agg(F.first("v").alias("v"))
+    rows = unique.orderBy(F.xxhash64("node"), "node").limit(s.probes).toArrow()
+    probes, own = np.stack(rows["v"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, d)), rows["node"].to_numpy()
+    true = _neighbours_of(nodes, probes, own, min(k, n))
+    order = nearest_few(probes, index.centroids, lists)
+    place_of = np.argsort(order, axis=1)
+    held_in = true.join(codes.select("node", "list"), "node").groupBy("probe", "node").agg(F.collect_list("list").alias("l"))
+    need = sorted(int(place_of[r["probe"]][r["l"]].min()) for r in held_in.collect()) if len(rows) else []
+    visited = need[min(len(need) - 1, int(np.ceil(s.recall * len(need))) - 1)] + 1 if need else lists
+    if figures is not None:
+        figures |= {"vectors": n, "lists": lists, "visited lists": visited, "codes read for a query": round(float(np.mean(np.sort(sizes[order[:, :visited]].sum(1)))) if len(rows) else 0)}
 
     def visits(batches):
         for b in batches:
-            out: list[list] = [[], [], []]
-            for i, v in enumerate(b.column(1).to_pylist()):
-                order = np.argsort(((index.centroids - np.asarray(v, np.float64)) ** 2).sum(1), kind="stable")
-                enough = int(np.searchsorted(np.cumsum(sizes[order]), 10 * k + 1)) + 1
-                for j in order[: max(enough, int(np.ceil(s.visit * len(order))))]:
-                    for n in range(blocks[j]):
-                        out[0].append(i)
-                        out[1].append(j)
-                        out[2].append(n)
-            at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["query_id", "q", "list", "block"])
-
-    # of repeated query rows the smallest vector is used
-    queries = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("q"))
-    parts = int(max(1, sizes.sum() // every // s.queries))
-    asked = queries.mapInArrow(visits, f"query_id long, q {kind}, list long, block long").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("long"))
-    many = F.array(*[F.lit(int(max(1, n))) for n in blocks])
-    spread = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(many, F.col("list").cast("int") + 1)).cast("long"))
-    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def measure(key, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(qs) or not len(vs):
-            return empty
-        ids, codes = vs.vec_id.to_numpy(np.int64), np.frombuffer(b"".join(vs.code), np.uint8).reshape(len(vs), -1)
-        x, centre, found = np.stack(vs.v).astype(np.float64), index.centroids[key[0]], []
-        for qid, q in zip(qs.query_id, qs.q):
-            q = np.asarray(q, np.float64)
-            table = [((b - (q - centre)[c]) ** 2).sum(1) for c, b in zip(index.cuts, index.books)]
-            about = np.zeros(len(ids))
-            for m, t in enumerate(table):
-                about += t[codes[:, m]]
-            about[ids == qid] = np.inf
-            own = np.lexsort((ids, about))[: s.rerank]
-            own = own[ids[own] != qid]
-            exact = np.sqrt(((x[own] - q) ** 2).sum(1))
-            best = np.lexsort((ids[own], exact))[:k]
-            found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[own][best], "score": exact[best]}))
-        return pd.concat(found) if found else empty
-
-    near = asked.groupBy("list", "block", "part").cogroup(spread.groupBy("list", "block", "part")).applyInPandas(measure, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            q = _rows(b.column(1), d)
+            row, to, which = [], [], []
+            for i, near in enumerate(nearest_few(q, index.centroids, lists)):
+                enough = int(np.searchsorted(np.cumsum(sizes[near]), 2 * s.assign * (k + 1))) + 1
+                near = near[: max(enough, visited)]
+                blocks = np.concatenate([np.arange(first[j], first[j] + parts[j]) for j in near])
+                owner = np.repeat(near, parts[near])
+                for x in np.unique(blocks):
+                    row.append(i)
+                    to.append(x)
+                    which.append(owner[blocks == x].astype(np.int32).tobytes())
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), b.column(0).take(at), pa.array(which, pa.binary()), b.column(1).take(at)], ["block", "node", "code", "v"])
+
+    kind = nodes.schema["v"].dataType.simpleString()
+    calls = unique.mapInArrow(visits, f"block long, node long, code binary, v {kind}")
+    where = spark.createDataFrame(list(zip(range(lists), first.tolist(), parts.tolist())), "list int, first long, parts long")  # a row for each list
+    entries = codes.join(F.broadcast(where), "list").select((F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"), "node", "code", F.lit(None).cast(kind).alias("v"), "list", "bias")
+    stream = entries.unionByName(calls, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("v").isNotNull())
+
+    def search(batches):
+        block, held, ready = None, [], None
+        for b in batches:
+            which, asks = b.column("block").to_numpy(), np.asarray(b.column("v").is_valid())
+            edges = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (asks[1:] != asks[:-1])])).tolist() + [b.num_rows]
+            for i, j in zip(edges, edges[1:]):
+                if which[i] != block:
+                    block, held, ready = which[i], [], None
+                part = b.slice(i, j - i)
+                if not asks[i]:
+                    held.append(part)
+                    continue
+                if ready is None:
+                    if not held:
+                        continue
+                    t = pa.Table.from_batches(held).sort_by("list")
+                    ready = t["node"].to_numpy(), t["list"].to_numpy(), np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1), t["bias"].to_numpy()
+                    held = []
+                for m in range(0, len(part), 128):
+                    yield best_codes(part.slice(m, 128), *ready)
+
+    def best_codes(part, node, of, code, bias):
+        """``q, node, about`` of the best codes of the block for each query."""
+        q, ids = _rows(part.column("v"), d), part.column("node").to_numpy()
+        tables, about = index.tables(q), np.full((len(q), len(node)), np.inf, np.float32)
+        wants = [np.frombuffer(x, np.int32) for x in part.column("code").to_pylist()]
+        wanted, row = np.concatenate(wants), np.repeat(np.arange(len(q)), [len(x) for x in wants])
+        for j in np.unique(wanted):
+            lo, hi = np.searchsorted(of, [j, j + 1])
+            rows = row[wanted == j]
+            if lo < hi:
+                coarse = ((q[rows] - index.centroids[j]) ** 2).sum(1)
+                total = coarse[:, None].astype(np.float32) + bias[lo:hi]
+                for m, t in enumerate(tables):
+                    total += t[rows][:, code[lo:hi, m]]
+                about[rows, lo:hi] = total
+        few = min(2 * s.rerank, len(node))  # an entry may be in two of the lists
+        at = np.argpartition(about, few - 1, axis=1)[:, :few]
+        x, y = np.nonzero(np.isfinite(np.take_along_axis(about, at, 1)))
+        at = at[x, y]
+        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(node[at]), pa.array(about[x, at])], ["q", "node", "about"])
+
+    found = stream.mapInArrow(search, "q long, node long, about float").where("q <> node").groupBy("q", "node").agg(F.min("about").alias("about"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy("about", "node"))
+    short = found.withColumn("n", rank).where(F.col("n") <= s.rerank).select("q", "node")
+    # copies of the query's own vector are its nearest
+    short = stored(short.unionByName(unique.select(F.col("node").alias("q"), "node")), "shortlist")
+    discard(codes)
+    exact = short.join(nodes.select("node", "v", "ids"), "node").join(unique.select(F.col("node").alias("q"), F.col("v").alias("w")), "q")
+    return exact.select("q", "ids", _distance(F.col("w"), F.col("v")).alias("score"))
