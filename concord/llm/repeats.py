@@ -3,7 +3,7 @@
 The rule: every byte that a string of ``length`` bytes covers goes, if that string also starts anywhere else. A suffix
 array answers it by the common prefix of neighbouring suffixes. External induced sorting of all suffixes moves
 tens of bytes for each byte of text, more than the disk this library allows itself (see README), so this
-operator keeps the induction and drops the order: it sorts sampled positions only, and induces from them.
+operator keeps sampling, naming and induction and drops the order: positions are sampled, named by hashes, and induced from.
 
 1. Sampling. Each window of ``length`` bytes names one position in it, its anchor: the smallest hash of the ``GRAM`` bytes there.
    Equal windows have equal anchors. Consecutive windows with one anchor form a run, about one for 60 bytes.
@@ -15,7 +15,8 @@ operator keeps the induction and drops the order: it sorts sampled positions onl
 
 All steps are aggregates and joins on hashes that Spark deals out and spills; no task needs more than one
 chunk of runs in memory. An anchor with very many different runs (a passage that a third of all texts have) is
-not compared in one task: its windows are counted by a further aggregate. Names have 64 bits within an anchor of 64 bits.
+not compared in one task: its windows are counted by a further aggregate. Rows are joined to counts by name and part, so a
+passage that a third of all texts have is spread over ``SALTS`` keys. Names have 64 bits within an anchor of 64 bits.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from concord.session import discard, release, stored
+from concord.session import discard, for_long_texts, stored
 
 GRAM = 64
 #: Low bits of a sampled hash that hold a position; longer texts are sampled in overlapping stretches.
 BITS = 24
 #: Runs of one anchor up to which a single task compares them, and runs it takes at a time.
-HOT, CHUNK = 5_000, 20_000
+HOT, CHUNK = 2_000, 20_000
+#: Parts over which the rows of one name are spread: the bits of a long.
+SALTS = 64
 
 
 class Rolling:
@@ -181,8 +184,8 @@ def _compared(contents: DataFrame, length: int) -> DataFrame:
     return calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(job, "u long, low long, high long")
 
 
-def _counted(contents: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many runs: their windows are counted by an aggregate."""
+def _windows_of_hot(contents: DataFrame, length: int) -> DataFrame:
+    """``anchor, name, u, low, weight, salt``: every window of the runs of anchors with very many runs."""
 
     def job(batches):
         two = Rolling(2)
@@ -194,8 +197,18 @@ def _counted(contents: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("anchor").take(at), pa.array(h.view(np.int64)), b.column("u").take(at), pa.array(p), b.column("weight").take(at)], ["anchor", "name", "u", "low", "weight"])
 
     hot = contents.where(F.col("runs") > HOT).mapInArrow(job, "anchor long, name long, u long, low long, weight long")
-    twice = hot.groupBy("anchor", "name").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "name")
-    found = hot.where("weight = 1").join(stored(twice, "hot"), ["anchor", "name"])
+    return hot.withColumn("salt", _salt("u"))
+
+
+def _twice(contents: DataFrame, length: int) -> DataFrame:
+    """``anchor, name, salt``: windows of anchors with very many runs that occur twice, and the parts of the rows that have them."""
+    found = _windows_of_hot(contents, length).groupBy("anchor", "name").agg(F.sum("weight").alias("n"), *_salts())
+    return found.where("n > 1").selectExpr("anchor", "name", UNFOLD)
+
+
+def _counted(contents: DataFrame, twice: DataFrame, length: int) -> DataFrame:
+    """``u, low, high`` as of ``_compared``, for anchors with very many runs: their windows are counted by an aggregate."""
+    found = _windows_of_hot(contents, length).where("weight = 1").join(twice, ["anchor", "name", "salt"])
     return found.select("u", "low", F.col("low").alias("high"))
 
 
@@ -203,7 +216,8 @@ def removed(docs: DataFrame, length: int = 200) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Null texts count as empty; texts shorter than ``length`` bytes lose nothing; repeated rows are copies of each other and lose all that is
-    at least ``length`` long. Null ids pass through; other columns are not read; an empty table gives no rows.
+    at least ``length`` long. Null ids pass through; other columns are not read; an empty table gives no rows. A text is read in whole,
+    some 60 bytes of memory for each of its bytes; stretches of 8 MB are sampled one after another.
     """
     return _cut(docs, length, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda data, keep, spans: (len(data), int(len(data) - keep.sum()), spans, hashlib.sha256(data[keep].tobytes()).hexdigest()))
 
@@ -213,34 +227,46 @@ def cleaned(docs: DataFrame, length: int = 200) -> DataFrame:
     return _cut(docs, length, "text string", lambda data, keep, spans: (data[keep].tobytes().decode("utf-8", "replace"),))
 
 
+def _salt(number: str):
+    return F.pmod(F.col(number), F.lit(SALTS)).cast("int")
+
+
+def _salts() -> list:
+    """Aggregates that keep which parts a name has rows in, and the expression that unfolds them."""
+    return [F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")]
+
+
+UNFOLD = "explode(filter(sequence(0, 63), i -> shiftright(mask, i) & 1L = 1L)) AS salt"
+
+
 def _cut(docs: DataFrame, length: int, schema: str, outcome) -> DataFrame:
-    spark = docs.sparkSession
+    for_long_texts(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("check"), text.alias("text"))
 
     sampled = stored(_sampled(own, length), "runs")
-    flat = sampled.select("u", F.inline(F.arrays_zip("first", "count", "anchor", "run"))).select("u", "first", "count", "anchor", "run")
-    often = flat.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    shared = stored(flat.join(stored(often, "anchors"), "anchor"), "shared")
-    names = shared.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min("u").alias("rep"))
-    names = stored(names, "names")
-    kinds = stored(names.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1"), "kinds")
+    rows = sampled.select("u", "id", "check")
+    flat = sampled.select("u", F.inline(F.arrays_zip("first", "count", "anchor", "run"))).select("u", "first", "count", "anchor", "run", _salt("u").alias("salt"))
+    # what is counted by name is joined by name and part of the rows, so a name that very many rows have is many keys
+    often = flat.groupBy("anchor").agg(F.count("*").alias("times"), *_salts()).where("times > 1").selectExpr("anchor", UNFOLD)
+    often = stored(often, "anchors")
+    shared = stored(flat.join(often, ["anchor", "salt"]), "shared")
+    names = stored(shared.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min("u").alias("rep"), *_salts()), "names")
     # of runs that occur again all windows do
-    again = names.where("n > 1").select("anchor", "run")
-    whole = shared.join(again, ["anchor", "run"]).select("u", F.col("first").alias("low"), (F.col("first") + F.col("count") - 1).alias("high"))
+    again = names.where("n > 1").selectExpr("anchor", "run", UNFOLD)
+    whole = shared.join(again, ["anchor", "run", "salt"]).select("u", F.col("first").alias("low"), (F.col("first") + F.col("count") - 1).alias("high"))
     # one run of each name is compared; windows of one that occurs again count twice
-    rows = sampled.select("u", "id", "check")
-    fine = names.join(kinds, "anchor").join(shared.withColumnRenamed("u", "rep"), ["anchor", "run", "rep"]).join(rows.withColumnRenamed("u", "rep"), "rep")
+    own_names = names.select("anchor", "run", "n", "rep", _salt("run").alias("salt"))
+    kinds = own_names.groupBy("anchor").agg(F.count("*").alias("runs"), *_salts()).where("runs > 1").selectExpr("anchor", "runs", UNFOLD)
+    kinds = stored(kinds, "kinds")
+    fine = own_names.join(kinds, ["anchor", "salt"]).drop("salt").join(shared.drop("salt").withColumnRenamed("u", "rep"), ["anchor", "run", "rep"]).join(rows.withColumnRenamed("u", "rep"), "rep")
     fine = fine.select("id", "check", "anchor", "runs", F.col("rep").alias("u"), "first", "count", F.least("n", F.lit(2)).cast("long").alias("weight"))
-    release(spark)
     contents = stored(_contents(own, fine, length), "contents")
-    release(spark)
-    parts = whole.unionByName(_compared(contents, length)).unionByName(_counted(contents, length))
+    twice = stored(_twice(contents, length), "twice")
+    parts = whole.unionByName(_compared(contents, length)).unionByName(_counted(contents, twice, length))
     spans = parts.join(rows, "u").groupBy("id", "check").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
     spans = stored(spans, "spans")
-    for t in (contents, shared, names, kinds):
-        discard(t)
-    release(spark)
+    discard(twice, contents, shared, names, kinds, often, sampled)
 
     def job(batches):
         for b in batches:
