@@ -91,3 +91,65 @@ ORACLES: dict[str, str] = {
         FROM d JOIN g USING (h)
     """,
 }
+
+ORACLES["op5_mixing"] = """
+    WITH RECURSIVE d AS (
+        SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey, length(coalesce(text, '')) AS volume,
+               md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS o
+        FROM documents
+    ), b AS (
+        SELECT *, CAST((sum(volume) OVER (PARTITION BY skey ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - volume) // 20000 AS BIGINT) AS block FROM d
+    ), v AS (
+        SELECT skey, sum(volume) AS volume, round(pow(CAST(greatest(sum(volume), 1) AS DOUBLE), 0.7), 6) AS w FROM d GROUP BY skey
+    ), src AS (
+        SELECT *, CAST(floor(log2(w) * 32) AS BIGINT) AS cls FROM v
+    ), turns AS (
+        SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5(skey)) - 1 AS turn FROM src
+    ), c AS (
+        SELECT cls, count(*) AS members, CAST(sum(CAST(w AS DECIMAL(30, 6))) AS DOUBLE) AS w, count(*) OVER () AS n FROM src GROUP BY cls
+    ), e AS (
+        SELECT *, greatest(1000, 16 * n) AS total, w / (SELECT CAST(sum(CAST(w AS DECIMAL(30, 6))) AS DOUBLE) FROM src) * (greatest(1000, 16 * n) - n) AS exact FROM c
+    ), shares AS (
+        SELECT cls, members, total, CAST(1 + floor(exact) + CASE WHEN row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, cls) <= total - n - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share FROM e
+    ), one AS (
+        SELECT list(share ORDER BY cls) AS s, list(cls ORDER BY cls) AS cs, CAST(max(total) AS BIGINT) AS total FROM shares
+    ), edf AS (
+        SELECT CAST(0 AS BIGINT) AS slot, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick FROM one
+        UNION ALL
+        SELECT slot + 1, list_transform(done, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p
+        FROM (
+            SELECT slot, done, list_sort(list_filter(list_transform(s, lambda x, i: {'deadline': ((done[i] + 1) * total + x - 1) // x, 'heavier': -x, 'i': CAST(i AS BIGINT), 'released': (done[i] * total) // x}), lambda x: x.released <= slot))[1].i AS p
+            FROM edf, one WHERE slot < total
+        )
+    ), places AS (
+        SELECT cs[pick] AS cls, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS k FROM edf, one WHERE pick IS NOT NULL
+    ), z AS (SELECT sum(volume // 20000 + 1) AS stop FROM v)
+    SELECT b.doc_id, b.source, b.block, CAST(((b.block * members + turn) // share) * total + places.slot AS BIGINT) AS slot,
+           ((b.block * members + turn) // share) * total + places.slot < stop AS in_mix
+    FROM b JOIN turns USING (skey) JOIN shares USING (cls) JOIN places ON places.cls = shares.cls AND places.k = (b.block * members + turn) % share, z
+"""
+
+ORACLES["op10_repeated_strings"] = """
+    WITH t AS (
+        SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), pieces AS (
+        SELECT r, 1000 * k AS base, substr(h, 2000 * k + 1, 2398) AS piece FROM (SELECT r, h, unnest(range(0, greatest(0, (length(h) // 2 + 800) // 1000))) AS k FROM t)
+    ), w AS (
+        SELECT r, base + j AS s, md5_number(substr(piece, 2 * j + 1, 400)) AS name
+        FROM (SELECT r, base, piece, unnest(range(0, least(1000, greatest(0, length(piece) // 2 - 199)))) AS j FROM pieces)
+    ), twice AS (
+        SELECT name FROM w GROUP BY name HAVING count(*) > 1
+    ), hit AS (
+        SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 200, true) AS opens FROM w SEMI JOIN twice USING (name)
+    ), spans AS (
+        SELECT r, min(s) AS lo, max(s) + 200 AS hi FROM (SELECT r, s, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY s) AS g FROM hit) GROUP BY r, g
+    ), gaps AS (
+        SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a, lo AS b FROM spans
+        UNION ALL SELECT r, max(hi), (SELECT length(h) // 2 FROM t WHERE t.r = spans.r) FROM spans GROUP BY r
+    ), kept AS (
+        SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest FROM gaps JOIN t USING (r) GROUP BY r
+    ), sums AS (SELECT r, sum(hi - lo) AS gone, count(*) AS n FROM spans GROUP BY r)
+    SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+           sha256(unhex(coalesce(rest, h))) AS kept_sha256
+    FROM t LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""

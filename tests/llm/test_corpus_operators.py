@@ -151,9 +151,9 @@ def test_schedule(spark):
     for _ in range(4):
         shares = [rng.randint(1, 30) for _ in range(rng.randint(1, 9))]
         total = sum(shares)
-        table = spark.createDataFrame([(f"k{i}", w, total) for i, w in enumerate(shares)], "skey string, share long, total long")
+        table = spark.createDataFrame([(f"k{i}", w, total) for i, w in enumerate(shares)], "class string, share long, total long")
         rows = sorted(mixing.schedule(table).collect(), key=lambda r: r.slot)
-        picks = [int(r.skey[1:]) for r in rows]
+        picks = [int(r["class"][1:]) for r in rows]
         assert picks == edf(shares, total)
         for t in range(1, total + 1):  # less than a block more or less than the weight asks for, at every slot
             assert all(abs(picks[:t].count(i) - t * w / total) < 1 for i, w in enumerate(shares))
@@ -178,6 +178,33 @@ def test_mixing(spark):
     assert part.columns == clash.columns and part.count() == natural.where("in_mix").count()
 
 
+def test_mixing_of_many_sources(spark):
+    """10,000 sources, a third of the ids null: every block has a slot of its own, and each source is within a block of its weight."""
+    rng = random.Random(12)
+    rows = [(i if i % 3 else None, "x" * rng.choice([1, 30, 200]), "clash", f"s{i % 10_000}" if i % 4 else "hot") for i in range(30_000)]
+    d = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = mixing.mixed(d, block=100, slots=1000, alpha=0.7).collect()
+    assert collections.Counter((r.doc_id, r.source) for r in got) == collections.Counter((i, s) for i, _, _, s in rows)
+    place = {}
+    for r in got:
+        assert place.setdefault((r.source, r.block), r.slot) == r.slot
+    assert len(set(place.values())) == len(place)
+    volume = collections.Counter()
+    for _, t, _, s in rows:
+        volume[f"s{s}"] += len(t)
+    volumes = spark.createDataFrame(list(volume.items()), "skey string, volume long")
+    sources = mixing.source_classes(volumes, None, 0.7)
+    shares = {r["class"]: (r.share, r.total, r.members) for r in mixing.class_shares(sources, 1000).collect()}
+    kind = {r.skey: r["class"] for r in sources.collect()}
+    for (s, block), slot in place.items():
+        share, total, members = shares[kind[f"s{s}"]]
+        w = share / total / members
+        assert abs(block - slot * w) < 1 and abs(block + 1 - (slot + 1) * w) < 1, (s, block, slot, w)
+    want = {k: v**0.7 / sum(x**0.7 for x in volume.values()) for k, v in volume.items()}
+    share, total, members = shares[kind["shot"]]
+    assert share / total / members == pytest.approx(want["shot"], rel=0.1)
+
+
 def test_mixing_stage_keeps_all_in_order(spark, tmp_path):
     rows = [(i, f"{i:05d} " * 500, "clash", "hot" if i < 400 else f"s{i % 19}") for i in range(1200)] + [(None, None, None, None)] * 3
     d = spark.createDataFrame(rows, DOCS).repartition(4)
@@ -200,7 +227,7 @@ def test_neighbours(spark):
     x[300:700] = x[300]  # a third are copies
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (None, x[0].tolist()), (2100, x[1].tolist()), (2100, x[1].tolist())]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
-    s = neighbours.Settings(block=100, queries=5, sample=800)
+    s = neighbours.Settings(block=100, sample=800, probes=15)
     got = collections.defaultdict(list)
     for r in neighbours.nearest_vectors(table, s=s).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))

@@ -59,14 +59,59 @@ def test_long_pieces_keep_nothing():
 
 
 def test_long_words_are_read_in_whole():
-    s, known = quality.Settings(), {}
+    s = quality.Settings()
     middle = "a" * 30 + "".join(map(chr, range(0x4E00, 0x4E00 + 200))) + "b" * 30
     assert len(quality.word_buckets(middle, s)) == len(middle) + 2  # n-grams of <word>, and two more
     scorer = quality.Scorer({"score": np.arange(s.buckets, dtype=np.float32), "bias": np.zeros(1)}, s)
     b = quality.word_buckets(middle, s)
-    assert scorer.word(middle) == pytest.approx(sum(b) / len(b)) and middle not in scorer.known
-    buckets, weights = quality.document_features(middle, s, known)
-    assert not known and set(b) <= set(buckets.tolist()) and weights.sum() == pytest.approx(1 / 3)
+    buckets, weights = quality.document_features(middle, s)
+    assert set(b) == set(buckets.tolist()) and weights.sum() == pytest.approx(1 / 3 / 2)
+    assert scorer.batch([middle])[0] == pytest.approx(1 / (1 + math.exp(-min(40, np.mean(b) / 3 / 2))))
+
+
+def test_a_change_anywhere_changes_the_features():
+    """100,000 signs without a blank, and Chinese text: another middle gives other features."""
+    s = quality.Settings()
+    rng = random.Random(6)
+    for long in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for i in range(100_000)), "".join(chr(0x4E00 + rng.randrange(9000)) for i in range(5000))):
+        other = long[:50_000] + "XYZ" + long[50_003:] if len(long) > 50_000 else long[:2500] + "XYZ" + long[2503:]
+        one, two = (dict(zip(*(x.tolist() for x in quality.document_features(t, s)))) for t in (long, other))
+        assert one != two and len(one) > 500
+
+
+def test_scores_are_those_of_the_features(corpus):
+    s, rng = quality.Settings(), np.random.default_rng(4)
+    model = {"score": rng.normal(size=s.buckets), "bias": np.array([0.3])}
+    texts = [*corpus[:60], "", "a a a b", "x" * 5000, "one"]
+    want = []
+    for t in texts:
+        b, w = quality.document_features(t, s)
+        want.append(1 / (1 + math.exp(-(0.3 + float((model["score"][b] * w).sum())))))
+    assert np.allclose(quality.Scorer(model, s).batch(texts), want, atol=1e-6)
+
+
+def test_long_runs_count_in_little_memory():
+    """A megabyte of one sign is one piece: counted like the library does, within 200 MB."""
+    import resource
+
+    t, c = Tokenizer.from_file(BYTES), tokens.PrefixCounter(BYTES)
+    for sign in ("a", " ", "-"):
+        n = len(t.encode(sign * 1_000_000, add_special_tokens=False).ids)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        assert c.count(sign * 1_000_000) == n
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB
+
+
+def test_where_a_text_fits(spark, corpus):
+    t = Tokenizer.from_file(BYTES)
+    size = lambda x: len(t.encode(x.decode(), add_special_tokens=False).ids)
+    every = ODD + corpus[:60]
+    for r in tokens.token_counts(docs(spark, every), BYTES, limit=20).collect():
+        data = every[r.doc_id].encode()
+        assert r.fit_bytes == len(data) if r.n_tokens <= 20 else size(data[: r.fit_bytes]) <= 20
+        if r.n_tokens > 20 and "  " not in every[r.doc_id] and len(data) > 1000:
+            nxt = data.index(b" ", r.fit_bytes + 1) if b" " in data[r.fit_bytes + 1 :] else len(data)
+            assert size(data[:nxt]) > 20
 
 
 def test_token_counts_of_nothing(spark):
@@ -149,6 +194,19 @@ def test_packing(spark, corpus):
     assert packing.pack(docs(spark, []), WORDS).count() == 0
 
 
+def test_word_ids_of_every_character():
+    """Every assigned character below U+30000, alone and with marks that combine with it in other orders."""
+    import unicodedata
+
+    t, own = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS)
+    signs = [c for c in map(chr, range(1, 0x30000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    rare = [c for c in signs if unicodedata.category(c) not in ("Lo", "So")]
+    texts = [f"a{c}b" for c in signs] + [f"a{c}{m}b" for c in rare for m in "\u0301\u0327\u0331\u0345"]
+    texts += ["a\u0124\u0331b", "a\u0130\u0327b", "a\u0386\u0345b", "a\u03aa\u0301b"]
+    want = t.encode_batch(texts, add_special_tokens=False)
+    assert [x for x, w, g in zip(texts, want, own.batch(texts)) if w.ids != g.tolist()] == []
+
+
 def test_extraction_of_labelled_pages():
     model = html.train(pages.labelled_pages(300), rounds=8)
     model = html.Model(model.unary, model.pair.tolist())
@@ -230,5 +288,6 @@ def test_model_probabilities_add_up():
     rng = np.random.default_rng(0)
     w = rng.normal(0, 1, s.features * s.classes + (1 + s.units) * s.classes * s.inside).astype(np.float32)
     first = rng.integers(0, s.units, 2)
-    total = sum(10 ** language_model.log_probability(np.array([*first, u]), np.array([3]), w, s)[2] for u in range(s.units))
+    hashes = rng.integers(0, 2**63, 3).astype(np.uint64)
+    total = sum(10 ** language_model.log_probability(np.array([*first, u]), hashes, np.array([3]), w, s)[2] for u in range(s.units))
     assert abs(total - 1) < 1e-4
