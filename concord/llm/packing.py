@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from concord.session import discard, for_long_texts, stored
 
 #: Words a worker remembers before it starts afresh, and their ids; bounds memory only.
-CACHE, IDS = 150_000, 2_000_000
+CACHE, IDS = 500_000, 8_000_000
 
 #: Words after which waiting texts are encoded.
-WORDS = 100_000
+WORDS = 200_000
 
 
 class _Numbers(dict):
@@ -95,8 +95,8 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             self.pattern = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         # the library's NFC may not know marks that are younger than its tables
-        young = (c for c in map(chr, range(0x300, 0x20000)) if category(c)[0] == "M" and ucd_3_2_0.category(c) == "Cn")
-        self.whole = re.compile("|".join([f"[\x1c-\x1f\u03a3{''.join(young)}]", *(re.escape(t.content) for t in added.values())]))
+        self.young = {c for c in map(chr, range(0x300, 0x20000)) if category(c)[0] == "M" and ucd_3_2_0.category(c) == "Cn"}
+        self.whole = re.compile("|".join(["[\x1c-\x1f\u03a3]", *(re.escape(t.content) for t in added.values())]))
         self._forget()
 
     def _forget(self) -> None:
@@ -126,8 +126,9 @@ class WordEncoder:
         waiting: list[np.ndarray | None] = []
         first = size = 0
         for i, text in enumerate(texts):
-            lower = (text if text.isascii() else normalize("NFC", text)).lower()
-            if self.whole.search(text) or not is_normalized("NFC", lower):
+            plain = text.isascii()
+            lower = (text if plain else normalize("NFC", text)).lower()
+            if self.whole.search(text) or not (plain or is_normalized("NFC", lower) and self.young.isdisjoint(text)):
                 waiting.append(None)
             else:
                 words = lower.split()
