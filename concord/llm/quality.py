@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from concord.session import for_long_texts
 
 #: Words a worker remembers before it starts afresh, and their characters; bounds memory only.
-CACHE, CHARS = 100_000, 4_000_000
+CACHE, CHARS = 400_000, 12_000_000
 
 #: Texts read at a time.
 TEXTS = 256
@@ -163,7 +163,13 @@ class Scorer:
         """Shares and checksums of the words that got a number since the last call."""
         new = list(islice(reversed(self.known), len(self.known) - len(self.value)))[::-1]
         self.chars += sum(map(len, new))
-        value = np.fromiter((self.scores[word_buckets(w, self.settings)].mean() for w in new), np.float64, len(new))
+        flat, ends = array("i"), []
+        for w in new:
+            flat.extend(word_buckets(w, self.settings))
+            ends.append(len(flat))
+        sums = np.concatenate([[0.0], np.cumsum(self.scores[np.frombuffer(flat, np.int32)])]) if new else np.zeros(1)
+        at = np.array([0, *ends])
+        value = (sums[at[1:]] - sums[at[:-1]]) / np.diff(at)
         self.value = np.concatenate([self.value, value])
         self.crc = np.concatenate([self.crc, np.fromiter((crc32(w.encode()) for w in new), np.int64, len(new))])
 
