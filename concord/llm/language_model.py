@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from concord.session import discard, for_long_texts, stored
 
 #: Words a worker remembers before it starts afresh; bounds memory only.
-CACHE = 150_000
+CACHE = 400_000
 END = b""
 
 

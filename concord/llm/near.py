@@ -40,7 +40,7 @@ NO_ID = -(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Words a worker remembers before it starts afresh; bounds memory only.
-CACHE = 100_000
+CACHE = 300_000
 
 
 @dataclass(frozen=True)

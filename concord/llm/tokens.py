@@ -27,7 +27,7 @@ from concord.session import for_long_texts
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of each of a worker's three tables (chunks, prefixes, token pairs) before it starts afresh; bounds memory only.
-CACHE = 250_000
+CACHE = 600_000
 
 #: Longer pieces (bytes) have a table of their own, which is dropped after the piece.
 LONG = 200
