@@ -209,3 +209,12 @@ def resolved(records: DataFrame, catalogue: DataFrame, source: str, target: str,
     return first.where("decision <> 'no_match'").unionByName(again)
 
 
+def parsed_choices(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """Answers of a resolver with ``action`` and ``choice``: ``3`` chooses, ``x3`` rejects, ``s`` or nothing skips, ``q`` ends, others are invalid.
+
+    Numbers count from 1.
+    """
+    own = F.lower(F.trim(F.coalesce(F.col(column), F.lit(""))))
+    number = F.regexp_extract(own, r"^x?([1-9][0-9]{0,8})$", 1)
+    action = F.when(own.isin("", "s"), "skip").when(own == "q", "quit").when(number == "", "invalid").when(own.startswith("x"), "reject").otherwise("choose")
+    return answers.withColumn("action", action).withColumn("choice", F.when(number != "", number.cast("int")))

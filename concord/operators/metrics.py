@@ -71,3 +71,14 @@ def evaluation(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
     c = pairs.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
     over = lambda a, b: F.when(b > 0, a / b)
     return c.withColumns({"precision": over(F.col("tp"), F.col("tp") + F.col("fp")), "recall": over(F.col("tp"), F.col("tp") + F.col("fn")), "f1": over(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
+
+
+def library_stats(records: DataFrame) -> DataFrame:
+    """Counts by service as a summary shows them: ``both`` is the lesser of the two, an upper bound."""
+    return library_summary(records).select("total", "on_a", "on_b", F.least("on_a", "on_b").alias("both"))
+
+
+def error_summary(errors: DataFrame, now) -> DataFrame:
+    """``total, kinds, last_hour`` of errors ``kind, ts``."""
+    recent = F.col("ts") >= F.lit(now).cast("timestamp") - F.expr("INTERVAL 1 HOUR")
+    return errors.agg(F.count("*").alias("total"), F.count_distinct("kind").alias("kinds"), F.count_if(recent).alias("last_hour"))

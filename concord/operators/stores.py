@@ -14,13 +14,14 @@ def latest(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
-    """Rows replace those with their key; among new rows of one key the last by ``order`` counts."""
-    new = latest(rows, key, F.col(order)) if order else rows.dropDuplicates(key)
+    """Rows replace those with their key; among new rows of one key the last by ``order`` counts, without it the largest."""
+    new = latest(rows, key, F.col(order) if order else F.struct(*rows.columns))
     return table.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
 def insert_or_ignore(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    return table.unionByName(rows.dropDuplicates(key).join(table.select(*key), key, "left_anti"))
+    """Rows whose key the table does not have; of several with one key the largest."""
+    return table.unionByName(latest(rows, key, F.struct(*rows.columns)).join(table.select(*key), key, "left_anti"))
 
 
 def delete(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -73,3 +74,22 @@ def choose(mappings: DataFrame, exclusions: DataFrame, choices: DataFrame) -> tu
 def latest_resumable(runs: DataFrame) -> DataFrame:
     """The most recent run, if it is not completed."""
     return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(1).where("status <> 'completed'")
+
+
+def find(records: DataFrame, column: str, value) -> DataFrame:
+    """The first record, in order, with a value: by id, service id or code. The filter reaches the scan."""
+    return records.where(F.col(column) == value).orderBy("ord").limit(1)
+
+
+def outcomes_in_time(outcomes: DataFrame) -> DataFrame:
+    return outcomes.orderBy("recorded_at", "source_track_id")
+
+
+def append_outcomes(outcomes: DataFrame, path: str) -> None:
+    outcomes.write.mode("append").parquet(path)
+
+
+def recent_runs(runs: DataFrame, n: int | None = None) -> DataFrame:
+    """Runs, newest first; all, or the most recent ``n``."""
+    ordered = runs.orderBy(F.desc("started_at"), F.desc("id"))
+    return ordered if n is None else ordered.limit(n)

@@ -5,7 +5,7 @@ An operation has ``op`` (``add_track``, ``remove_track``, ``create_list``, ``upd
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from concord.functions.ids import members_digest, op_key, parse_op_key
 from concord.functions.similarity import Policy
@@ -93,8 +93,9 @@ def applied_tracks(records: DataFrame, ops: DataFrame, remove_clears: bool = Fal
 
 
 def applied_lists(lists: DataFrame, ops: DataFrame) -> DataFrame:
-    """Lists after list operations: full replacement, so that a repeated operation changes nothing."""
-    new = ops.where("members is not null").groupBy(F.col("entity_id").alias("id")).agg(F.max_by("members", "op_key").alias("new"))
+    """Lists after list operations: full replacement, so that a repeated operation changes nothing. The last by ``ord`` counts, where there is one."""
+    last = "ord" if "ord" in ops.columns else "op_key"
+    new = ops.where("members is not null").groupBy(F.col("entity_id").alias("id")).agg(F.max_by("members", last).alias("new"))
     return lists.join(new, "id", "full_outer").withColumn("track_ids", F.coalesce("new", "track_ids")).drop("new")
 
 
@@ -113,3 +114,50 @@ def run_totals(log: DataFrame) -> DataFrame:
 
 def pending_sources(records: DataFrame, source: str, target: str) -> DataFrame:
     return records.where(on_service(source) & ~on_service(target))
+
+
+def compute_diff(records: DataFrame, lists: DataFrame, state: DataFrame, direction: str = "both", **options) -> DataFrame:
+    """The operations of a synchronisation: all differences of the direction, without lists that have not changed since the last one."""
+    found = None
+    for source, target in directions(direction):
+        ops = library_diff(records, lists, source, target, **options)
+        found = ops if found is None else found.unionByName(ops)
+    return changed_only(found, state)
+
+
+def directions(direction: str) -> list[tuple[str, str]]:
+    """Source and target of ``a>b``, ``b>a`` or ``both``."""
+    every = {"a>b": [("a", "b")], "b>a": [("b", "a")]}
+    return every["a>b"] + every["b>a"] if direction == "both" else every[direction]
+
+
+def dry_run_report(ops: DataFrame) -> DataFrame:
+    """What a run would do, in one row: operations in all, on tracks, lists created and updated."""
+    n = lambda *kinds: F.count_if(F.col("op").isin(*kinds))
+    return ops.agg(F.count("*").alias("operations"), n("add_track", "remove_track").alias("tracks"), n("create_list").alias("created"), n("update_members").alias("updated"))
+
+
+def list_order(ops: DataFrame) -> DataFrame:
+    """``entity_id, place, lists``: lists of the operations in the order in which they first appear (by ``ord``), as ``place`` of ``lists``."""
+    first = ops.where("members is not null").groupBy("entity_id").agg(F.min("ord").alias("first"))
+    lists = first.agg(F.count("*").alias("lists"))
+    placed = first.repartitionByRange("first").sortWithinPartitions("first").withColumn("part", F.spark_partition_id())
+    inside = F.row_number().over(W.partitionBy("part").orderBy("first"))
+    from concord.session import stored
+
+    placed = stored(placed.withColumn("k", inside), "places")
+    before = placed.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    before = before.withColumn("base", F.sum("n").over(W.orderBy("part")) - F.col("n")).drop("n")
+    total = lists.first()["lists"]
+    return placed.join(before, "part").select("entity_id", (F.col("base") + F.col("k")).alias("place"), F.lit(total).cast("long").alias("lists"))
+
+
+def run_state(ops: DataFrame, log: DataFrame, run_id: str, cancelled: bool = False) -> DataFrame:
+    """``operations, succeeded, failed, open, fraction, status`` of a run; one that is cancelled or has failures is not completed."""
+    own = log.where(F.col("run_id") == run_id).groupBy("op_key").agg(F.max(F.col("status") == "done").alias("done"))
+    both = ops.select("op_key").distinct().join(own, "op_key", "left")
+    n = both.agg(F.count("*").alias("operations"), F.count_if("done").alias("succeeded"), F.count_if(~F.col("done")).alias("failed"))
+    n = n.withColumn("open", F.col("operations") - F.col("succeeded") - F.col("failed"))
+    fraction = F.when(F.col("operations") > 0, (F.col("succeeded") + F.col("failed")) / F.col("operations")).otherwise(1.0)
+    status = F.when(F.lit(cancelled) | (F.col("open") > 0), "cancelled").when(F.col("failed") > 0, "failed").otherwise("completed")
+    return n.withColumns({"fraction": fraction, "status": status})

@@ -475,3 +475,67 @@ def _(spark, d):
     SELECT *, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / (tp + fn) AS recall, CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) AS f1 FROM c""")
 def _(spark, d):
     return metrics.evaluation(table(spark, d, "labels"), "quality", "toxic")
+
+
+# ---- look-ups, runs, reports
+
+
+@query("point_lookup", "SELECT p_partkey AS ord, 'p' || p_partkey AS id FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part WHERE p_brand = 'Brand#11')")
+def _(spark, d):
+    return stores.find(A.parts(spark, d), "title", "Brand#11").select("ord", "id")
+
+
+@query("recent_runs", f"WITH {_OUTCOMES} SELECT run_id AS id, status FROM r ORDER BY started DESC, run_id DESC LIMIT 10")
+def _(spark, d):
+    return stores.recent_runs(A.event_outcomes(spark, d)[1], 10).select("id", "status")
+
+
+@query("library_stats", "SELECT *, least(on_a, on_b) AS both FROM (SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE c_custkey % 3 <> 1) AS BIGINT) AS on_a, CAST(count(*) FILTER (WHERE c_custkey % 3 <> 0) AS BIGINT) AS on_b FROM customer)")
+def _(spark, d):
+    return metrics.library_stats(table(spark, d, "customer").select((F.col("c_custkey") % 3 + 1).cast("int").alias("availability")))
+
+
+@query("error_summary", "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(DISTINCT props) AS BIGINT) AS kinds, CAST(count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 1 HOUR) AS BIGINT) AS last_hour FROM events WHERE event_type = 'error'")
+def _(spark, d):
+    return metrics.error_summary(table(spark, d, "events").where("event_type = 'error'").withColumnRenamed("props", "kind"), "2024-01-02 00:00:00")
+
+
+@query("dry_run_report", f"WITH {_LIST_OPS} SELECT CAST(count(*) AS BIGINT) AS operations, CAST(0 AS BIGINT) AS tracks, CAST(count(*) FILTER (WHERE op = 'create_list') AS BIGINT) AS created, CAST(count(*) FILTER (WHERE op = 'update_members') AS BIGINT) AS updated FROM ops")
+def _(spark, d):
+    return syncing.dry_run_report(syncing.list_ops(*A.conversation_lists(spark, d), "b"))
+
+
+@query("list_order", f"WITH {_LIST_OPS} SELECT entity_id, CAST(row_number() OVER (ORDER BY conv_id DESC) AS BIGINT) AS place, CAST(count(*) OVER () AS BIGINT) AS lists FROM ops")
+def _(spark, d):
+    ops = syncing.list_ops(*A.conversation_lists(spark, d), "b").withColumn("ord", -F.expr("cast(substr(entity_id, 2) as bigint)"))
+    return syncing.list_order(ops).withColumn("place", F.col("place").cast("long"))
+
+
+@query("run_state", f"""WITH {_LOG}, k AS (SELECT DISTINCT op_key FROM log), own AS (SELECT op_key, max(CAST(status = 'done' AS INTEGER)) AS done FROM log WHERE run_id = 'o7' GROUP BY op_key),
+    n AS (SELECT CAST(count(*) AS BIGINT) AS operations, CAST(count(*) FILTER (WHERE done = 1) AS BIGINT) AS succeeded, CAST(count(*) FILTER (WHERE done = 0) AS BIGINT) AS failed FROM k LEFT JOIN own USING (op_key))
+    SELECT *, operations - succeeded - failed AS open, CAST(succeeded + failed AS DOUBLE) / operations AS fraction, CASE WHEN operations > succeeded + failed THEN 'cancelled' WHEN failed > 0 THEN 'failed' ELSE 'completed' END AS status FROM n""")
+def _(spark, d):
+    log = A.line_log(spark, d)
+    return syncing.run_state(log.select("op_key"), log, "o7")
+
+
+@query("resolver_choices", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'choose' WHEN 1 THEN 'reject' WHEN 2 THEN 'skip' WHEN 3 THEN 'quit' ELSE 'invalid' END AS action, CASE WHEN p_partkey % 5 < 2 THEN CAST(p_size AS INTEGER) ELSE -1 END AS choice FROM part""")
+def _(spark, d):
+    k, n = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    answer = F.when(k == 0, n).when(k == 1, F.concat(F.lit(" X"), n)).when(k == 2, "S").when(k == 3, "q").otherwise("what")
+    rows = matching.parsed_choices(table(spark, d, "part").select("p_partkey", answer.alias("answer")))
+    return rows.select("p_partkey", "action", F.coalesce("choice", F.lit(-1)).alias("choice"))
+
+
+@query("insert_or_ignore", "SELECT 'p' || p_partkey AS track_id, CASE WHEN p_partkey % 2 = 0 THEN 'old' ELSE 'new' END AS kind FROM part")
+def _(spark, d):
+    every = table(spark, d, "part").select("p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("track_id"))
+    rows = lambda df, kind: df.select("track_id", F.lit(kind).alias("kind"))
+    return stores.insert_or_ignore(rows(every.where("p_partkey % 2 = 0"), "old"), rows(every.unionByName(every), "new"), ["track_id"])
+
+
+@query("applied_tracks", "SELECT 'p' || p_partkey AS id, CAST(CASE WHEN p_partkey % 2 = 0 THEN 2 WHEN p_partkey % 3 = 0 THEN 3 ELSE 1 END AS INTEGER) AS availability FROM part")
+def _(spark, d):
+    records = A.parts(spark, d)
+    ops = records.where("ord % 3 = 0 AND ord % 2 = 1").select(F.lit("add_track").alias("op"), F.lit("b").alias("service"), F.col("id").alias("entity_id"))
+    return syncing.applied_tracks(records, ops).select("id", "availability")

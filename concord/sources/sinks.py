@@ -40,6 +40,20 @@ def retry_delay(attempt_delay: float, retry_after: float | None = None) -> float
     return attempt_delay if retry_after is None else max(attempt_delay, min(retry_after, 300.0))
 
 
+def retry_after(value: str | None, now: float | None = None) -> float | None:
+    """Seconds of a Retry-After header: a number, or a date; None for others."""
+    from email.utils import parsedate_to_datetime
+
+    try:
+        return max(0.0, float((value or "").strip()))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - (time.time() if now is None else now))
+    except (TypeError, ValueError):
+        return None
+
+
 def backoff(attempt: int, base: float = 1.0, jitter: float = 0.1, rng: random.Random | None = None) -> float:
     delay = min(base * 2**attempt, 32.0)
     return delay * (1 + (rng or random).uniform(-jitter, jitter))
@@ -49,7 +63,7 @@ class TokenBucket:
     """A bucket of ten seconds' tokens that refills at a steady rate."""
 
     def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic):
-        self.rate, self.capacity, self.clock = rate, int(10 * rate), clock
+        self.rate, self.capacity, self.clock = rate, max(1, int(10 * rate)), clock
         self.tokens, self.at = float(self.capacity), clock()
 
     def wait_time(self, n: int = 1) -> float:
@@ -64,13 +78,13 @@ class TokenBucket:
 
 
 def send(ops: DataFrame, effect: Callable[[dict], None], rate: float = 2.0, parallel: int = 5, attempts: int = 3, retryable: Callable[[Exception], bool] = lambda e: getattr(e, "status", None) in RETRIED) -> DataFrame:
-    """Apply operations by an external effect; ``op_key, status, error`` of each.
+    """Apply operations by an external effect; ``op_key, status, error`` of each. All partitions together keep to ``rate`` a second.
 
     Effects replace whole states, so one that a re-run task repeats changes nothing. Store the result once and keep it as the checkpoint log.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket = TokenBucket(rate)
+        bucket = TokenBucket(rate / parallel)  # the service sees ``rate`` in all
         for pdf in batches:
             out = []
             for op in pdf.to_dict("records"):
