@@ -188,3 +188,26 @@ def test_latest_resumable_looks_at_the_last_run_only(spark):
     runs = spark.createDataFrame([("a", 1, "failed"), ("b", 2, "completed")], "id string, started_at long, status string")
     assert stores.latest_resumable(runs).count() == 0
     assert stores.latest_resumable(runs.where("id = 'a'")).first().id == "a"
+
+
+def test_components_of_many_shares(spark):
+    """Three edges a share, so that the rounds after the contraction are used."""
+    from concord.operators.components import connected_components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 150)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), share=3).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 102), 100), 150: 150, 200: 150}
+
+
+def test_lists_take_the_last_operation(spark):
+    from concord.operators.syncing import applied_lists
+
+    lists = spark.createDataFrame([("l", ["a"])], "id string, track_ids array<string>")
+    ops = spark.createDataFrame([("l", ["b"], "z", 1), ("l", ["c"], "a", 2)], "entity_id string, members array<string>, op_key string, ord long")
+    assert applied_lists(lists, ops).first().track_ids == ["c"]
+
+
+def test_retry_after():
+    from concord.sources.sinks import retry_after
+
+    assert retry_after("12") == 12 and retry_after("Thu, 01 Jan 1970 00:01:40 GMT", 40.0) == 60 and retry_after(None) is retry_after("soon") is None
