@@ -181,11 +181,11 @@ class Scorer:
         self._learn()
         n = np.array([len(r) for r in rows])
         word, doc = np.concatenate([np.zeros(0, np.int32), *rows]), np.repeat(np.arange(len(rows)), n)
-        z = np.bincount(doc, self.value[word], len(rows))
+        z = np.bincount(doc, self.value[word], len(rows)).astype(float)  # of nothing, counts are whole
         inside = doc[1:] == doc[:-1]
         x, y = word[:-1][inside], word[1:][inside]
         pairs = self.scores[pair_buckets(self.crc[x], self.crc[y], self.settings)] + np.where(x == y, self.same, self.other)
-        z += np.bincount(doc[1:][inside], pairs, len(rows)) / 2
+        z = z + np.bincount(doc[1:][inside], pairs, len(rows)) / 2
         return 1 / (1 + np.exp(-np.clip(self.bias + z / (n + EVEN) / 2, -40, 40)))
 
 
