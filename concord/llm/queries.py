@@ -67,6 +67,24 @@ def op10_repeated_strings(spark, sf_dir):
     return removed(table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_periodic_runs(spark, sf_dir):
+    from concord.llm.periodic import periodic_runs, planted_words
+
+    return periodic_runs(table(spark, sf_dir, "documents"), words_of=planted_words)
+
+
+def op12_resampling(spark, sf_dir):
+    from concord.llm.resampling import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark, sf_dir):
+    from concord.llm.languages import predicted_languages
+
+    return predicted_languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_order_minhash": op2_order_minhash,
@@ -78,6 +96,9 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_repeated_strings": op10_repeated_strings,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_resampling": op12_resampling,
+    "op13_language_id": op13_language_id,
 }
 
 #: DuckDB SQL for those that SQL can express.
@@ -153,3 +174,34 @@ ORACLES["op10_repeated_strings"] = """
            sha256(unhex(coalesce(rest, h))) AS kept_sha256
     FROM t LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
 """
+
+ORACLES["op12_resampling"] = r"""
+    WITH d AS (
+        SELECT 0 AS side, doc_id AS id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents
+        UNION ALL SELECT 1, item_id, row_number() OVER (), coalesce(text, '') FROM benchmark
+    ), w AS (
+        SELECT side, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM d
+    ), n AS (
+        SELECT side, r, word, count(*) AS n FROM w GROUP BY side, r, word
+    ), v AS (
+        SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM n)
+    ), f AS (
+        SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS BIGINT))),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 10000 AS bucket FROM v
+    ), b AS (
+        SELECT side, r, bucket, sum(n) AS n FROM n JOIN f USING (word) GROUP BY side, r, bucket
+    ), c AS (
+        SELECT bucket, CAST(sum(n) FILTER (WHERE side = 0) AS BIGINT) AS s, CAST(coalesce(sum(n) FILTER (WHERE side = 1), 0) AS BIGINT) AS t FROM b GROUP BY bucket
+    ), g AS (
+        SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM c) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM c) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM (SELECT bucket, coalesce(s, 0) AS s, t FROM c)
+    ), x AS (
+        SELECT r, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS weight FROM b JOIN g USING (bucket) WHERE side = 0 GROUP BY r
+    ), z AS (
+        SELECT id AS doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, sha256('2024:' || coalesce(CAST(id AS VARCHAR), '')) AS h FROM d LEFT JOIN x USING (r) WHERE side = 0
+    ), q AS (
+        SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(h, 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM z
+    ), k AS (
+        SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM q
+    )
+    SELECT doc_id, n_features, weight, score, CAST(CASE WHEN n_features >= 20 AND rank <= able * 10 // 100 THEN rank END AS BIGINT) AS rank FROM k
+"""
