@@ -7,10 +7,10 @@ stretches. Bytes that are no piece of their own are pieces by byte fallback, so
 The probabilities are learned by expectation maximisation: forward and backward passes give the expected counts of pieces in each
 language's training words; tasks sum them, and the driver sees one row for each language and piece. The training
 texts are those of the ``sample`` rows of each language with the smallest hashes, a bounded sample; scores are for whole texts of all documents.
-Texts are read in lower case, so that capitals, which training texts may not have, say nothing.
+Words are letters in lower case: capitals, which training texts may not have, digits and other signs say nothing.
 
-Passes run over many stretches at a time, in numpy. A word without spaces of over ``stretch`` bytes is cut there (between characters), so
-segmentations over the cuts are not summed; that bounds the memory and the exponents of texts without spaces.
+Passes run over many stretches at a time, in numpy. A word of over ``stretch`` bytes is cut there (between characters), so
+segmentations over the cuts are not summed; that bounds the exponents and the memory.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from concord.session import for_long_texts, stored
 
@@ -43,7 +44,7 @@ class Settings:
 
 
 class Pieces:
-    """The pieces of a vocabulary by their bytes."""
+    """The pieces of a vocabulary by their bytes, and a tree of their beginnings in arrays."""
 
     _loaded: dict[str, Pieces] = {}
 
@@ -57,7 +58,19 @@ class Pieces:
         for i in range(self.size):
             if model.is_byte(i):
                 self.ids.setdefault(bytes([int(model.id_to_piece(i)[1:-1], 16)]), i)
-        self.longest = max(map(len, self.ids))
+        nodes: dict[bytes, int] = {b"": 0}
+        for piece in self.ids:
+            for k in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:k], len(nodes))
+        inner = {n[:-1] for n in nodes if n}
+        self.row = np.full(len(nodes), -1, np.int32)  # of the table of next nodes; -1 where no piece goes on
+        self.row[[nodes[n] for n in inner]] = np.arange(len(inner))
+        self.next = np.zeros((len(inner), 256), np.int32)  # 0: no piece goes on so
+        for n, i in nodes.items():
+            if n:
+                self.next[self.row[nodes[n[:-1]]], n[-1]] = i
+        self.piece = np.full(len(nodes), -1, np.int32)
+        self.piece[[nodes[n] for n in self.ids]] = list(self.ids.values())
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -66,10 +79,18 @@ class Pieces:
         return cls._loaded[path]
 
 
-def stretches(text: str, most: int) -> list[bytes]:
-    """Words of a text in lower case, each with the vocabulary's sign for the space before it, in stretches of up to ``most`` bytes."""
+#: Words are letters with their marks; digits and other signs say nothing of a language.
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+
+
+def text_words(text: str) -> list[str]:
+    return LETTERS.findall(text.lower())
+
+
+def stretches(words: list[str], most: int) -> list[bytes]:
+    """Words, each with the vocabulary's sign for the space before it, in stretches of up to ``most`` bytes."""
     out = []
-    for word in text.lower().split():
+    for word in words:
         data = f"▁{word}".encode()
         while len(data) > most:
             cut = most
@@ -85,18 +106,26 @@ class Arcs:
     """All pieces inside some stretches: stretch, from, to and piece, in order of ``to``."""
 
     def __init__(self, words: list[bytes], pieces: Pieces):
-        ids, longest, found = pieces.ids, pieces.longest, []
         self.sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for n, w in enumerate(words):
-            m = len(w)
-            for i in range(m):
-                for j in range(i + 1, min(m, i + longest) + 1):
-                    piece = ids.get(w[i:j])
-                    if piece is not None:
-                        found.append((j, n, i, piece))
-        a = np.array(found, np.int64).reshape(-1, 4)
-        a = a[np.argsort(a[:, 0], kind="stable")]
-        self.to, self.word, self.start, self.piece = a.T
+        flat, stops = np.frombuffer(b"".join(words), np.uint8), np.cumsum(self.sizes)
+        owner = np.repeat(np.arange(len(words)), self.sizes)
+        begin, at, node, found = stops - self.sizes, np.arange(len(flat)), np.zeros(len(flat), np.int32), []
+        here, stop = at, stops[owner]
+        while len(at):  # all beginnings at once, a byte a round
+            node = pieces.next[pieces.row[node], flat[here]]
+            live = node > 0
+            at, node, here = at[live], node[live], here[live] + 1
+            piece = pieces.piece[node]
+            hit = piece >= 0
+            found.append((at[hit], here[hit], piece[hit]))
+            on = (here < stop[at]) & (pieces.row[node] >= 0)
+            at, node, here = at[on], node[on], here[on]
+        at, here, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        word = owner[at]
+        to = here - begin[word]
+        order = np.argsort(to.astype(np.int16), kind="stable")
+        self.word, self.piece, self.to = word[order], piece[order], to[order]
+        self.start = (at - begin[word])[order]
         self.most = int(self.sizes.max(initial=0))
         self.cuts = np.searchsorted(self.to, np.arange(self.most + 2))
 
@@ -113,7 +142,7 @@ class Arcs:
 
     def lifted(self, table: np.ndarray) -> np.ndarray:
         """Probabilities of the arcs from ``[piece, language]``."""
-        return table[self.piece] * (LIFT ** (self.to - self.start))[:, None]
+        return table[self.piece] * (LIFT ** np.arange(self.most + 1))[self.to - self.start][:, None]
 
 
 def log_probabilities(words: list[bytes], table: np.ndarray, pieces: Pieces) -> np.ndarray:
@@ -149,19 +178,19 @@ def training_words(docs: DataFrame, s: Settings) -> DataFrame:
     A language's sample is its ``sample`` rows with the smallest hashes of id and text; of equal rows one is in it.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    own = own.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    own = own.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"))
     # hashes are even, so of ``n`` rows those below a share of ``4 * sample / n`` hold the smallest ``sample``; they are few
     share = own.groupBy("lang").agg((4.0 * s.sample / F.approx_count_distinct("h")).alias("share"))
-    few = own.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("h", 1) <= F.col("share") * 2.0**63)  # a row for each language
-    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = few.withColumn("k", rank).where(F.col("k") <= s.sample).select("lang", "text")
+    few = own.join(F.broadcast(share), "lang").where(F.col("h") <= F.col("share") * 2.0**63)  # a row for each language
+    few = stored(few.groupBy("lang", "h").agg(F.min("text").alias("text")), "few")
+    last = few.groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("h")).select("lang", F.expr(f"get(h, least({s.sample}, size(h)) - 1)").alias("last"))
+    chosen = few.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n.update((lang, w) for w in stretches(text, s.stretch))
+                n.update((lang, w) for w in stretches(text_words(text), s.stretch))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.binary()), pa.array(list(n.values()), pa.int64())], ["lang", "word", "n"])
 
     return chosen.mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -217,8 +246,8 @@ class Scorer:
         """Values of the words that got a number since the last call."""
         new = list(islice(reversed(self.known), len(self.known) - len(self.value)))[::-1]
         values = [self.value]
-        for i in range(0, len(new), 2000):
-            parts = [stretches(w, self.settings.stretch) for w in new[i : i + 2000]]
+        for i in range(0, len(new), 10_000):
+            parts = [stretches([w], self.settings.stretch) for w in new[i : i + 10_000]]
             logs = log_probabilities([x for p in parts for x in p], self.table, self.pieces)
             at = np.cumsum([0, *map(len, parts)])
             sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
@@ -228,7 +257,7 @@ class Scorer:
     def batch(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self._forget()
-        rows = [np.fromiter(map(self.known.__getitem__, w), np.int64, len(w)) for w in (t.lower().split() for t in texts)]
+        rows = [np.fromiter(map(self.known.__getitem__, w), np.int64, len(w)) for w in map(text_words, texts)]
         self._learn()
         return np.array([self.value[r].sum(axis=0) for r in rows]).reshape(len(texts), self.table.shape[1])
 

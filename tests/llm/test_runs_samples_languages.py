@@ -195,9 +195,9 @@ def test_expected_counts_cover_the_text():
 
 
 def test_stretches():
-    text = "ab " + "é" * 100 + " 日本語" * 3
-    parts = languages.stretches(text, 32)
-    assert b"".join(parts).decode() == "▁ab▁" + "é" * 100 + "▁日本語" * 3 and max(map(len, parts)) <= 32
+    text = "Ab! " + "É" * 100 + " 日本語" * 3 + " l'e\u0301t3_x ... 12"
+    parts = languages.stretches(languages.text_words(text), 32)
+    assert b"".join(parts).decode() == "▁ab▁" + "é" * 100 + "▁日本語" * 3 + "▁l▁e\u0301t▁x" and max(map(len, parts)) <= 32
     assert all(p.decode() for p in parts)
 
 
