@@ -5,7 +5,7 @@ An operation has ``op`` (``add_track``, ``remove_track``, ``create_list``, ``upd
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from concord.functions.ids import members_digest, op_key, parse_op_key
 from concord.functions.similarity import Policy
@@ -139,17 +139,11 @@ def dry_run_report(ops: DataFrame) -> DataFrame:
 
 def list_order(ops: DataFrame) -> DataFrame:
     """``entity_id, place, lists``: lists of the operations in the order in which they first appear (by ``ord``), as ``place`` of ``lists``."""
+    from concord.operators.ordering import numbered
+
     first = ops.where("members is not null").groupBy("entity_id").agg(F.min("ord").alias("first"))
-    lists = first.agg(F.count("*").alias("lists"))
-    placed = first.repartitionByRange("first").sortWithinPartitions("first").withColumn("part", F.spark_partition_id())
-    inside = F.row_number().over(W.partitionBy("part").orderBy("first"))
-    from concord.session import stored
-
-    placed = stored(placed.withColumn("k", inside), "places")
-    before = placed.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
-    before = before.withColumn("base", F.sum("n").over(W.orderBy("part")) - F.col("n")).drop("n")
-    total = lists.first()["lists"]
-    return placed.join(before, "part").select("entity_id", (F.col("base") + F.col("k")).alias("place"), F.lit(total).cast("long").alias("lists"))
+    placed, lists = numbered(first, "first", "entity_id")
+    return placed.select("entity_id", (F.col("n") + 1).alias("place"), F.lit(lists).cast("long").alias("lists"))
 
 
 def run_state(ops: DataFrame, log: DataFrame, run_id: str, cancelled: bool = False) -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql.types import StringType
 RETRIED = frozenset({408, 429, 500, 502, 503, 504})
 
 
+class Cancelled(Exception):
+    """The run was told to stop; what raised it has not been applied."""
+
+
 @F.pandas_udf(StringType())
 def six_digits(values: pd.Series) -> pd.Series:
     """Numbers as C's ``%.6g`` writes them."""
@@ -77,17 +81,21 @@ class TokenBucket:
         return (n - self.tokens) / self.rate
 
 
-def send(ops: DataFrame, effect: Callable[[dict], None], rate: float = 2.0, parallel: int = 5, attempts: int = 3, retryable: Callable[[Exception], bool] = lambda e: getattr(e, "status", None) in RETRIED) -> DataFrame:
+def send(ops: DataFrame, effect: Callable[[dict], None], rate: float = 2.0, parallel: int = 5, attempts: int = 3, retryable: Callable[[Exception], bool] = lambda e: getattr(e, "status", None) in RETRIED, order: str | None = None, pause: float = 0.1) -> DataFrame:
     """Apply operations by an external effect; ``op_key, status, error`` of each. All partitions together keep to ``rate`` a second.
 
+    With ``order`` they go one after the other in the order of that column. An effect that raises ``Cancelled`` was not applied: it and what its
+    task still had to do get no row but one with the status ``cancelled``.
     Effects replace whole states, so one that a re-run task repeats changes nothing. Store the result once and keep it as the checkpoint log.
     """
+    parallel = 1 if order else parallel
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket = TokenBucket(rate / parallel)  # the service sees ``rate`` in all
+        stopped = False
         for pdf in batches:
             out = []
-            for op in pdf.to_dict("records"):
+            for op in pdf.to_dict("records") if not stopped else []:
                 status, error = "failed", None
                 for i in range(attempts):
                     while wait := bucket.wait_time():
@@ -96,12 +104,18 @@ def send(ops: DataFrame, effect: Callable[[dict], None], rate: float = 2.0, para
                         effect(op)
                         status, error = "done", None
                         break
+                    except Cancelled:
+                        status, error, stopped = "cancelled", None, True
+                        break
                     except Exception as e:  # noqa: BLE001  the outcome is recorded, whatever it is
                         error = str(e)
                         if not retryable(e) or i == attempts - 1:
                             break
-                        time.sleep(retry_delay(backoff(i, 0.1), getattr(e, "retry_after", None)))
+                        time.sleep(retry_delay(backoff(i, pause), getattr(e, "retry_after", None)))
                 out.append((op["op_key"], status, error))
+                if stopped:
+                    break
             yield pd.DataFrame(out, columns=["op_key", "status", "error"])
 
-    return ops.repartition(parallel).mapInPandas(run, "op_key string, status string, error string")
+    dealt = ops.repartition(1).sortWithinPartitions(order) if order else ops.repartition(parallel)
+    return dealt.mapInPandas(run, "op_key string, status string, error string")
