@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from concord.session import table
 
@@ -78,3 +81,56 @@ def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_shipdate").alias("t"), F.max("l_returnflag").alias("f"), F.max("l_linenumber").alias("n"))
     key = F.concat(F.lit("update_members:l:"), F.col("l_partkey").cast("string"), F.lit(":d"))
     return li.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 50).cast("string")).alias("run_id"), F.when(F.col("n") > 1, key).otherwise(F.concat(F.lit("add_track:"), F.col("l_partkey").cast("string"))).alias("op_key"), F.when(F.col("f") == "R", "failed").otherwise("done").alias("status"), F.when(F.col("n") > 2, F.concat(F.lit('["m'), F.col("n").cast("string"), F.lit('","z"]'))).alias("previous_track_ids"), F.lit(None).cast("string").alias("error"), F.col("t").cast("timestamp").alias("updated_at"), (F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("ord"))
+
+
+# ---- recorded answers of services, made from the test tables
+
+PER_PAGE = 100
+
+
+def recorded_tracks(spark: SparkSession, sf_dir: str, service: str) -> tuple[str, int]:
+    """Parts as recorded pages of a library: the folder, and how many entries there are. Some entries are null, local or without id."""
+    from concord.session import shared_dir
+    from concord.sources.requests import CHUNK
+
+    folder = f"{shared_dir(spark)}/recorded-{uuid.uuid4().hex}"
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    id_, code = F.concat(F.lit("x"), k.cast("string")), F.when(k % 3 == 0, F.concat(F.lit("us"), k.cast("string")))
+    if service == "a":
+        artists = F.array(F.struct(F.col("p_brand").alias("name")))
+        track = F.struct(
+            F.when(k % 17 > 0, id_).alias("id"), F.col("p_name").alias("name"), artists.alias("artists"), F.struct(F.col("p_type").alias("name")).alias("album"), (F.col("p_size").cast("long") * 1000 + 499).alias("duration_ms"),
+            (k % 2 == 0).alias("explicit"), F.when(code.isNotNull(), F.create_map(F.lit("isrc"), code)).alias("external_ids"), (k % 13 == 0).alias("is_local"),
+        )
+        item, items = F.struct(F.when(k % 11 > 0, track).alias("track")), "items"
+    else:
+        about = F.struct(
+            F.col("p_name").alias("name"), F.col("p_brand").alias("artistName"), F.col("p_type").alias("albumName"), (F.col("p_size").cast("long") * 1000 + 500).alias("durationInMillis"),
+            F.when(k % 3 == 0, "explicit").when(k % 3 == 1, "clean").alias("contentRating"), code.alias("isrc"), F.when(k % 5 == 0, F.struct(F.concat(F.lit("c"), k.cast("string")).alias("catalogId"))).alias("playParams"),
+        )
+        item, items = F.struct(F.when(k % 17 > 0, id_).alias("id"), about.alias("attributes")), "data"
+    total = p.agg(F.max("p_partkey")).first()[0] or 0
+    page = F.floor((k - 1) / PER_PAGE).cast("long")
+    rows = p.select(page.alias("page"), k.alias("k"), item.alias("item")).groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.to_json("item").alias("j")))), lambda x: x["j"]).alias("j"))
+    link = F.concat(F.lit(f"recorded://service/t?folder={quote(folder)}&limit={PER_PAGE}&offset=") if service == "a" else F.lit(f"/t?folder={quote(folder)}&limit={PER_PAGE}&offset="), ((F.col("page") + 1) * PER_PAGE).cast("string"))
+    after = F.when((F.col("page") + 1) * PER_PAGE < total, F.concat(F.lit('"'), link, F.lit('"'))).otherwise("null")
+    value = F.concat(F.lit(f'{{"{items}":['), F.concat_ws(",", "j"), F.lit('],"next":'), after, F.lit("}"))
+    lines = rows.select(F.floor(F.col("page") / CHUNK).cast("int").alias("chunk"), "page", value.alias("value"))
+    lines.repartition("chunk").sortWithinPartitions("chunk", "page").select("chunk", "value").write.partitionBy("chunk").text(folder)
+    return folder, total
+
+
+def recorded_catalogue(spark: SparkSession, sf_dir: str, chunks: int = 16) -> str:
+    """Searches of service b for the texts ``brand name`` of parts, recorded: up to five parts each, by key. The folder."""
+    from concord.session import shared_dir
+
+    folder = f"{shared_dir(spark)}/recorded-{uuid.uuid4().hex}"
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    about = F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("artistName"), F.when(k % 2 == 0, "explicit").alias("contentRating"))
+    one = p.select(F.concat_ws(" ", "p_name", "p_brand").alias("q"), k.alias("k"), F.to_json(F.struct(F.concat(F.lit("c"), k.cast("string")).alias("id"), about.alias("attributes"))).alias("j"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy("k"))
+    five = one.withColumn("n", rank).where("n <= 5").groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]).alias("j"))
+    value = F.concat(F.col("q"), F.lit("\t"), F.lit('{"results":{"songs":{"data":['), F.concat_ws(",", "j"), F.lit("]}}}"))
+    lines = five.select((F.crc32(F.col("q").cast("binary")) % chunks).cast("int").alias("chunk"), value.alias("value"))
+    lines.repartition("chunk").write.partitionBy("chunk").text(folder)
+    return folder

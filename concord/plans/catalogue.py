@@ -539,3 +539,115 @@ def _(spark, d):
     records = A.parts(spark, d)
     ops = records.where("ord % 3 = 0 AND ord % 2 = 1").select(F.lit("add_track").alias("op"), F.lit("b").alias("service"), F.col("id").alias("entity_id"))
     return syncing.applied_tracks(records, ops).select("id", "availability")
+
+
+# ---- services (recorded answers), decisions by hand, runs
+
+
+@query("paged_tracks_a", """SELECT 'x' || p_partkey AS id, p_name AS name, p_brand AS artist, p_type AS album, CAST(p_size AS BIGINT) * 1000 + 499 AS duration_ms, p_partkey % 2 = 0 AS explicit, CASE WHEN p_partkey % 3 = 0 THEN 'us' || p_partkey END AS code
+    FROM part WHERE p_partkey % 17 > 0 AND p_partkey % 13 > 0 AND p_partkey % 11 > 0""")
+def _(spark, d):
+    from concord.sources import paged
+
+    folder, total = A.recorded_tracks(spark, d, "a")
+    raw = paged.read_service(spark, [f"recorded://service/t?folder={A.quote(folder)}"], transport="concord.sources.requests:recorded_page", total=total, limit=A.PER_PAGE, rate=1e6)
+    found = paged.P.tracks_a(paged.P.parsed(paged.landed(raw), paged.S.PAGE_A))
+    return found.withColumn("artist", F.get("artists", F.lit(0))).drop("artists")
+
+
+@query("paged_tracks_b", """SELECT CASE WHEN p_partkey % 5 = 0 THEN 'c' ELSE 'x' END || p_partkey AS id, p_name AS name, p_brand AS artist, p_type AS album, CAST(p_size AS BIGINT) * 1000 + 500 AS duration_ms, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_partkey % 3 = 0 AS INTEGER) ELSE -1 END AS explicit, CASE WHEN p_partkey % 3 = 0 THEN 'us' || p_partkey END AS code
+    FROM part WHERE p_partkey % 17 > 0""")
+def _(spark, d):
+    from concord.sources import paged
+
+    folder, _ = A.recorded_tracks(spark, d, "b")
+    raw = paged.read_service(spark, [f"/t?folder={A.quote(folder)}&limit={A.PER_PAGE}"], base="recorded://service", transport="concord.sources.requests:recorded_page", rate=1e6)
+    found = paged.P.tracks_b(paged.P.parsed(paged.landed(raw), paged.S.PAGE_B))
+    return found.withColumn("explicit", F.coalesce(F.col("explicit").cast("int"), F.lit(-1)))
+
+
+@query("catalogue_search", """SELECT p_name || ' ' || p_brand AS q, 'c' || p_partkey AS id, p_name AS name, p_brand AS artist, p_partkey % 2 = 0 AS explicit
+    FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 5""")
+def _(spark, d):
+    from concord.session import shared_dir
+    from concord.sources import search
+
+    folder = A.recorded_catalogue(spark, d)
+    cache = search.search_cache(spark, f"{shared_dir(spark)}/answers-{A.uuid.uuid4().hex}")
+    q = table(spark, d, "part").select(text.search_text(F.concat("p_name", F.lit(" (Live)")), F.col("p_brand")).alias("q"))
+    more = {"base": "recorded://service", "transport": "concord.sources.requests:recorded_search", "rate": 1e6, "folder": folder, "chunks": 16}
+    halves = [q.where(F.crc32(F.col("q").cast("binary")) % 2 == 0), q]  # the second time, half of the answers are known
+    found = [search.looked_up(x, "b", cache, **more) for x in halves]
+    return found[-1].select("q", "id", "name", "artist", "explicit")
+
+
+@query("skipped_and_reset", """SELECT 'p' || p_partkey AS track_id, 'b' AS target_service, CASE WHEN p_partkey % 3 = 0 THEN 'reject' ELSE 'skip' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'p' || (p_partkey + 1) ELSE '' END AS candidate_id FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 5 > 0""")
+def _(spark, d):
+    from concord.operators import resolution
+
+    name = lambda c: F.concat(F.lit("p"), F.expr(c).cast("string"))
+    own = table(spark, d, "part").where("p_partkey % 2 = 1").select("p_partkey", name("p_partkey").alias("track_id"), F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("source_track_id"))
+    m, e = A.overrides(spark, d)
+    e = resolution.skip(e.limit(0), own.where("p_partkey % 3 > 0"), "b")
+    e = resolution.reject(e, own.where("p_partkey % 3 = 0").withColumn("candidate_id", name("p_partkey + 1")), "b")
+    return resolution.reset(m, e, own.where("p_partkey % 5 = 0"), "a", "b")[1]
+
+
+@query("library_filter", "SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey % 3 = 2 AND contains(lower(p_name), 'red')")
+def _(spark, d):
+    from concord.operators import resolution
+
+    rows = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("artist"), (F.col("p_partkey") % 3 + 1).cast("int").alias("availability"))
+    return resolution.free_text(resolution.library_filter(rows, "both"), "RED").select("id")
+
+
+def _library(spark, d, remote=None):
+    """A library whose records are parts and whose lists are conversations, and a runner on it."""
+    from concord.operators import running
+    from concord.session import shared_dir
+
+    store = running.library(spark, f"{shared_dir(spark)}/library-{A.uuid.uuid4().hex}")
+    lists, _ = A.conversation_lists(spark, d)
+    store.commit("start", {"records": A.parts(spark, d, codes=True), "lists": lists.withColumn("name", F.col("id"))})
+    return store, running.Runner(store, remote or running.LocalLibrary())
+
+
+_RUN_OPS = f"""{_WITH_CODES.replace(O.pairs(100, 'rest'), O.pairs(500, 'rest'))}, {_LISTS.replace('l AS', 'll AS')},
+    every AS (SELECT 'add_track:b-' || source_id AS op_key FROM decided WHERE decision = 'no_match'
+        UNION ALL SELECT CASE WHEN conv_id % 3 = 0 THEN 'create_list:b-c' || conv_id ELSE 'update_members:b-c' || conv_id || ':' || {O.digest('ids')} END FROM ll)"""
+
+
+@query("run_performed", f"WITH {_RUN_OPS} SELECT op_key, 'done' AS status FROM every")
+def _(spark, d):
+    store, runner = _library(spark, d)
+    runner.perform("a>b")
+    return store.read("checkpoints").select("op_key", "status")
+
+
+def _refused(op):
+    """An effect that does not take one list in four."""
+    from concord.sources.requests import ServiceError
+
+    if op["members"] is not None and int(op["entity_id"][1:]) % 4 == 0:
+        raise ServiceError(400)
+
+
+@query("run_resumed", f"""WITH {_RUN_OPS.replace("SELECT CASE WHEN conv_id", "SELECT CASE WHEN conv_id % 4 = 0 THEN '4:' ELSE '' END || CASE WHEN conv_id")}
+    SELECT CAST(count(*) AS BIGINT) AS operations, CAST(count(*) FILTER (WHERE op_key LIKE 'add_track%' OR op_key LIKE '4:%') AS BIGINT) AS succeeded, CAST(0 AS BIGINT) AS failed, 'completed' AS status, CAST(count(*) AS BIGINT) AS rows FROM every""")
+def _(spark, d):
+    from concord.operators import running
+
+    store, runner = _library(spark, d, running.Effects(_refused, rate=1e6, parallel=8, batch=1_000_000))
+    run = runner.perform("a>b").run_id
+    running.Runner(store, running.LocalLibrary()).resume(run)  # lists that were taken are no longer different; tracks are skipped by their rows
+    done = store.read("checkpoints").where("status = 'done'").groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("rows"))
+    return store.read("runs").join(done, "id").select(F.col("operations_count").alias("operations"), F.col("success_count").alias("succeeded"), F.col("failure_count").alias("failed"), "status", "rows")
+
+
+@query("run_rolled_back", """SELECT 'c' || conv_id AS id, string_agg(md5(coalesce(text, '')), ',' ORDER BY turn, md5(coalesce(text, ''))) AS members FROM conversations GROUP BY conv_id""")
+def _(spark, d):
+    store, runner = _library(spark, d)
+    lists = store.read("lists").where("b_id is not null")
+    ops = lists.select(F.lit("update_members").alias("op"), F.lit("b").alias("service"), F.col("id").alias("entity_id"), F.reverse("track_ids").alias("members")).withColumn("op_key", ids.op_key(F.col("op"), F.concat_ws("-", "service", "entity_id"), ids.members_digest(F.col("members"))))
+    runner.rollback(runner.execute(ops, "a>b").run_id)
+    return store.read("lists").select("id", F.concat_ws(",", "track_ids").alias("members"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from concord import schema as S
+from concord.session import stored
 from concord.sources import pages as P
 from concord.sources.requests import follow, named
 from concord.sources.sinks import TokenBucket
@@ -79,7 +80,7 @@ class _Follower:
         self.transport = named(o.get("transport", HTTP))
         self.headers = named(o["headers"]) if o.get("headers") else dict
         self.base = o.get("base")
-        self.retries = {"attempts": int(o.get("attempts", 5)), "base": float(o.get("delay", 1.0)), "bucket": TokenBucket(float(o.get("rate", 10.0)) / readers)}
+        self.retries = {"attempts": int(o.get("attempts", 5)), "delay": float(o.get("delay", 1.0)), "bucket": TokenBucket(float(o.get("rate", 10.0)) / readers)}
 
     def pages(self, first: str, most: int | None = None) -> Iterator[tuple[int, str, str]]:
         return follow(first, self.transport, self.headers, self.base, most, **self.retries)
@@ -115,9 +116,14 @@ def total_of(first: str, **options) -> int | None:
     return found.get("total", (found.get("meta") or {}).get("total"))
 
 
+def landed(raw: DataFrame) -> DataFrame:
+    """Pages, stored: what reads them afterwards asks nobody again."""
+    return stored(raw, "pages")
+
+
 def library_tracks(spark: SparkSession, service: str, base: str, **options) -> DataFrame:
     """A library's tracks, as the service has them; a track that is null, local or without id is left out."""
-    raw = read_service(spark, [TRACKS[service]], base=base, **options)
+    raw = landed(read_service(spark, [TRACKS[service]], base=base, **options))
     return P.tracks_a(P.parsed(raw, S.PAGE_A)) if service == "a" else P.tracks_b(P.parsed(raw, S.PAGE_B))
 
 
@@ -126,10 +132,10 @@ def library_lists(spark: SparkSession, service: str, base: str, parallel: int =
 
     The lists' pages are read first, then those of all members, many lists at a time.
     """
-    raw = read_service(spark, [LISTS[service]], base=base, parallel=parallel, **options)
+    raw = landed(read_service(spark, [LISTS[service]], base=base, parallel=parallel, **options))
     heads = P.lists_a(P.parsed(raw, S.LIST_PAGE_A)) if service == "a" else P.lists_b(P.parsed(raw, S.LIST_PAGE_B))
     before, after = MEMBERS[service]
     heads = heads.withColumn("request", F.concat(F.lit(before), "id", F.lit(after)))
-    members = P.list_members(fetched(heads, parallel=parallel, base=base, **options), service)
+    members = P.list_members(landed(fetched(heads, parallel=parallel, base=base, **options)), service)
     none = F.array().cast(f"array<{P.track_type(service)}>")
     return heads.join(members, "request", "left").drop("request").withColumn("tracks", F.coalesce("tracks", none))

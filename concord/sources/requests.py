@@ -71,7 +71,7 @@ def http(url: str, headers: dict) -> tuple[int, dict, bytes]:
         return e.code, dict(e.headers), e.read()
 
 
-def attempted(call: Callable[[], object], attempts: int = 5, base: float = 1.0, bucket: TokenBucket | None = None, again: Callable[[Exception], bool] = retryable):
+def attempted(call: Callable[[], object], attempts: int = 5, delay: float = 1.0, bucket: TokenBucket | None = None, again: Callable[[Exception], bool] = retryable):
     """What ``call`` gives, tried up to ``attempts`` times with growing pauses or those that the server asks for."""
     for i in range(attempts):
         while bucket and (wait := bucket.wait_time()):
@@ -81,7 +81,7 @@ def attempted(call: Callable[[], object], attempts: int = 5, base: float = 1.0,
         except Exception as e:
             if i == attempts - 1 or not again(e):
                 raise
-            time.sleep(retry_delay(backoff(i, base), getattr(e, "retry_after", None)))
+            time.sleep(retry_delay(backoff(i, delay), getattr(e, "retry_after", None)))
     raise ValueError("attempts must be positive")
 
 
