@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from concord.functions import grams
 from concord.functions.similarity import Policy, parts_sql, score_sql, similarity_sql
 from concord.functions.text import album_key, artist_key, title_key
 from concord.session import stored
@@ -52,24 +53,58 @@ def code_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     return _side(source, "s").join(best, F.col("s_code_key") == F.col("t_code_key"))
 
 
+def artist_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> DataFrame:
+    """``s_artist_key, t_artist_key, artist_sim, better``: artists that share a rare word, compared once each.
+
+    ``better`` is how many target records the artists have that are listed before this one, most similar first.
+    """
+    sizes = target.groupBy(F.col("artist_key").alias("t_artist_key")).agg(F.count("*").alias("n"))
+    found = sizes.select("*", F.explode(F.array_distinct(F.split("t_artist_key", " "))).alias("word")).where("word <> ''")
+    df = found.groupBy("word").agg(F.sum("n").alias("df"))
+    asked = source.select(F.col("artist_key").alias("s_artist_key")).distinct()
+    asked = asked.select("*", F.explode(F.array_distinct(F.split("s_artist_key", " "))).alias("word")).where("word <> ''")
+    rarest = F.row_number().over(W.partitionBy("s_artist_key").orderBy("df", "word"))
+    chosen = asked.join(df, "word").withColumn("rn", rarest).where((F.col("rn") == 1) | (F.col("df") <= p.common_word)).drop("rn", "df")
+    both = chosen.join(found, "word").groupBy("s_artist_key", "t_artist_key").agg(F.first("n").alias("n"))
+    both = both.selectExpr("*", f"{similarity_sql('s_artist_key', 't_artist_key')} AS artist_sim")
+    upto = F.sum("n").over(W.partitionBy("s_artist_key").orderBy(F.desc("artist_sim"), "t_artist_key").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return both.withColumn("better", upto - F.col("n")).drop("n")
+
+
 def key_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> DataFrame:
     """``s_title_key, s_artist_key, t_title_key, t_artist_key, title_sim, artist_sim, pre``: names that share a rare word.
 
     A name (title and artist key) is compared once, however many records have it. Of each source name's ranked target names only
     those are kept that its best ``candidates`` target records can come from.
+
+    That takes two steps, so that a word which very many names share does not mean that all of them are compared. A name is first compared with
+    those of its most similar artists that have four times ``candidates`` records between them, which gives a bar: the score of its last candidate
+    among them. Another artist's names have to reach it. Their titles need a similarity for that which depends on the artist; where it is high,
+    only titles are looked at that share one of the name's rarest pairs of letters (module ``grams``), else those of a length that can reach it.
     """
     keys = ["s_title_key", "s_artist_key"]
     names = target.groupBy(F.col("title_key").alias("t_title_key"), F.col("artist_key").alias("t_artist_key")).agg(F.count("*").alias("n"))
-    found = names.select("*", F.explode(F.array_distinct(F.split("t_artist_key", " "))).alias("word")).where("word <> ''")
-    df = found.groupBy("word").agg(F.sum("n").alias("df"))
+    names = stored(names, "names")
     asked = source.select(F.col("title_key").alias("s_title_key"), F.col("artist_key").alias("s_artist_key")).distinct()
-    asked = asked.select("*", F.explode(F.array_distinct(F.split("s_artist_key", " "))).alias("word")).where("word <> ''")
-    rarest = F.row_number().over(W.partitionBy(*keys).orderBy("df", "word"))
-    chosen = asked.join(df, "word").withColumn("rn", rarest).where((F.col("rn") == 1) | (F.col("df") <= p.common_word)).drop("rn", "df")
-    both = chosen.join(found, "word").groupBy(*keys, "t_title_key", "t_artist_key").agg(F.first("n").alias("n"))
-    both = both.selectExpr("*", f"{similarity_sql('s_title_key', 't_title_key')} AS title_sim", f"{similarity_sql('s_artist_key', 't_artist_key')} AS artist_sim")
-    both = both.selectExpr("*", "title_sim * 0.6D + artist_sim * 0.4D AS pre")
+    artists = stored(artist_pairs(source, target, p), "artists")
+    wide = 4 * p.candidates
+    near, far = artists.where(F.col("better") < wide).drop("better"), artists.where(F.col("better") >= wide).drop("better")
+    compared = f"{similarity_sql('s_title_key', 't_title_key')} AS title_sim"
+    pre = "title_sim * 0.6D + artist_sim * 0.4D AS pre"
+    first = asked.join(near, "s_artist_key").join(names, "t_artist_key").selectExpr(*keys, "t_title_key", "t_artist_key", "n", "artist_sim", compared)
+    first = stored(first, "near_names").selectExpr("*", pre)
     upto = F.sum("n").over(W.partitionBy(*keys).orderBy(F.desc("pre")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    bars = first.withColumn("upto", upto).where(F.col("upto") >= p.candidates).groupBy(*keys).agg(F.max("pre").alias("bar"))
+    some = asked.join(bars, keys).join(far, "s_artist_key").withColumn("least", (F.col("bar") - 1e-9 - F.col("artist_sim") * 0.4) / 0.6).where("least <= 1")
+    some = stored(some, "far_artists")
+    ratio = "least(length(s_title_key), length(t_title_key)) / greatest(length(s_title_key), length(t_title_key), 1)"
+    reach = F.expr(f"coalesce({ratio}, 0) >= least - 1e-9D OR s_title_key = t_title_key")
+    open_ = some.where(F.col("least") < grams.USEFUL).alias("x").join(names.alias("y"), (F.col("x.t_artist_key") == F.col("y.t_artist_key")) & reach)
+    rest = [*keys, "y.t_title_key", "y.t_artist_key", "y.n", "artist_sim", "bar"]
+    few = grams.met(some.where(F.col("least") >= grams.USEFUL), names).alias("x").join(names.alias("y"), ["t_artist_key", "t_title_key"]).where(reach)
+    second = open_.select(*rest).unionByName(few.select(*keys, "t_title_key", "t_artist_key", "n", "artist_sim", "bar"))
+    second = stored(second.selectExpr(*keys, "t_title_key", "t_artist_key", "n", "artist_sim", compared, "bar"), "far_names").selectExpr("*", pre).where("pre >= bar - 1e-9D").drop("bar")
+    both = first.unionByName(second)
     equal = F.sum("n").over(W.partitionBy(*keys, "pre"))
     return both.withColumn("better", upto - equal).where(F.col("better") < p.candidates).drop("better", "n")
 
