@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from concord.session import stored
+
 
 def run_metrics(outcomes: DataFrame, runs: DataFrame) -> DataFrame:
     """One row for each run or group of outcomes; outcomes without a run are ``(none)``."""
@@ -31,18 +33,39 @@ def confidence_histogram(outcomes: DataFrame, buckets: int = 10) -> DataFrame:
     return all_.select("run_id", "decision", "bucket", F.coalesce(F.try_element_at("m", "bucket"), F.lit(0)).alias("n")).orderBy("run_id", "decision", "bucket")
 
 
-def timer_statistics(samples: DataFrame, by: str = "name", value: str = "value") -> DataFrame:
-    """Count, mean, extremes and nearest-rank quantiles: the value at place ``int(n * q)`` from 0 in order.
+#: Places of the nearest-rank quantiles, from 0, among ``n`` values in order.
+RANKS = {"p50": "n div 2", "p95": "CAST(n * 0.95D AS BIGINT)", "p99": "CAST(n * 0.99D AS BIGINT)"}
+
 
-    Ranks come from one sort of each group, so a large group is spilled, not collected.
+def timer_statistics(samples: DataFrame, by: str = "name", value: str = "value", cells: int = 4096, few: int = 100_000) -> DataFrame:
+    """Count, mean, extremes and nearest-rank quantiles of each name: the value at place ``int(n * q)`` from 0 in order.
+
+    Null names, nulls and values that are no numbers are left out. Values are never sorted by name: they are counted in ``cells`` ranges between the
+    bounds of a name, the ranges that hold the wanted places are counted again more finely, and only when they have at most ``few`` values each are those
+    put in order. Counts are summed before they move, so a name that all rows have is worked on by all tasks.
     """
-    order = W.partitionBy(by).orderBy(value)
-    ranked = samples.select(by, value).withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(W.partitionBy(by)))
-    at = lambda q, name: F.max(F.when(F.col("k") == q, F.col(value))).alias(name)
-    return ranked.groupBy(by).agg(
-        F.max("n").alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
-        at(F.expr("n div 2"), "p50"), at((F.col("n") * 0.95).cast("long"), "p95"), at((F.col("n") * 0.99).cast("long"), "p99"),
-    )
+    rows = samples.select(F.col(by).alias("name"), F.col(value).cast("double").alias("v")).where("name IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
+    whole = stored(rows.groupBy("name").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")), "timers")
+    places = F.expr("stack(3, " + ", ".join(f"'{q}', {x}" for q, x in RANKS.items()) + ") AS (q, place)")
+    wanted = whole.select("name", "n", "min", "max").select("name", places, F.col("min").alias("low"), F.col("max").alias("high"), "n")
+    wanted, width = stored(wanted, "places"), F.col("high") - F.col("low")
+    ranges = ["name", "low", "high"]
+    inside = lambda: rows.join(wanted.where("low < high").select(*ranges).distinct(), "name").where("v >= low AND v <= high")
+    for _ in range(8):  # each round has ranges some thousands of times finer
+        if wanted.where((F.col("low") < F.col("high")) & (F.col("n") > few)).isEmpty():
+            break
+        cell = F.least(F.floor((F.col("v") - F.col("low")) / width * cells), F.lit(cells - 1))
+        n = inside().groupBy(*ranges, cell.alias("cell")).agg(F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b"))
+        before = F.sum("k").over(W.partitionBy(*ranges).orderBy("cell")) - F.col("k")  # over at most ``cells`` counts
+        finer = wanted.where("low < high").drop("n").join(n.withColumn("before", before), ranges).where("place >= before AND place < before + k")
+        finer = finer.select("name", "q", (F.col("place") - F.col("before")).alias("place"), F.col("a").alias("low"), F.col("b").alias("high"), F.col("k").alias("n"))
+        wanted = stored(finer.unionByName(wanted.where("low >= high")), "places")
+    each = inside().groupBy(*ranges, "v").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(W.partitionBy(*ranges).orderBy("v")) - F.col("k")
+    found = wanted.where("low < high").join(each.withColumn("before", before), ranges).where("place >= before AND place < before + k").select("name", "q", "v")
+    found = found.unionByName(wanted.where("low >= high").select("name", "q", F.col("low").alias("v")))
+    one = found.groupBy("name").agg(*(F.max(F.when(F.col("q") == q, F.col("v"))).alias(q) for q in RANKS))
+    return whole.join(one, "name").select(F.col("name").alias(by), F.col("n").alias("count"), "mean", "min", "max", *RANKS)
 
 
 def error_top(errors: DataFrame, n: int = 5) -> DataFrame:

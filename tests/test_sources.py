@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concord import schema as S
 from concord.operators import syncing
 from concord.sources import pages, sinks
-from concord.streaming.incremental import DigestState, synchronise
+from concord.streaming.incremental import synchronise
 
 
 def page(spark, value, schema):
@@ -76,13 +76,37 @@ def test_send_records_outcomes(spark):
     assert got == {"ok": ("done", None), "bad": ("failed", "no")}
 
 
+OPS = "op string, service string, entity_id string, members array<string>, op_key string, ord long"
+
+
 def test_stream_passes_changes_once(spark, tmp_path):
-    cols = "op string, service string, entity_id string, members array<string>, op_key string"
     seen = []
-    state = DigestState(spark, str(tmp_path / "state"))
-    run = lambda: synchronise(spark.readStream.schema(cols).json(str(tmp_path / "in")), state, lambda ops, n: seen.append(ops.count()), str(tmp_path / "cp")).awaitTermination()
-    for i, m in enumerate((["x"], ["x"], ["x", "y"])):
-        spark.createDataFrame([("update_members", "b", "l", m, f"k{i}")], cols).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        run()
-    assert seen == [1, 0, 1]
-    assert state.read().count() == 1
+    run = lambda apply: synchronise(spark.readStream.schema(OPS).json(str(tmp_path / "in")), apply, str(tmp_path / "cp"))
+    put = lambda *rows: spark.createDataFrame(list(rows), OPS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    keep = lambda ops, n: seen.append(sorted((r.op, r.entity_id, tuple(r.members or ()), r.op_key) for r in ops.collect()))
+
+    def step(*rows):
+        put(*rows)
+        q = run(keep)
+        q.awaitTermination()
+        return q
+
+    update = lambda e, m, key, ord_=0: ("update_members", "b", e, m, key, ord_)
+    step(update("l", ["x"], "k0"), *(update(f"o{i}", ["m"], f"o{i}") for i in range(40)), ("add_track", "b", "t", None, "t", 0))
+    step(update("l", ["x"], "k1"), ("add_track", "b", "t", None, "t", 0))
+    q = step(update("l", ["x", "y"], "k3", 2), update("l", ["z"], "k2", 1), ("create_list", "b", "l", ["x", "y", "z"], "create_list:b-l", 3), ("create_list", "b", "new", [], "create_list:b-new", 0))
+    assert len(seen[0]) == 42 and seen[1] == [("add_track", "t", (), "t")]
+    ops = [(op, e, m) for op, e, m, _ in seen[2]]
+    assert ops == [("create_list", "new", ()), ("update_members", "l", ("x", "y")), ("update_members", "l", ("x", "y", "z")), ("update_members", "l", ("z",))]
+    assert seen[2][2][3].startswith("update_members:b-l:") and seen[2][0][3] == "create_list:b-new"
+    state = q.lastProgress["stateOperators"][0]
+    assert (state["numRowsUpdated"], state["numRowsTotal"]) == (2, 42)  # two of 42 lists are touched
+
+    def fails(ops, n):
+        raise RuntimeError("the service is gone")
+
+    put(update("o1", ["q"], "o1q"))
+    with pytest.raises(Exception, match="gone"):
+        run(fails).awaitTermination()
+    run(keep).awaitTermination()  # the batch comes again, from the state before it
+    assert seen[3] == [("update_members", "o1", ("q",), "o1q")]
