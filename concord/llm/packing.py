@@ -249,18 +249,19 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
     rows each keep their own pieces; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = stored(pieces(docs, vocabulary, capacity, end_id), "pieces")
+    # a row's number is written with it, so that equal rows, which no hash tells apart, are dealt to many groups
+    parts = stored(pieces(docs, vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most ``capacity`` rows
     salts = max(8, sum(counts.values()) // 200_000)
     rows = plan(counts, capacity)  # a few rows for each length
     places = F.broadcast(spark.createDataFrame(rows, "length long, first long, n long, each long, seq long, off long"))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         .withColumn("base", F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n"))
         .select("length", "salt", "base")
     )
-    own = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    own = W.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("k", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("k") + F.col("base"))
     at = F.col("rank") - F.col("first")
     return ranked.join(places, "length").where((at >= 0) & (at < F.col("n"))).select(
