@@ -73,6 +73,11 @@ def duration_score(a: Column, b: Column, tolerance: int = 5) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(0.5)).when(d == 0, F.lit(1.0)).when(d <= tolerance, near).otherwise(F.lit(0.0))
 
 
+def duration_difference(a: Column, b: Column) -> Column:
+    """Seconds between two durations; null if one is not known."""
+    return F.abs(a - b)
+
+
 def within_tolerance(a: Column, b: Column, tolerance: int = 5, strict: bool = False) -> Column:
     return a.isNull() | b.isNull() | (F.abs(a - b) <= (tolerance // 2 if strict else tolerance))
 

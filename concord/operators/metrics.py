@@ -96,6 +96,25 @@ def evaluation(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
     return c.withColumns({"precision": over(F.col("tp"), F.col("tp") + F.col("fp")), "recall": over(F.col("tp"), F.col("tp") + F.col("fn")), "f1": over(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
+def evaluation_curve(pairs: DataFrame, category: str, score: str, truth: str, buckets: int = 100) -> DataFrame:
+    """``category, threshold, tp, fp, fn, precision, recall, f1`` at every threshold ``i / buckets``, for each category and, with a null category, for all.
+
+    A pair is predicted if its score reaches the threshold; pairs without a score never are. A null category is ``(none)``. Pairs are counted once, into
+    buckets of the score; categories are rolled up and thresholds added up over these counts. Undefined rates are null.
+    """
+    place = F.least(F.greatest(F.floor(F.col(score) * buckets), F.lit(0)), F.lit(buckets)).cast("long")
+    own = pairs.select(F.coalesce(F.col(category).cast("string"), F.lit("(none)")).alias("category"), F.when(F.col(score).isNotNull(), place).otherwise(-1).alias("bucket"), F.coalesce(F.col(truth).cast("boolean"), F.lit(False)).alias("truth"))
+    n = own.groupBy("category", "bucket").agg(F.count_if("truth").alias("yes"), F.count_if(~F.col("truth")).alias("no"))
+    n = n.withColumnRenamed("category", "kind").groupingSets([["bucket"], ["kind", "bucket"]], "kind", "bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    one = n.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("yes", "no")))).alias("m"), F.sum("yes").alias("all"))
+    every = one.select("kind", "all", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets).cast("long"))).alias("bucket"))
+    every = every.select("kind", "all", "bucket", F.coalesce(F.try_element_at("m", "bucket")["yes"], F.lit(0)).alias("yes"), F.coalesce(F.try_element_at("m", "bucket")["no"], F.lit(0)).alias("no"))
+    down = W.partitionBy("kind").orderBy(F.desc("bucket"))  # over one row a threshold
+    t = every.select(F.col("kind").alias("category"), (F.col("bucket") / buckets).alias("threshold"), F.sum("yes").over(down).alias("tp"), F.sum("no").over(down).alias("fp"), (F.col("all") - F.sum("yes").over(down)).alias("fn"))
+    over = lambda a, b: F.when(b > 0, a / b)
+    return t.withColumns({"precision": over(F.col("tp"), F.col("tp") + F.col("fp")), "recall": over(F.col("tp"), F.col("tp") + F.col("fn")), "f1": over(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
+
+
 def library_stats(records: DataFrame) -> DataFrame:
     """Counts by service as a summary shows them: ``both`` is the lesser of the two, an upper bound."""
     return library_summary(records).select("total", "on_a", "on_b", F.least("on_a", "on_b").alias("both"))

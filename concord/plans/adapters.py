@@ -83,6 +83,16 @@ def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 50).cast("string")).alias("run_id"), F.when(F.col("n") > 1, key).otherwise(F.concat(F.lit("add_track:"), F.col("l_partkey").cast("string"))).alias("op_key"), F.when(F.col("f") == "R", "failed").otherwise("done").alias("status"), F.when(F.col("n") > 2, F.concat(F.lit('["m'), F.col("n").cast("string"), F.lit('","z"]'))).alias("previous_track_ids"), F.lit(None).cast("string").alias("error"), F.col("t").cast("timestamp").alias("updated_at"), (F.col("l_orderkey") * 100_000 + F.col("l_partkey")).alias("ord"))
 
 
+def canonical_parts(spark: SparkSession, sf_dir: str, service: str) -> DataFrame:
+    """Parts as raw tracks of a service, as canonical rows. One part in seven has no artist on service a."""
+    from concord.sources.pages import canonical
+
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    artist = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("p_brand")).alias("artists") if service == "a" else F.col("p_brand").alias("artist")
+    raw = p.select(F.concat(F.lit("x"), k.cast("string")).alias("id"), F.col("p_name").alias("name"), artist, F.col("p_type").alias("album"), (F.col("p_size").cast("long") * 1000 + 499).alias("duration_ms"), F.lit(None).cast("boolean").alias("explicit"), F.when(k % 3 == 0, F.concat(F.lit("us"), k.cast("string"))).alias("code"))
+    return canonical(raw, service)
+
+
 # ---- recorded answers of services, made from the test tables
 
 PER_PAGE = 100

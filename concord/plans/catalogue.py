@@ -651,3 +651,179 @@ def _(spark, d):
     ops = lists.select(F.lit("update_members").alias("op"), F.lit("b").alias("service"), F.col("id").alias("entity_id"), F.reverse("track_ids").alias("members")).withColumn("op_key", ids.op_key(F.col("op"), F.concat_ws("-", "service", "entity_id"), ids.members_digest(F.col("members"))))
     runner.rollback(runner.execute(ops, "a>b").run_id)
     return store.read("lists").select("id", F.concat_ws(",", "track_ids").alias("members"))
+
+
+# ---- stores, projections and differences that had no query
+
+
+@query("outcomes_in_time", f"WITH {_OUTCOMES.split('r AS (')[0].rstrip().rstrip(',').replace('SELECT CASE WHEN user_id', 'SELECT event_id, CASE WHEN user_id')} SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS place FROM o")
+def _(spark, d):
+    from concord.operators.ordering import numbered
+
+    return numbered(table(spark, d, "events").select("event_id", F.col("ts").alias("recorded_at")), "recorded_at", "event_id", name="place")[0].select("event_id", "place")
+
+
+@query("saved_lists", "SELECT 'c' || conv_id AS list_id, CAST(CASE WHEN conv_id % 2 = 0 THEN count(*) ELSE 1 END AS BIGINT) AS n, CAST(CASE WHEN conv_id % 2 = 0 THEN count(*) - 1 ELSE 0 END AS BIGINT) AS last FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    from pyspark.sql.types import LongType
+
+    lists, _ = A.conversation_lists(spark, d)
+    members = lists.select(F.col("id").alias("list_id"), F.lit("old").alias("track_id"), F.lit(0).cast(LongType()).alias("position"))
+    new = lists.where("cast(substr(id, 2) as bigint) % 2 = 0").select("id", "track_ids")
+    _, after = stores.save_lists(lists.select("id"), members, new)
+    return after.groupBy("list_id").agg(F.count("*").alias("n"), F.max("position").alias("last"))
+
+
+@query("deleted_records", "SELECT 'o' || o_orderkey AS id, CAST(count(*) AS BIGINT) AS children FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 > 0 GROUP BY o_orderkey")
+def _(spark, d):
+    name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    orders, lines = table(spark, d, "orders").select(name("o_orderkey").alias("id"), "o_orderkey"), table(spark, d, "lineitem").select(name("l_orderkey").alias("order_id"))
+    rest, children = stores.delete_records(orders.select("id"), {"lines": (lines, "order_id")}, orders.where("o_orderkey % 3 = 0").select("id"))
+    return rest.join(children["lines"].groupBy(F.col("order_id").alias("id")).agg(F.count("*").alias("children")), "id")
+
+
+@query("run_upsert", """SELECT 'u' || user_id AS id, CASE WHEN user_id % 6 = 0 THEN 'completed' WHEN user_id % 4 = 0 THEN 'completed' ELSE 'failed' END AS status FROM events WHERE user_id % 2 = 0 GROUP BY user_id""")
+def _(spark, d):
+    runs = A.event_outcomes(spark, d)[1].select("id", "status", "started_at")
+    new = runs.where("cast(substr(id, 2) as bigint) % 6 = 0").withColumn("status", F.lit("completed"))
+    return stores.upsert(runs, new, ["id"], "started_at").select("id", "status")
+
+
+@query("digest_upsert", f"WITH {_LIST_OPS} SELECT service, entity_id AS list_id, CASE WHEN conv_id % 5 = 0 THEN digest ELSE 'old' END AS digest FROM ops")
+def _(spark, d):
+    new = syncing.digest_state(syncing.list_ops(*A.conversation_lists(spark, d), "b"))
+    return stores.upsert(new.withColumn("digest", F.lit("old")), new.where("cast(substr(list_id, 2) as bigint) % 5 = 0"), ["service", "list_id"])
+
+
+_CANONICAL = """SELECT CASE WHEN p_partkey % 3 = 0 THEN 'isrc:US' || p_partkey ELSE substr(sha256({artist} || '|' || lower(p_name) || '|' || lower(p_type) || '|' || p_size), 1, 32) END AS id, p_name AS title, {shown} AS artist, p_type AS album,
+    CASE WHEN p_partkey % 3 = 0 THEN 'us' || p_partkey END AS code, CAST(p_size AS BIGINT) AS seconds, {side} AS {mine}, CAST({flag} AS INTEGER) AS availability FROM part"""
+
+
+@query("canonical_a", _CANONICAL.format(artist="CASE WHEN p_partkey % 7 = 0 THEN 'unknown artist' ELSE lower(p_brand) END", shown="CASE WHEN p_partkey % 7 = 0 THEN 'Unknown Artist' ELSE p_brand END", side="'x' || p_partkey", mine="a_id", flag="1"))
+def _(spark, d):
+    return A.canonical_parts(spark, d, "a").drop("explicit", "b_id")
+
+
+@query("canonical_b", _CANONICAL.format(artist="lower(p_brand)", shown="p_brand", side="'x' || p_partkey", mine="b_id", flag="2"))
+def _(spark, d):
+    return A.canonical_parts(spark, d, "b").drop("explicit", "a_id")
+
+
+@query("canonical_lists", """WITH l AS (SELECT conv_id, string_agg('isrc:' || upper(md5(coalesce(text, ''))), ',' ORDER BY turn, md5(coalesce(text, ''))) AS ids FROM conversations GROUP BY conv_id)
+    SELECT 'apple:c' || conv_id AS id, 'c' || conv_id AS b_id, ids FROM l""")
+def _(spark, d):
+    from concord.sources import pages
+
+    lists, _ = A.conversation_lists(spark, d)
+    none = "CAST(NULL AS STRING)"
+    track = f"named_struct('id', x, 'name', x, 'artist', x, 'album', {none}, 'duration_ms', CAST(NULL AS BIGINT), 'explicit', CAST(NULL AS BOOLEAN), 'code', x)"
+    raw = lists.selectExpr("id", "id AS name", f"{none} AS description", f"{none} AS owner", f"transform(track_ids, x -> {track}) AS tracks")
+    heads, _ = pages.canonical_list_tracks(raw, "b")
+    return heads.select("id", "b_id", F.concat_ws(",", "track_ids").alias("ids"))
+
+
+@query("score_bands", "SELECT event_id, CASE WHEN value / CAST(500 AS DOUBLE) >= CAST(0.85 AS DOUBLE) THEN 'auto' WHEN value / CAST(500 AS DOUBLE) >= CAST(0.65 AS DOUBLE) THEN 'ambiguous' ELSE 'no_match' END AS band FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", sim.band(F.col("value") / F.lit(500.0)).alias("band"))
+
+
+@query("latest_resumable", f"WITH {_OUTCOMES}, x AS (SELECT * FROM r ORDER BY started DESC, run_id DESC LIMIT 1) SELECT run_id AS id, status FROM x WHERE status <> 'completed'")
+def _(spark, d):
+    return stores.latest_resumable(A.event_outcomes(spark, d)[1]).select("id", "status")
+
+
+@query("previous_members", f"WITH {_LIST_OPS} SELECT ops.entity_id, CASE WHEN op = 'update_members' THEN array_to_string(l.theirs, ',') ELSE '-' END AS previous FROM ops JOIN l USING (conv_id)")
+def _(spark, d):
+    source, target = A.conversation_lists(spark, d)
+    rows = syncing.with_previous(syncing.list_ops(source, target, "b"), target)
+    return rows.select("entity_id", F.when(F.col("previous_track_ids").isNull(), "-").otherwise(F.concat_ws(",", "previous_track_ids")).alias("previous"))
+
+
+@query("duration_difference", "SELECT p_partkey, coalesce(abs(CASE WHEN p_size % 9 > 0 THEN CAST(p_size AS BIGINT) END - 25), -1) AS apart FROM part")
+def _(spark, d):
+    size = F.when(F.col("p_size") % 9 > 0, F.col("p_size").cast("long"))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(sim.duration_difference(size, F.lit(25)), F.lit(-1)).alias("apart"))
+
+
+@query("keyed_merge_explicit", """WITH r AS (SELECT c_custkey AS k, 0 AS kind FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier UNION ALL SELECT s_suppkey, 2 FROM supplier)
+    SELECT 'r' || min(k * 3 + kind) AS id, arg_min(CASE WHEN kind > 0 THEN k % 2 = 0 END, kind) FILTER (WHERE kind > 0) IS NOT NULL AS known, coalesce(arg_min(CASE kind WHEN 1 THEN k % 2 = 0 ELSE k % 5 = 0 END, kind) FILTER (WHERE kind > 0), false) AS explicit FROM r GROUP BY k""")
+def _(spark, d):
+    k, kind = F.floor(F.col("ord") / 3), F.col("ord") % 3
+    rows = A.accounts(spark, d).withColumn("explicit", F.when(kind == 1, k % 2 == 0).when(kind == 2, k % 5 == 0))
+    return merging.merged(rows).select("id", F.col("explicit").isNotNull().alias("known"), F.coalesce("explicit", F.lit(False)).alias("explicit"))
+
+
+#: Parts, one source in nine of which shares no word with any other.
+_LONE = O.PARTS.replace("FROM part\n", "FROM (SELECT p_partkey, p_brand, p_type, p_size, CASE WHEN p_partkey % 9 = 1 THEN 'zz' || p_partkey ELSE p_name END AS p_name FROM part)\n")
+
+
+@query("track_diff_unmatched", f"""WITH {_LONE}, {O.pairs()}, {O.decisions('fuzzy', 'src')}
+    SELECT source_id AS entity_id, 'add_track:b-' || source_id AS op_key FROM decided WHERE decision = 'no_match'""")
+def _(spark, d):
+    lone = F.when(F.col("ord") % 9 == 1, F.concat(F.lit("zz"), F.col("ord").cast("string"))).otherwise(F.col("artist"))
+    return syncing.track_ops(matching.matched(A.parts(spark, d).withColumn("artist", lone), "a", "b", pending_only=True, p=P), "b").select("entity_id", "op_key")
+
+
+@query("both_directions", f"""WITH l AS (SELECT conv_id FROM conversations GROUP BY conv_id), u AS (SELECT 'a' AS service, 'update_members' AS op, conv_id FROM l WHERE conv_id % 3 > 0 UNION ALL SELECT 'b', CASE WHEN conv_id % 3 = 0 THEN 'create_list' ELSE 'update_members' END, conv_id FROM l)
+    SELECT op, service, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY op, service""")
+def _(spark, d):
+    lists, _ = A.conversation_lists(spark, d)
+    records = A.parts(spark, d).where("ord % 2 = 1 AND ord % 2 = 0")  # lists only; records have queries of their own
+    return syncing.diff_summary(syncing.compute_diff(records, lists, syncing.digest_state(syncing.list_ops(lists, lists, "b")).limit(0), "both"))
+
+
+@query("evaluation_curve", """WITH e AS (SELECT event_type AS category, CASE WHEN event_id % 50 > 0 THEN least(CAST(floor(value / CAST(500 AS DOUBLE) * 20) AS BIGINT), 20) ELSE -1 END AS bucket, user_id % 3 = 0 AS truth FROM events),
+    b AS (SELECT category, bucket, truth FROM e UNION ALL SELECT '(all)', bucket, truth FROM e), c AS (SELECT DISTINCT category FROM b),
+    t AS (SELECT c.category, CAST(i AS DOUBLE) / 20 AS threshold, CAST(count(*) FILTER (WHERE truth AND bucket >= i) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE NOT truth AND bucket >= i) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE truth AND bucket < i) AS BIGINT) AS fn
+        FROM c CROSS JOIN range(21) r(i) JOIN b ON b.category = c.category GROUP BY c.category, i)
+    SELECT category, threshold, tp, fp, fn, coalesce(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) END, -1) AS precision, CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) END AS recall, CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) AS f1 FROM t""")
+def _(spark, d):
+    pairs = table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 50 > 0, F.col("value") / F.lit(500.0)).alias("score"), (F.col("user_id") % 3 == 0).alias("truth"))
+    rows = metrics.evaluation_curve(pairs, "event_type", "score", "truth", 20)
+    return rows.withColumns({"category": F.coalesce("category", F.lit("(all)")), "precision": F.coalesce("precision", F.lit(-1.0))})
+
+
+_SIDES = """s AS (SELECT conv_id, 'm' || md5(coalesce(text, '')) AS track, turn % 4 <> 1 AS mine, turn % 3 <> 1 AS other, turn % 5 <> 1 AS old FROM conversations),
+    x AS (SELECT conv_id, track, CAST(count(*) FILTER (WHERE mine) AS BIGINT) AS a, CAST(count(*) FILTER (WHERE other) AS BIGINT) AS b, CAST(count(*) FILTER (WHERE old) AS BIGINT) AS c FROM s GROUP BY conv_id, track)"""
+
+
+def _list_sides(spark, d):
+    """Conversations as a list of three sides, each without some turns."""
+    rows = A.conversation_members(spark, d).withColumn("track_id", F.concat(F.lit("m"), "track_id"))
+    heads = rows.select(F.col("list_id").alias("id")).distinct()
+    return [stores.lists_with_members(heads, rows.where(f"position % {k} <> 1").select("list_id", "track_id", "position")) for k in (4, 3, 5)]
+
+
+def _counted(lists):
+    return lists.select("id", F.explode("track_ids").alias("track")).groupBy("id", "track").agg(F.count("*").alias("n"))
+
+
+@query("list_union", f"WITH {_SIDES} SELECT 'c' || conv_id AS id, track, greatest(a, b) AS n FROM x WHERE greatest(a, b) > 0")
+def _(spark, d):
+    from concord.operators.list_merging import merged_lists
+
+    ours, theirs, _ = _list_sides(spark, d)
+    return _counted(merged_lists(ours, theirs))
+
+
+@query("list_intersection", f"WITH {_SIDES} SELECT 'c' || conv_id AS id, track, least(a, b) AS n FROM x WHERE least(a, b) > 0")
+def _(spark, d):
+    from concord.operators.list_merging import merged_lists
+
+    ours, theirs, _ = _list_sides(spark, d)
+    return _counted(merged_lists(ours, theirs, how="intersection"))
+
+
+@query("list_three_way", f"WITH {_SIDES}, n AS (SELECT conv_id, track, least(a, b, c) + greatest(greatest(a, b) - c, 0) AS n FROM x) SELECT 'c' || conv_id AS id, track, n FROM n WHERE n > 0")
+def _(spark, d):
+    from concord.operators.list_merging import merged_lists
+
+    return _counted(merged_lists(*_list_sides(spark, d)))
+
+
+# ---- the plain names stand for the published limits; narrowed ones, which cut more, have names of their own
+
+for _n in ("match_cascade", "match_stats", "override_cascade", "match_outcomes", "pending_resolutions", "track_diff", "diff_summary"):
+    QUERIES[f"{_n}_narrow"], ORACLES[f"{_n}_narrow"] = QUERIES[_n], ORACLES[_n]
+    QUERIES[_n], ORACLES[_n] = QUERIES[f"{_n}_full"], ORACLES[f"{_n}_full"]
+    del QUERIES[f"{_n}_full"], ORACLES[f"{_n}_full"]

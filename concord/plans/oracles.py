@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from concord.functions.text import ARTIST_MARKERS, EDITION_PHRASES, TITLE_MARKERS, VERSION_PHRASES
+# Fixed values, stated here once more so that the comparison does not take them from what it checks.
+VERSION_PHRASES = ("radio edit", "explicit version", "explicit", "clean version", "clean", "album version", "single version", "acoustic version", "acoustic", "live version", "live", "remix", "remaster", "remastered", "instrumental")
+EDITION_PHRASES = ("deluxe edition", "deluxe", "expanded edition", "remastered", "remaster", "anniversary edition", "special edition", "limited edition", "bonus track edition", "explicit version", "clean version")
+TITLE_MARKERS = ("feat", "ft", "featuring", "with")
+ARTIST_MARKERS = ("feat", "ft", "featuring", "with", "vs", "x")
 
 
 def collapse(x: str) -> str:

@@ -33,11 +33,11 @@ def test_same_as_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", ["match_cascade", "override_cascade", "track_diff"])
 def test_limits_of_the_reference(spark, name):
     """At sf0.01 words have more than 100 targets and fewer than 500, and some best scores are from 0.65 to 0.8."""
-    con, full = duckdb.connect(), f"{name}_full"
+    con, narrow = duckdb.connect(), f"{name}_narrow"
     for t in ("part", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
-    got, cut = (rows(catalogue.QUERIES[n](spark, "/root/testdata/sf0.01").toPandas()) for n in (full, name))
-    assert got == rows(con.execute(catalogue.ORACLES[full]).df()) != cut
+    got, cut = (rows(catalogue.QUERIES[n](spark, "/root/testdata/sf0.01").toPandas()) for n in (name, narrow))
+    assert got == rows(con.execute(catalogue.ORACLES[name]).df()) != cut
 
 
 def test_entry(spark):
