@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def latest(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(order.desc()))
+    """The last row of each key by ``order``; of several at one place the largest, so that no run differs from another."""
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(order.desc(), F.struct(*rows.columns).desc()))
     return rows.withColumn("__n", rank).where("__n = 1").drop("__n")
 
 
@@ -86,7 +87,11 @@ def outcomes_in_time(outcomes: DataFrame) -> DataFrame:
 
 
 def append_outcomes(outcomes: DataFrame, path: str) -> None:
-    outcomes.write.mode("append").parquet(path)
+    """Outcomes in folders by run: those of a run that is written again replace its earlier ones. Outcomes without a run are added."""
+    runs, none = outcomes.where("run_id IS NOT NULL"), outcomes.where("run_id IS NULL")
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    if not none.isEmpty():
+        none.write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def recent_runs(runs: DataFrame, n: int | None = None) -> DataFrame:
