@@ -137,7 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict[st
         return {"score": np.zeros(s.buckets), "bias": np.zeros(1)}
     b, w = (rows[c].combine_chunks() for c in ("b", "w"))
     at, flat_b, flat_w = b.offsets.to_numpy(), b.values.to_numpy(), w.values.to_numpy()
-    return train([(flat_b[i:j], flat_w[i:j]) for i, j in zip(at, at[1:])], y, s)
+    model = train([(flat_b[i:j], flat_w[i:j]) for i, j in zip(at, at[1:])], y, s)
+    del rows, b, w, at, flat_b, flat_w
+    pa.default_memory_pool().release_unused()  # the sample's memory is the driver's for all later work otherwise
+    return model
 
 
 class _Numbers(dict):
