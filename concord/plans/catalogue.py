@@ -376,11 +376,10 @@ def _(spark, d):
 
 @query("rollback_plan", f"WITH {_LOG} SELECT op_key, 'l:' || l_partkey AS entity_id, previous AS members, CAST(row_number() OVER (ORDER BY t DESC, ord DESC) AS BIGINT) AS step FROM log WHERE run_id = 'o7' AND status = 'done' AND previous IS NOT NULL")
 def _(spark, d):
-    from pyspark.sql import Window
+    from concord.operators.ordering import numbered
 
-    plan = syncing.rollback_plan(A.line_log(spark, d), "o7")
-    step = F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("ord"))).cast("long")
-    return plan.select("op_key", "entity_id", F.concat_ws(",", "members").alias("members"), step.alias("step"))
+    plan, _ = numbered(syncing.rollback_plan(A.line_log(spark, d), "o7"), F.desc("updated_at"), F.desc("ord"))
+    return plan.select("op_key", "entity_id", F.concat_ws(",", "members").alias("members"), (F.col("n") + 1).alias("step"))
 
 
 @query("checkpoint_upsert", f"""WITH {_LOG}, old AS (SELECT run_id, op_key, max(status) AS status, max(previous) AS previous FROM log WHERE ord % 3 > 0 GROUP BY run_id, op_key), new AS (SELECT run_id, op_key, min(status) AS status, max(previous) AS previous FROM log WHERE ord % 3 = 0 GROUP BY run_id, op_key)
@@ -821,6 +820,26 @@ def _(spark, d):
     return _counted(merged_lists(*_list_sides(spark, d)))
 
 
+_DESCRIBED = "CASE WHEN p_partkey % 3 = 0 THEN 'isrc:US' || p_partkey ELSE substr(sha256(lower(p_brand) || '|' || lower(p_name) || '|' || lower(p_type) || '|' || {0}), 1, 32) END"
+
+
+@query("imported_library", f"""WITH x AS (SELECT {_DESCRIBED.format('p_size')} AS id, 1 AS flag FROM part WHERE p_partkey % 17 > 0 AND p_partkey % 13 > 0 AND p_partkey % 11 > 0
+        UNION ALL SELECT {_DESCRIBED.format('(p_size + 1)')}, 2 FROM part WHERE p_partkey % 17 > 0)
+    SELECT id, CAST(bit_or(flag) AS INTEGER) AS availability FROM x GROUP BY id""")
+def _(spark, d):
+    from concord.operators import importing, running
+    from concord.session import shared_dir
+    from concord.sources import paged
+
+    store = running.library(spark, f"{shared_dir(spark)}/library-{A.uuid.uuid4().hex}")
+    more = {"base": "recorded://service", "transport": "concord.sources.requests:recorded_page", "rate": 1e6}
+    for service, decode, page in (("a", paged.P.tracks_a, paged.S.PAGE_A), ("b", paged.P.tracks_b, paged.S.PAGE_B)):
+        raw = paged.landed(paged.read_service(spark, [f"/t?folder={A.quote(A.recorded_tracks(spark, d, service)[0])}&limit={A.PER_PAGE}"], **more))
+        none = spark.createDataFrame([], f"id string, name string, description string, owner string, tracks array<{paged.P.track_type(service)}>")
+        importing.imported(store, service, decode(paged.P.parsed(raw, page)), none)
+    return store.read("records").select("id", "availability")
+
+
 # ---- the plain names stand for the published limits; narrowed ones, which cut more, have names of their own
 
 for _n in ("match_cascade", "match_stats", "override_cascade", "match_outcomes", "pending_resolutions", "track_diff", "diff_summary"):
