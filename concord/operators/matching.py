@@ -84,7 +84,6 @@ def key_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> Dat
     """
     keys = ["s_title_key", "s_artist_key"]
     names = target.groupBy(F.col("title_key").alias("t_title_key"), F.col("artist_key").alias("t_artist_key")).agg(F.count("*").alias("n"))
-    names = stored(names, "names")
     asked = source.select(F.col("title_key").alias("s_title_key"), F.col("artist_key").alias("s_artist_key")).distinct()
     artists = stored(artist_pairs(source, target, p), "artists")
     wide = 4 * p.candidates
@@ -92,8 +91,12 @@ def key_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> Dat
     compared = f"{similarity_sql('s_title_key', 't_title_key')} AS title_sim"
     pre = "title_sim * 0.6D + artist_sim * 0.4D AS pre"
     first = asked.join(near, "s_artist_key").join(names, "t_artist_key").selectExpr(*keys, "t_title_key", "t_artist_key", "n", "artist_sim", compared)
-    first = stored(first, "near_names").selectExpr("*", pre)
     upto = F.sum("n").over(W.partitionBy(*keys).orderBy(F.desc("pre")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    equal = F.sum("n").over(W.partitionBy(*keys, "pre"))
+    best = lambda rows: rows.withColumn("better", upto - equal).where(F.col("better") < p.candidates).drop("better", "n")
+    if far.isEmpty():
+        return best(first.selectExpr("*", pre))
+    names, first = stored(names, "names"), stored(first, "near_names").selectExpr("*", pre)
     bars = first.withColumn("upto", upto).where(F.col("upto") >= p.candidates).groupBy(*keys).agg(F.max("pre").alias("bar"))
     some = asked.join(bars, keys).join(far, "s_artist_key").withColumn("least", (F.col("bar") - 1e-9 - F.col("artist_sim") * 0.4) / 0.6).where("least <= 1")
     some = stored(some, "far_artists")
@@ -104,9 +107,7 @@ def key_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> Dat
     few = grams.met(some.where(F.col("least") >= grams.USEFUL), names).alias("x").join(names.alias("y"), ["t_artist_key", "t_title_key"]).where(reach)
     second = open_.select(*rest).unionByName(few.select(*keys, "t_title_key", "t_artist_key", "n", "artist_sim", "bar"))
     second = stored(second.selectExpr(*keys, "t_title_key", "t_artist_key", "n", "artist_sim", compared, "bar"), "far_names").selectExpr("*", pre).where("pre >= bar - 1e-9D").drop("bar")
-    both = first.unionByName(second)
-    equal = F.sum("n").over(W.partitionBy(*keys, "pre"))
-    return both.withColumn("better", upto - equal).where(F.col("better") < p.candidates).drop("better", "n")
+    return best(first.unionByName(second))
 
 
 def _ranked(source: DataFrame, target: DataFrame, p: Policy) -> DataFrame:
