@@ -116,11 +116,14 @@ def pending_sources(records: DataFrame, source: str, target: str) -> DataFrame:
     return records.where(on_service(source) & ~on_service(target))
 
 
-def compute_diff(records: DataFrame, lists: DataFrame, state: DataFrame, direction: str = "both", **options) -> DataFrame:
-    """The operations of a synchronisation: all differences of the direction, without lists that have not changed since the last one."""
+def compute_diff(records: DataFrame, lists: DataFrame, state: DataFrame, direction: str = "both", target_lists: dict[str, DataFrame] | None = None, **options) -> DataFrame:
+    """The operations of a synchronisation: all differences of the direction, without lists that have not changed since the last one.
+
+    ``target_lists`` has, by service, what is known of the lists there; a list that is known to have the same members causes nothing.
+    """
     found = None
     for source, target in directions(direction):
-        ops = library_diff(records, lists, source, target, **options)
+        ops = library_diff(records, lists, source, target, (target_lists or {}).get(target), **options)
         found = ops if found is None else found.unionByName(ops)
     return changed_only(found, state)
 

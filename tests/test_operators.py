@@ -211,3 +211,13 @@ def test_retry_after():
     from concord.sources.sinks import retry_after
 
     assert retry_after("12") == 12 and retry_after("Thu, 01 Jan 1970 00:01:40 GMT", 40.0) == 60 and retry_after(None) is retry_after("soon") is None
+
+
+def test_difference_against_known_lists(spark):
+    r = records(spark, [rec("x", "T", "A", 1)])
+    own = lists(spark, [("l", "1", "2", ["x"]), ("m", "1", "3", ["x"])])
+    state = spark.createDataFrame([], "service string, list_id string, digest string")
+    known = {"b": lists(spark, [("l", None, "2", ["x"])])}
+    ops = lambda **more: sorted((o.service, o.entity_id) for o in syncing.compute_diff(r, own, state, **more).where("members is not null").collect())
+    assert ops() == [("a", "l"), ("a", "m"), ("b", "l"), ("b", "m")]
+    assert ops(target_lists=known) == [("a", "l"), ("a", "m"), ("b", "m")] and ops(direction="a>b", target_lists=known) == [("b", "m")]
