@@ -85,6 +85,10 @@ def key_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> Dat
     keys = ["s_title_key", "s_artist_key"]
     names = target.groupBy(F.col("title_key").alias("t_title_key"), F.col("artist_key").alias("t_artist_key")).agg(F.count("*").alias("n"))
     asked = source.select(F.col("title_key").alias("s_title_key"), F.col("artist_key").alias("s_artist_key")).distinct()
+    # few bytes of names become many pairs, so names are dealt to all cores, not by their size
+    spark = source.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    asked = asked.repartition(tasks, F.xxhash64(*keys))
     artists = stored(artist_pairs(source, target, p), "artists")
     wide = 4 * p.candidates
     near, far = artists.where(F.col("better") < wide).drop("better"), artists.where(F.col("better") >= wide).drop("better")
@@ -99,7 +103,7 @@ def key_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> Dat
     names, first = stored(names, "names"), stored(first, "near_names").selectExpr("*", pre)
     bars = first.withColumn("upto", upto).where(F.col("upto") >= p.candidates).groupBy(*keys).agg(F.max("pre").alias("bar"))
     some = asked.join(bars, keys).join(far, "s_artist_key").withColumn("least", (F.col("bar") - 1e-9 - F.col("artist_sim") * 0.4) / 0.6).where("least <= 1")
-    some = stored(some, "far_artists")
+    some = stored(some, "far_artists").repartition(tasks, F.xxhash64(*keys))
     ratio = "least(length(s_title_key), length(t_title_key)) / greatest(length(s_title_key), length(t_title_key), 1)"
     reach = F.expr(f"coalesce({ratio}, 0) >= least - 1e-9D OR s_title_key = t_title_key")
     open_ = some.where(F.col("least") < grams.USEFUL).alias("x").join(names.alias("y"), (F.col("x.t_artist_key") == F.col("y.t_artist_key")) & reach)
