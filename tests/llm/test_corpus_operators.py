@@ -250,6 +250,24 @@ def test_neighbours(spark):
     assert neighbours.nearest_vectors(few.limit(0)).count() == 0
 
 
+def test_neighbours_of_all_lengths(spark):
+    """Lengths over many orders of magnitude: long residuals say nothing about the codes of short ones."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64))
+    x *= np.exp(2 * rng.normal(size=(8000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest_vectors(table).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 8000, 100):
+        d = ((x.astype(float) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.97 * 10 * 80, hits / 800
+
+
 def test_pipeline(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'x' AS score", "1 AS slot", "2 AS component")  # names that operators use
     kept = [d]
