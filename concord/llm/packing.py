@@ -9,7 +9,8 @@ from the histogram of lengths, a table whose size the capacity bounds. In the pl
   sequences only where no gap does.
 
 A plan row places a run of equal pieces, so every piece finds its place from its rank among pieces of its
-length. Ranks are dealt over salted groups: a length that a third of all pieces have is no hot key.
+length. Ranks are dealt over salted groups: a length that a third of all pieces have is no hot key. Where the order of the documents counts, the groups are stretches of their files, ranks
+follow that order, and so do the numbers of the sequences.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from unicodedata import category, is_normalized, normalize, ucd_3_2_0
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from concord.operators.ordering import numbered
 from concord.session import discard, for_long_texts, stored
 
 #: Words a worker remembers before it starts afresh, and their ids; bounds memory only.
@@ -143,8 +146,9 @@ class WordEncoder:
                     self._forget()
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every piece; longer documents are cut at the capacity."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, also: str = "") -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` of every piece; longer documents are cut at the capacity. Columns in ``also`` (a schema) are kept."""
+    more = [x.split()[0] for x in also.split(",") if x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(vocabulary)
@@ -159,11 +163,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
                     start.append(k)
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *(b.column(x).take(pa.array(row, pa.int64())) for x in more)], ["doc_id", "piece", "start", "length", "ids_crc32", *more])
 
     for_long_texts(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    return own.mapInArrow(run, ", ".join(["doc_id long, piece int, start long, length long, ids_crc32 long", *[also] * bool(also)]))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -242,30 +246,54 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+#: Rows of a file that are ranked together.
+STRETCH = 1 << 16
+
+
+def in_order(docs: DataFrame) -> DataFrame | None:
+    """Documents with ``__file`` and ``__at``, their place in the Parquet files that they are read from, by name; None if they are not read from such."""
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return None
+
+
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, ordered: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
     Null and empty texts are one piece that holds the end id alone. Null and repeated ``doc_id`` and repeated
-    rows each keep their own pieces; other columns are not read; an empty table gives no rows.
+    rows each keep their own pieces; other columns are not read; an empty table gives no rows. If ``ordered``, documents of
+    stored files are taken in their order: of pieces of one length the earlier ones come first, and sequences are numbered from 0 by their earliest piece.
     """
     spark = docs.sparkSession
+    placed = in_order(docs) if ordered else None
     # a row's number is written with it, so that equal rows, which no hash tells apart, are dealt to many groups
-    parts = stored(pieces(docs, vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    cut = pieces(docs, vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()) if placed is None else pieces(placed, vocabulary, capacity, end_id, "__file string, __at long")
+    parts = stored(cut, "pieces")
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most ``capacity`` rows
     salts = max(8, sum(counts.values()) // 200_000)
     rows = plan(counts, capacity)  # a few rows for each length
     places = F.broadcast(spark.createDataFrame(rows, "length long, first long, n long, each long, seq long, off long"))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    if placed is None:
+        salted, order = parts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))), ["row"]
+    else:
+        salted, order = parts.withColumn("salt", F.struct("__file", F.floor(F.col("__at") / STRETCH).alias("n"))), ["__at", "piece"]
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         .withColumn("base", F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n"))
         .select("length", "salt", "base")
     )
-    own = W.partitionBy("length", "salt").orderBy("row")
+    own = W.partitionBy("length", "salt").orderBy(*order)
     ranked = salted.withColumn("k", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("k") + F.col("base"))
     at = F.col("rank") - F.col("first")
-    return ranked.join(places, "length").where((at >= 0) & (at < F.col("n"))).select(
+    found = ranked.join(places, "length").where((at >= 0) & (at < F.col("n"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("seq") + F.expr("(rank - first) div each")).alias("sequence_id"),
-        (F.col("off") + (at % F.col("each")) * F.col("length")).alias("offset"),
+        (F.col("off") + (at % F.col("each")) * F.col("length")).alias("offset"), *(["__file", "__at"] if placed is not None else []),
     )
+    if placed is None:
+        return found
+    found = stored(found, "packed")
+    earliest = found.groupBy("sequence_id").agg(F.min(F.struct("__file", "__at", "piece")).alias("__first"))
+    numbers = numbered(earliest, "__first", name="__number")[0].select("sequence_id", "__number")
+    return found.join(numbers, "sequence_id").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("__number").alias("sequence_id"), "offset")

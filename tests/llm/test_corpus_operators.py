@@ -221,6 +221,26 @@ def test_mixing_stage_keeps_all_in_order(spark, tmp_path):
     assert len(some) == len(rows) and [r.source == "hot" for r in some] == [True] * 400 + [False] * 803
 
 
+def test_packing_follows_the_mixture(spark):
+    """The sequences come in the order of the mixing stage: its first documents are in the first ones, and other orders give other sequences."""
+    rows = [(i, f"{i:05d} " + "word " * (900 + i % 5 * 200), "clash", f"s{i % 3 if i < 300 else 0}") for i in range(600)]
+    d = spark.createDataFrame(rows, DOCS).repartition(4)
+
+    def packed(docs):
+        docs = corpus_pipeline.stored(docs, "order")
+        by = collections.defaultdict(set)
+        for r in corpus_pipeline.pack_sequences(spark, docs, "").collect():
+            by[r.sequence_id].add(r.doc_id)
+        return by, [r.doc_id for r in docs.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+
+    by, order = packed(corpus_pipeline.mix_sources(spark, d, ""))
+    place = {i: n for n, i in enumerate(order)}
+    first = [min(map(place.get, by[k])) for k in range(len(by))]
+    assert first[0] == 0 and first == sorted(first) and set(by) == set(range(len(by)))
+    other, _ = packed(d.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"))
+    assert len(other) == len(by) and sorted(map(sorted, other.values())) != sorted(map(sorted, by.values()))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
