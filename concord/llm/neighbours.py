@@ -8,8 +8,10 @@ found among all vectors in one pass, and as many lists are visited as these need
 few; in data without clusters neighbours lie in many lists, and no index of this kind changes that.
 
 A residual is coded by its direction; its length and what the code leaves of it are kept beside the code, so that near and far groups are coded
-equally well. A code gives an estimate of an entry's distance to a query, and how far off it may be is measured on the probes and their
-true neighbours. A query's best estimates are measured first, and the distance of the ``k``-th of them is its bar. Then every entry
+equally well. A code gives an estimate of an entry's distance to a query. How far off it may be depends on the bar, the distance that an entry has
+to be below, on the length of what its code leaves, and on the angle between the two; only that angle is measured, on the probes and their true
+neighbours, so that queries whose neighbours are close do not loosen the bars of those whose neighbours are far.
+A query's best estimates are measured first, and the distance of the ``k``-th of them is its bar. Then every entry
 of its lists whose estimate allows it to be below the bar is measured exactly, in double precision on the
 original vectors. So it is the data that says how many are measured, and a query gets no rows from a block that holds nothing near it.
 
@@ -37,7 +39,7 @@ class Settings:
     sample: int = 100_000  # vectors that centroids and codebooks are fitted on, at most
     each: int = 8  # sampled vectors for each list, at least
     assign: int = 2  # lists of a vector
-    part: int = 4  # components of a vector that one code byte covers
+    part: int = 2  # components of a vector that one code byte covers
     first: int = 40  # entries of the best estimates that a query's bar is taken from
     block: int = 4096  # codes of a block, at least
     blocks: int = 128  # so many blocks, where that takes no larger ones than ``largest``
@@ -105,12 +107,16 @@ class Index:
     def decoded(self, code: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (np.concatenate([b[code[:, m]] for m, b in enumerate(self.books)], 1) * size[:, None]).astype(np.float32)
 
-    def estimates(self, q: np.ndarray, j: int, rest: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances of queries to entries of a list by their codes, and the share of them that depends on the angle of what is left."""
+    def estimates(self, q: np.ndarray, j: int, rest: np.ndarray) -> np.ndarray:
+        """Squared distances of queries to what the codes of a list's entries say, less the error of their arithmetic."""
         u = ((q - self.centroids[j]) / self.unit).astype(np.float32)
         own = (u**2).sum(1)[:, None]
-        about = np.maximum(own - 2 * u @ rest.T + (rest**2).sum(1), 0)
-        return about + left - 4e-6 * own, 2 * np.sqrt(about * left)
+        return np.maximum(own - 2 * u @ rest.T + (rest**2).sum(1), 0) - 4e-6 * own
+
+
+def _swing(bar: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """How much an entry at the squared distance ``bar`` can be farther by its code than ``bar + left``: all if both point the same way, a share else."""
+    return 2 * np.sqrt(bar * left)
 
 
 def _directions(rest: np.ndarray) -> np.ndarray:
@@ -159,7 +165,7 @@ def nearest_vectors(table: DataFrame, every: int = 100, k: int = 10, s: Settings
     Ties go to the smaller ``vec_id``. A query takes no row with its own id; of query rows with one id the smallest vector is used, and
     repeated candidate rows each count. Vectors of another length than most are compared with those of their length, all of
     them. Null, zero and non-finite vectors take no part; other columns are not read; an empty table gives no rows. Enough
-    lists are visited to hold ``k`` candidates, or all of them. ``figures`` gets the numbers of lists and of vectors visited.
+    lists are visited to hold ``k`` candidates, or all of them. ``figures`` gets the numbers of lists and of vectors visited and of pairs measured.
     """
     for_long_texts(table.sparkSession)
     whole = usable(table)
@@ -256,10 +262,10 @@ def _searched(nodes: DataFrame, asked: DataFrame, d: int, n: int, k: int, s: Set
     for r in known:
         at, q = (r.probe, r.node), probes[r.probe]
         rest = index.decoded(np.frombuffer(r.code, np.uint8)[None], np.array([r.size], np.float32))
-        about, swing = index.estimates(q[None], r.list, rest, np.array([r.left], np.float32))
-        over = float(about[0, 0]) - bars[r.probe]
+        over = float(index.estimates(q[None], r.list, rest)[0, 0]) - r.left - bars[r.probe]
+        swing = float(_swing(bars[r.probe], r.left))
         need[at] = min(need.get(at, lists), int(place_of[r.probe][r.list]))
-        angles[at] = min(angles.get(at, 1.0), over / float(swing[0, 0]) if swing[0, 0] > 0 else 0.0)
+        angles[at] = min(angles.get(at, 1.0), over / swing if swing > 0 else 0.0)
     upto = lambda x, share: sorted(x)[min(len(x) - 1, int(np.ceil(share * len(x))) - 1)]
     visited = upto(need.values(), s.recall) + 1 if need else lists
     angle = min(1.0, max(0.0, upto(angles.values(), s.close))) if angles else 1.0
@@ -321,11 +327,13 @@ def _searched(nodes: DataFrame, asked: DataFrame, d: int, n: int, k: int, s: Set
                 rows, (lo, hi) = row[wanted == j], np.searchsorted(of, [j, j + 1])
                 for at in range(lo, hi, 8192):
                     cut = slice(at, min(hi, at + 8192))
-                    about, swing = index.estimates(q[rows], j, index.decoded(code[cut], size[cut]), left[cut])
+                    about = index.estimates(q[rows], j, index.decoded(code[cut], size[cut]))
                     if below:  # a number that is not finite is measured
-                        x, y = np.nonzero(~(about - angle * swing > bar[rows, None] * (1 + 1e-5)))
+                        upper = bar[rows, None] * (1 + 1e-5)
+                        x, y = np.nonzero(~(about - left[cut] - angle * _swing(upper, left[cut]) > upper))
                         yield result(ids[rows[x]], node[cut][y], about[x, y])
                     else:
+                        about += left[cut]
                         few = min(k + 1, about.shape[1])
                         y = np.argpartition(about, few - 1, axis=1)[:, :few].ravel()
                         x = np.repeat(np.arange(len(rows)), few)
@@ -354,5 +362,7 @@ def _searched(nodes: DataFrame, asked: DataFrame, d: int, n: int, k: int, s: Set
     below = candidates(unique.join(bars, "node", "left").select("node", "v", "bar"), below=True).select("q", "node")
     # copies of the query's own vector are its nearest
     short = stored(below.unionByName(near.select("q", "node")).distinct().unionByName(unique.select(F.col("node").alias("q"), "node")), "shortlist")
+    if figures is not None:
+        figures |= {"pairs measured": short.count()}
     discard(codes, near)
     return measured(short).drop("node")

@@ -288,6 +288,27 @@ def test_neighbours_of_all_lengths(spark):
     assert hits >= 0.97 * 10 * 80, hits / 800
 
 
+def test_close_groups_leave_far_bars_alone(spark):
+    """Some queries have neighbours that are nearly copies, all others only far ones, whose bars decide how many pairs are measured."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 12_000, 1000):
+        x[q + 1 : q + 12] = x[q] + 0.01 * rng.normal(size=(11, 64))
+    x, figures = x.astype(np.float32), {}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest_vectors(table, figures=figures).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 12_000, 100):
+        d = ((x.astype(float) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.95 * 10 * 120, hits / 1200
+    assert figures["pairs measured"] < 120 * 100, figures
+
+
 def test_pipeline(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'x' AS score", "1 AS slot", "2 AS component")  # names that operators use
     kept = [d]
