@@ -41,8 +41,8 @@ def rare_words(source: DataFrame, frequencies: DataFrame, common: int = 500) ->
     return words(source).join(frequencies, "word").withColumn("rn", rank).where((F.col("rn") == 1) | (F.col("df") <= common))
 
 
-def _side(df: DataFrame, prefix: str) -> DataFrame:
-    cols = ("ord", "id", "title_key", "artist_key", "album_key", "seconds", "code_key")
+def _side(df: DataFrame, prefix: str, *more: str) -> DataFrame:
+    cols = ("ord", "id", "title_key", "artist_key", "album_key", "seconds", "code_key", *more)
     return df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in cols))
 
 
@@ -129,14 +129,14 @@ def word_pairs(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> Da
     return _side(source, "s").join(_ranked(source, target, p), ["s_title_key", "s_artist_key"]).select("*", F.inline("best")).drop("best")
 
 
-def with_candidates(source: DataFrame, target: DataFrame, p: Policy = Policy()) -> DataFrame:
+def with_candidates(source: DataFrame, target: DataFrame, p: Policy = Policy(), *more: str) -> DataFrame:
     """Source sides with ``best``, the array of their candidates: a code hit alone where there is one, else ranked by words.
 
-    A source is one row throughout, and a name of very many sources is joined by many tasks.
+    A source is one row throughout, and a name of very many sources is joined by many tasks. Columns ``more`` stay with each source.
     """
     side = F.struct(*_side(target, "t").columns)
     first = _side(target, "t").where("t_code_key IS NOT NULL").groupBy(F.col("t_code_key").alias("code")).agg(F.min_by(side, "t_ord").alias("hit"))
-    own = _side(source, "s").join(first, F.col("s_code_key") == F.col("code"), "left").drop("code")
+    own = _side(source, "s", *more).join(first, F.col("s_code_key") == F.col("code"), "left").drop("code")
     open_ = own.where("hit IS NULL").select(F.col("s_title_key").alias("title_key"), F.col("s_artist_key").alias("artist_key"))
     hit = ", ".join(f"'{c}', hit.{c}" for c in _side(target, "t").columns)
     alone = f"array(named_struct('pre_rank', 1, 'pre', CAST(NULL AS DOUBLE), 'title_sim', 1D, 'artist_sim', 1D, {hit}))"
@@ -151,21 +151,41 @@ def scored(pairs: DataFrame, p: Policy = Policy()) -> DataFrame:
     return rows.selectExpr("*", f"{score_sql('', p)} AS score", "if(by_code, 'isrc', 'fuzzy') AS method").drop("by_code")
 
 
-def decided(sources: DataFrame, p: Policy = Policy()) -> DataFrame:
-    """``ord, source_id, decision, method, candidate_id, score, candidates`` of every source side with its candidates ``best``.
+def decided(sources: DataFrame, p: Policy = Policy(), *more: str) -> DataFrame:
+    """``ord, source_id, decision, method, candidate_id, score, candidates`` of every source side with its candidates ``best``, and its columns ``more``.
 
     The best of equal scores is the one with the better pre-rank. Ambiguous sources keep up to ``shown`` candidates of the band.
     """
     parts = ", ".join(f"'{name}', {x}" for name, x in parts_sql("x.title_sim", "x.artist_sim", "s_", "x.t_", p).items())
-    rows = sources.selectExpr("s_ord AS ord", "s_id AS source_id", f"transform(best, x -> named_struct('rank', x.pre_rank, 'id', x.t_id, {parts})) AS c")
+    rows = sources.selectExpr(*more, "s_ord AS ord", "s_id AS source_id", f"transform(best, x -> named_struct('rank', x.pre_rank, 'id', x.t_id, {parts})) AS c")
     scores = f"transform(c, x -> named_struct('less', -({score_sql('x.', p)}), 'rank', x.rank, 'id', x.id, 'method', if(x.by_code, 'isrc', 'fuzzy')))"
-    rows = rows.selectExpr("ord", "source_id", f"sort_array(filter({scores}, x -> x.less IS NOT NULL)) AS c")
-    rows = rows.selectExpr("ord", "source_id", "get(c, 0) AS top", "get(c, 1).less - get(c, 0).less AS lead", f"slice(filter(c, x -> -x.less >= {p.ambiguous}D AND -x.less < {p.auto}D), 1, {p.shown}) AS close")
+    rows = rows.selectExpr(*more, "ord", "source_id", f"sort_array(filter({scores}, x -> x.less IS NOT NULL)) AS c")
+    rows = rows.selectExpr(*more, "ord", "source_id", "get(c, 0) AS top", "get(c, 1).less - get(c, 0).less AS lead", f"slice(filter(c, x -> -x.less >= {p.ambiguous}D AND -x.less < {p.auto}D), 1, {p.shown}) AS close")
     clear = f"coalesce(lead >= {p.margin}D, true)" if p.margin > 0 else "true"
     rows = rows.selectExpr("*", f"CASE WHEN -top.less >= {p.auto}D AND {clear} THEN 'auto' WHEN size(close) > 0 THEN 'ambiguous' ELSE 'no_match' END AS decision")
     kept = "CASE decision WHEN 'auto' THEN array(top) WHEN 'ambiguous' THEN close END"
     rows = rows.selectExpr("*", f"transform({kept}, x -> named_struct('candidate_id', x.id, 'score', -x.less)) AS candidates")
-    return rows.selectExpr("ord", "source_id", "decision", "if(decision = 'no_match', NULL, top.method) AS method", "get(candidates, 0).candidate_id AS candidate_id", "get(candidates, 0).score AS score", "candidates")
+    return rows.selectExpr(*more, "ord", "source_id", "decision", "if(decision = 'no_match', NULL, top.method) AS method", "get(candidates, 0).candidate_id AS candidate_id", "get(candidates, 0).score AS score", "candidates")
+
+
+def _decided_once(own: DataFrame, goal: DataFrame, rejects: DataFrame | None, p: Policy) -> DataFrame:
+    """Decisions of sources. Sources that are alike in all that a decision depends on are decided once, and the decisions are stored.
+
+    So scores are computed once, whatever is asked of the decisions afterwards: a condition on them is otherwise evaluated inside the scan of the candidates,
+    with all scores again for each of its parts.
+    """
+    alike = ["title_key", "artist_key", "album_key", "seconds", "code_key"]
+    if rejects is not None:
+        own, alike = own.join(rejects, "id", "left"), [*alike, "rejected"]
+    kinds = own.groupBy(*alike).agg(F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id"))
+    kinds = stored(kinds, "kinds")
+    rows = with_candidates(kinds, goal, p, *alike[5:])
+    if rejects is not None:
+        rows = rows.withColumn("best", F.expr("if(s_rejected IS NULL, best, filter(best, x -> NOT array_contains(s_rejected, x.t_id)))"))
+    kept = [f"s_{c}" for c in alike]
+    out = stored(decided(rows, p, *kept).drop("ord", "source_id"), "decided")
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in alike]
+    return own.join(out, same).select("ord", F.col("id").alias("source_id"), *(c for c in out.columns if c not in kept))
 
 
 def matched(records: DataFrame, source: str, target: str, mappings: DataFrame | None = None, exclusions: DataFrame | None = None, p: Policy = Policy(), pending_only: bool = False) -> DataFrame:
@@ -177,7 +197,7 @@ def matched(records: DataFrame, source: str, target: str, mappings: DataFrame |
     """
     asks = on_service(source) & ~on_service(target) if pending_only else on_service(source)
     first = asks & (F.row_number().over(W.partitionBy("id", asks).orderBy("ord")) == 1)
-    every = stored(keyed(records).withColumn("asks", first), "keyed")  # keys are computed once and read several times
+    every = stored(keyed(records.withColumn("asks", first)), "keyed")  # keys are computed once, by the tasks of the shuffle, and read several times
     own, goal = every.where("asks").drop("asks"), every.where(on_service(target)).drop("asks")
     blank = "cast(null as array<struct<candidate_id:string,score:double>>)"
     done = []
@@ -194,11 +214,8 @@ def matched(records: DataFrame, source: str, target: str, mappings: DataFrame |
         skips = e.where("kind = 'skip'").select(F.col("track_id").alias("id")).distinct()
         done.append(own.join(skips, "id", "left_semi").select("ord", F.col("id").alias("source_id"), F.lit("skipped").alias("decision"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("candidate_id"), F.lit(None).cast("double").alias("score"), F.expr(blank).alias("candidates")))
         own = own.join(skips, "id", "left_anti")
-        rejects = e.where("kind = 'reject'").groupBy(F.col("track_id").alias("s_id")).agg(F.collect_set("candidate_id").alias("rejected"))
-    rows = with_candidates(own, goal, p)
-    if rejects is not None:
-        rows = rows.join(rejects, "s_id", "left").withColumn("best", F.expr("if(rejected IS NULL, best, filter(best, x -> NOT array_contains(rejected, x.t_id)))"))
-    out = decided(rows, p)
+        rejects = e.where("kind = 'reject'").groupBy(F.col("track_id").alias("id")).agg(F.sort_array(F.collect_set("candidate_id")).alias("rejected"))
+    out = _decided_once(own, goal, rejects, p)
     for d in done:
         out = out.unionByName(d)
     return out

@@ -221,3 +221,23 @@ def test_difference_against_known_lists(spark):
     ops = lambda **more: sorted((o.service, o.entity_id) for o in syncing.compute_diff(r, own, state, **more).where("members is not null").collect())
     assert ops() == [("a", "l"), ("a", "m"), ("b", "l"), ("b", "m")]
     assert ops(target_lists=known) == [("a", "l"), ("a", "m"), ("b", "m")] and ops(direction="a>b", target_lists=known) == [("b", "m")]
+
+
+def test_alike_sources_are_decided_once(spark, monkeypatch):
+    """Sources with the same keys and length have the same candidates; a reject parts one from the others."""
+    rows = [(i, f"s{i}", "one song", "some band", "lp", None, 200, f"x{i}", None, 1) for i in range(60)]
+    rows += [(60 + i, f"u{i}", "one song", "some band", None, None, None, f"y{i}", None, 1) for i in range(20)]
+    rows += [(90, "t0", "one song", "some band", "lp", None, 200, None, "z0", 2), (91, "t1", "one sons", "some band", "lp", None, 200, None, "z1", 2)]
+    every = spark.createDataFrame(rows, "ord long, id string, title string, artist string, album string, code string, seconds long, a_id string, b_id string, availability int")
+    excluded = spark.createDataFrame([("s7", "b", "reject", "t0")], "track_id string, target_service string, kind string, candidate_id string")
+    scored, plain = [], matching.decided
+
+    def counted(sources, *more):
+        scored.append(sources.count())
+        return plain(sources, *more)
+
+    monkeypatch.setattr(matching, "decided", counted)
+    got = {r.source_id: r for r in matching.matched(every, "a", "b", exclusions=excluded).collect()}
+    assert scored == [3] and len(got) == 80
+    assert {r.candidate_id for i, r in got.items() if i != "s7"} == {"t0"} and got["s7"].candidate_id == "t1"
+    assert got["u3"].score < got["s3"].score == 1.0 and got["u3"].ord == 63
