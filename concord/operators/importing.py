@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from concord.operators.commits import Store
-from concord.operators.merging import follow, merged, renamed_ids
+from concord.operators.merging import entities, follow, merged, renamed_ids
 from concord.operators.metrics import confidence_histogram, library_summary, run_metrics
 from concord.operators.stores import lists_with_members
 from concord.session import stored
@@ -43,8 +43,9 @@ def imported(store: Store, service: str, tracks: DataFrame, lists: DataFrame, dr
     new = stored(own.withColumn("__list", F.lit(0)).unionByName(members.withColumn("__list", F.lit(1))).withColumn("__row", F.monotonically_increasing_id()), "new")
     new = new.withColumn("ord", F.lit(first) + F.col("__list").cast("long") * (1 << 52) + F.col("__row")).drop("__list", "__row")
     every = stored(old.select(*new.columns).unionByName(new), "every")
-    records = merged(every).drop("merged")
-    renames = stored(renamed_ids(every), "renames")
+    groups = stored(entities(every), "entities")  # components are searched once
+    records = merged(every, groups).drop("merged")
+    renames = stored(renamed_ids(every, groups), "renames")
     rows = known.select("id", "track_ids").join(heads.select("id"), "id", "left_anti").unionByName(heads.select("id", "track_ids"))
     flat = rows.select(F.col("id").alias("list_id"), F.posexplode("track_ids").alias("position", "track_id"))
     other = {c: F.coalesce(F.col(f"n.{c}"), F.col(f"k.{c}")).alias(c) for c in ("name", "owner", "description", "a_id", "b_id")}

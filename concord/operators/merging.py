@@ -23,24 +23,24 @@ def entities(rows: DataFrame) -> DataFrame:
     return rows.select("ord").join(found.withColumnRenamed("node", "ord"), "ord", "left").select("ord", F.coalesce("component", "ord").alias("entity"))
 
 
-def merged(rows: DataFrame) -> DataFrame:
+def merged(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row for each entity: first id, last service ids, title and artist, first album, code, seconds and flag, all services.
 
-    Empty strings count as missing. Rows that bridge two entities join them.
+    Empty strings count as missing. Rows that bridge two entities join them. ``groups`` are the ``entities`` of the rows, if they are known.
     """
     filled = lambda c: F.when(F.length(c) > 0, F.col(c))
     first = lambda c, v=None: F.min_by(v if v is not None else F.col(c), F.when((v if v is not None else F.col(c)).isNotNull(), F.col("ord"))).alias(c)
     last = lambda c, v=None: F.max_by(v if v is not None else F.col(c), F.when((v if v is not None else F.col(c)).isNotNull(), F.col("ord"))).alias(c)
-    return rows.join(entities(rows), "ord").groupBy("entity").agg(
+    return rows.join(entities(rows) if groups is None else groups, "ord").groupBy("entity").agg(
         F.min("ord").alias("ord"), first("id"), last("title", filled("title")), last("artist", filled("artist")),
         first("album", filled("album")), first("code", filled("code")), first("seconds"), first("explicit"),
         last("a_id"), last("b_id"), F.bit_or("availability").alias("availability"), F.count("*").alias("merged"),
     ).drop("entity")
 
 
-def renamed_ids(rows: DataFrame) -> DataFrame:
-    """``old_id, id``: what the ids of all rows have become, so that memberships can follow."""
-    own = rows.join(entities(rows), "ord")
+def renamed_ids(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``old_id, id``: what the ids of all rows have become, so that memberships can follow. ``groups`` as for ``merged``."""
+    own = rows.join(entities(rows) if groups is None else groups, "ord")
     kept = own.groupBy("entity").agg(F.min_by("id", "ord").alias("new"))
     return own.join(kept, "entity").select(F.col("id").alias("old_id"), F.col("new").alias("id")).distinct()
 

@@ -96,6 +96,8 @@ def canonical_parts(spark: SparkSession, sf_dir: str, service: str) -> DataFrame
 # ---- recorded answers of services, made from the test tables
 
 PER_PAGE = 100
+#: Entries that one reader follows.
+READ_BY_ONE = 50_000
 
 
 def recorded_tracks(spark: SparkSession, sf_dir: str, service: str) -> tuple[str, int]:

@@ -834,7 +834,9 @@ def _(spark, d):
     store = running.library(spark, f"{shared_dir(spark)}/library-{A.uuid.uuid4().hex}")
     more = {"base": "recorded://service", "transport": "concord.sources.requests:recorded_page", "rate": 1e6}
     for service, decode, page in (("a", paged.P.tracks_a, paged.S.PAGE_A), ("b", paged.P.tracks_b, paged.S.PAGE_B)):
-        raw = paged.landed(paged.read_service(spark, [f"/t?folder={A.quote(A.recorded_tracks(spark, d, service)[0])}&limit={A.PER_PAGE}"], **more))
+        folder, total = A.recorded_tracks(spark, d, service)
+        spread = max(1, -(-total // A.READ_BY_ONE))  # ranges of offsets, so that the readers grow with the library
+        raw = paged.landed(paged.read_service(spark, [f"/t?folder={A.quote(folder)}"], total=total, limit=A.PER_PAGE, parallel=spread, **more))
         none = spark.createDataFrame([], f"id string, name string, description string, owner string, tracks array<{paged.P.track_type(service)}>")
         importing.imported(store, service, decode(paged.P.parsed(raw, page)), none)
     return store.read("records").select("id", "availability")

@@ -58,3 +58,22 @@ def test_reports(spark, tmp_path):
     rows = {r[0]: dict(zip(read("report.csv")[0], r)) for r in read("report.csv")[1:]}
     assert rows["r"]["mean_score"] == "0.833333" and rows["r"]["auto_rate"] == "0.5" and rows["r"]["start"] == "2024-01-01T10:00:00Z" and rows["(none)"]["mean_score"] == ""
     assert ["r", "auto", "9", "1"] in read("report.histogram.csv") and len(read("report.histogram.csv")) == 21
+
+
+def test_components_are_searched_once(spark, tmp_path, monkeypatch):
+    from concord.operators import importing, merging, running
+    from concord.sources import pages
+
+    calls, plain = [], merging.connected_components
+
+    def counted(*a, **kw):
+        calls.append(a)
+        return plain(*a, **kw)
+
+    monkeypatch.setattr(merging, "connected_components", counted)
+    store = running.library(spark, f"{tmp_path}/library")
+    kind = "id string, name string, artists array<string>, album string, duration_ms long, explicit boolean, code string"
+    tracks = spark.createDataFrame([("x1", "One", ["Anna"], "LP", 200_000, None, "us1"), ("x2", "One", ["Anna"], "LP", 200_000, None, "us1"), ("x3", "Two", ["Bert"], "LP", 1000, None, None)], kind)
+    none = spark.createDataFrame([], f"id string, name string, description string, owner string, tracks array<{pages.track_type('a')}>")
+    importing.imported(store, "a", tracks, none)
+    assert store.read("records").count() == 2 and len(calls) == 1
