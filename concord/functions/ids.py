@@ -36,18 +36,16 @@ def list_id(owner: Column, name: Column) -> Column:
 
 def members_digest(ids: Column) -> Column:
     """FNV-1a (64 bits, lower-case hex) over the ids joined by U+001F; order matters."""
-    wide = "decimal(38,0)"
-    digits = F.split(F.regexp_replace(F.hex(F.concat_ws("\x1f", ids).cast("binary")), "(..)", "$1,"), ",")
-    bytes_ = F.transform(F.filter(digits, lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int"))
+    # one character for each byte; steps are in longs that hold 32 bits and a factor, as a product of 64 bits overflows
+    bytes_ = F.transform(F.filter(F.split(F.decode(F.concat_ws("\x1f", ids).cast("binary"), "ISO-8859-1"), ""), lambda c: c != ""), F.ascii)
+    low, small = F.lit(0xFFFFFFFF), F.lit(FNV_PRIME - (1 << 40))
 
     def step(h: Column, b: Column) -> Column:
-        low = (h % F.lit(256)).cast("int")
-        return ((h - low.cast(wide) + low.bitwiseXOR(b).cast(wide)).cast("decimal(20,0)") * F.lit(FNV_PRIME).cast("decimal(14,0)")).cast(wide) % F.lit(str(2**64)).cast("decimal(20,0)").cast(wide)
+        x = h.bitwiseAND(low).bitwiseXOR(b.cast("long"))
+        high = F.shiftrightunsigned(h, 32) * small + F.shiftrightunsigned(x * small, 32) + F.shiftleft(x.bitwiseAND(F.lit(0xFFFFFF)), 8)
+        return F.shiftleft(high, 32).bitwiseOR((x * small).bitwiseAND(low))
 
-    h = F.aggregate(bytes_, F.lit(str(FNV_BASIS)).cast(wide), lambda a, b: step(a, b).cast(wide))
-    high = F.floor(h / F.lit(2**32)).cast("long")
-    low = (h % F.lit(2**32)).cast("long")
-    return F.lower(F.when(high == 0, F.hex(low)).otherwise(F.concat(F.hex(high), F.lpad(F.hex(low), 8, "0"))))
+    return F.lower(F.hex(F.aggregate(bytes_, F.lit(FNV_BASIS - (1 << 64)).cast("long"), step)))
 
 
 def op_key(kind: Column, entity: Column, digest: Column | None = None) -> Column:

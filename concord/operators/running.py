@@ -21,13 +21,15 @@ from concord.operators.commits import Store
 from concord.operators.matching import matched, outcomes
 from concord.operators.ordering import numbered
 from concord.operators.stores import latest_resumable
-from concord.operators.syncing import applied_tracks, changed_only, directions, list_ops, rollback_plan, track_ops
+from concord.operators.syncing import applied_tracks, changed_only, directions, list_ops, pending_sources, rollback_plan, track_ops
 from concord.session import discard, stored
 from concord.sources.sinks import send
 
 LISTS = f"{S.LISTS}, track_ids ARRAY<STRING>"
 TABLES = {"records": S.RECORDS, "lists": LISTS, "mappings": S.MAPPINGS, "exclusions": S.EXCLUSIONS, "outcomes": S.OUTCOMES, "runs": S.RUNS, "checkpoints": f"{S.CHECKPOINTS}, ord BIGINT", "list_state": S.LIST_STATE}
 KEYS = {"records": ["id"], "lists": ["id"], "mappings": ["source_service", "source_track_id"], "runs": ["id"], "checkpoints": ["run_id", "op_key"], "list_state": ["service", "list_id"]}
+#: Tables that match decisions depend on.
+DECISIVE = ("records", "mappings", "exclusions")
 
 
 def library(spark: SparkSession, folder: str) -> Store:
@@ -131,39 +133,59 @@ class Runner:
 
     # ---- entries
 
-    def difference(self, direction: str, run_id: str | None = None) -> DataFrame:
-        """The operations of a synchronisation. With ``run_id`` the match decisions are recorded, once for the run."""
+    def difference(self, direction: str, run_id: str | None = None, resumed: str | None = None) -> DataFrame:
+        """The operations of a synchronisation. With ``run_id`` the match decisions are recorded, once for the run.
+
+        Decisions of a run that is ``resumed`` are those that it recorded, unless what they depend on has changed since.
+        """
         s, found, facts = self.store, None, None
         records, lists = s.read("records"), s.read("lists")
+        parts = s.state()["parts"]
+        decided = {"run": run_id or resumed, "direction": direction, "from": {name: parts.get(name, []) for name in DECISIVE}}
+        known = resumed is not None and s.value("decided") == decided
         for step, (source, target) in enumerate(directions(direction)):
-            made = stored(matched(records, source, target, s.read("mappings"), s.read("exclusions"), pending_only=True), "decisions")
+            if known:
+                made = self._recorded(resumed, records, source, target)
+            else:
+                made = stored(matched(records, source, target, s.read("mappings"), s.read("exclusions"), pending_only=True), "decisions")
             ord_ = made.select(F.col("source_id").alias("entity_id"), "ord")
             tracks = track_ops(made, target).join(ord_, "entity_id")
             own = lists.where(F.col(f"{source}_id").isNotNull()).select("id", "a_id", "b_id", "track_ids")
             ops = tracks.unionByName(list_ops(own, own.limit(0), target).withColumn("ord", F.lit(None).cast("long"))).withColumn("step", F.lit(step))
-            rows = outcomes(made, run_id, source, target)
-            found, facts = (ops, rows) if found is None else (found.unionByName(ops), facts.unionByName(rows))
+            found = ops if found is None else found.unionByName(ops)
+            if run_id is not None:
+                rows = outcomes(made, run_id, source, target)
+                facts = rows if facts is None else facts.unionByName(rows)
         if run_id is not None:
-            s.commit(f"{run_id}:outcomes", {"outcomes": facts})
+            s.commit(f"{run_id}:outcomes", {"outcomes": facts}, decided=decided)
         kept = changed_only(found.drop("ord", "step"), s.read("list_state"))
         of_list = F.col("members").isNotNull().alias("of_list")
         places = found.select("service", "entity_id", of_list, "step", "ord").distinct()
         return kept.withColumn("of_list", of_list).join(places, ["service", "entity_id", "of_list"]).drop("of_list")
 
+    def _recorded(self, run_id: str, records: DataFrame, source: str, target: str) -> DataFrame:
+        """``source_id, decision, ord`` of the decisions that a run has recorded for a direction."""
+        own = self.store.read("outcomes").where((F.col("run_id") == run_id) & (F.col("source_service") == source) & (F.col("target_service") == target))
+        places = pending_sources(records, source, target).groupBy(F.col("id").alias("source_id")).agg(F.min("ord").alias("ord"))
+        return own.select(F.col("source_track_id").alias("source_id"), "decision").join(places, "source_id")
+
     def perform(self, direction: str = "both", dry_run: bool = False, run_id: str | None = None) -> Result:
         run_id = run_id or str(uuid.uuid4())
         ops = stored(self.difference(direction, None if dry_run else run_id), "difference")
         return self.execute(ops, direction, run_id, dry_run)
 
     def resume(self, run_id: str | None = None) -> Result:
-        """Go on with a run, by default the most recent one if it is not completed. The difference is computed anew, its decisions are not recorded again."""
+        """Go on with a run, by default the most recent one if it is not completed. The difference is computed anew, its decisions are not recorded again.
+
+        Nor are they made again if records and decisions by hand are the same files as when they were recorded.
+        """
         runs = self.store.read("runs")
         run = (runs.where(F.col("id") == run_id) if run_id else latest_resumable(runs)).first()
         if run is None:
             raise NothingToResume(run_id)
         if run.status == "completed":
             raise AlreadyCompleted(run.id)
-        return self.execute(stored(self.difference(run.direction), "difference"), run.direction, run.id)
+        return self.execute(stored(self.difference(run.direction, resumed=run.id), "difference"), run.direction, run.id)
 
     def rollback(self, run_id: str) -> int:
         """Restore the members of the lists that a run has changed, newest change first; gives how many. The first failure ends it."""

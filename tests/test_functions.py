@@ -72,6 +72,14 @@ def test_members_digest(spark, members):
     assert one(spark, members, ids.members_digest, "array<string>") == fnv("\x1f".join(members).encode())
 
 
+def test_members_digest_reads_the_members_once(spark):
+    """In 64-bit steps; the digest was made four times over, in decimals of 38 digits."""
+    df = spark.createDataFrame([(["\x00\x7f\x80ÿ", "漢\n"],)], "m array<string>").select(ids.members_digest(F.col("m")).alias("d"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "decimal" not in plan
+    assert df.first().d == fnv("\x00\x7f\x80ÿ\x1f漢\n".encode())
+
+
 def test_op_keys(spark):
     got = one(spark, "update_members:list:with:colons:d1", ids.parse_op_key)
     assert (got.kind, got.entity, got.digest) == ("update_members", "list:with:colons", "d1")

@@ -224,6 +224,27 @@ def test_failed_list_is_resumed_and_members_are_restored(spark, store, tmp_path)
         Runner(store, Effects(refuse, attempts=1, **FAST)).rollback("run-upd")
 
 
+def test_resumed_run_takes_its_decisions_over(spark, store, tmp_path, monkeypatch):
+    made, real = [], running.matched
+    monkeypatch.setattr(running, "matched", lambda *a, **k: made.append(1) or real(*a, **k))
+    store.commit("start", {"records": records(spark, [("x", 1), ("y", 1), ("quite some other matter", 2)]), "lists": spark.createDataFrame([("pl", "Mix", "a-pl", None, ["x"])], LISTS)})
+
+    def refuse(op):
+        if op["entity_id"] != "x":
+            raise ServiceError(400)
+
+    first = Runner(store, Effects(refuse, **FAST)).perform("both")
+    assert (first.total, first.succeeded, first.failed, len(made)) == (4, 1, 3, 2)
+    again = Runner(store, Effects(refuse, **FAST)).resume(first.run_id)
+    assert (again.total, again.skipped, again.failed, len(made)) == (4, 1, 3, 2)  # nothing is decided again
+    assert store.read("outcomes").count() == 3
+    store.commit("more", {"records": records(spark, [("x", 3)])})  # x is there by now, and y is like it
+    ops = {r.op_key for r in Runner(store, LocalLibrary()).difference("both", resumed=first.run_id).collect()}
+    assert ops == {"add_track:a-quite some other matter", "create_list:b-pl"} and len(made) == 4
+    last = Runner(store, LocalLibrary()).resume(first.run_id)
+    assert (last.failed, last.total, len(made)) == (0, 2, 6) and run_of(store, first.run_id).status == "completed"
+
+
 def test_lost_batch_leaves_neither_rows_nor_digests(spark, store, monkeypatch):
     ops = spark.createDataFrame([create(f"l{i}", ["m"], i) for i in range(4)], OPS)
     runner, publish = Runner(store, Effects(lambda op: None, batch=2, **FAST)), Store._publish
